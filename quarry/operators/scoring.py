@@ -80,44 +80,54 @@ def declares(content: Column, term: Column) -> Column:
     return content.contains(term) & (F.rlike(content, named) | (term.rlike(f"{WORD}$") & F.rlike(content, bound)))
 
 
-def lexical_evidence(terms: Column, reference_seeking: Column, intent: Column, label: Column, path: Column,
-                     content: Column) -> Column:
-    """Struct (score, exact): the best tier over all terms, before the query's lexical weight."""
-    blank = F.lit("")
-    label, path, content = (F.lower(F.coalesce(c, blank)) for c in (label, path, content))
+def term_tiers(terms: Column, reference_seeking: Column, strict: Column, label: Column, path: Column, content: Column) -> Column:
+    """Per term the tier it reaches in one chunk: ARRAY<STRUCT<tier, declared, factor, whole>>.
+
+    label, path and content must be lower-cased columns, so that this work is not repeated per term.
+    """
     segments = F.split(path, "/")
-    strict = F.when(reference_seeking | (intent == "identifier"), X.FRAGMENT_FACTOR_STRICT).otherwise(X.FRAGMENT_FACTOR)
 
     def one(t):
         v = t["value"]
-        factor = F.when(t["kind"] == "whole", 1.0).otherwise(strict)
         use = F.when(reference_seeking, usage_kind(content, v))
         declared = F.when(reference_seeking, declares(content, v)).otherwise(False)
-        in_label, in_path = boundary(label, v), F.exists(segments, lambda s: boundary(s, v))
         tier = (
             F.when((use == "executable") & ~declared, "executable")
             .when((use == "import") & ~declared, "import")
-            .when(label.contains(v) & in_label, "label_boundary")
-            .when(path.contains(v) & in_path, "path_boundary")
+            .when(label.contains(v) & boundary(label, v), "label_boundary")
+            .when(path.contains(v) & F.exists(segments, lambda s: boundary(s, v)), "path_boundary")
             .when(content.contains(v) & boundary(content, v), "content_boundary")
             .when(label.contains(v), "label_part")
             .when(path.contains(v), "path_part")
             .when(content.contains(v), "content_part")
         )
-        return F.struct(tier.alias("tier"), declared.alias("declared"), factor.alias("factor"), (t["kind"] == "whole").alias("whole"))
+        return F.struct(tier.alias("tier"), declared.alias("declared"),
+                        F.when(t["kind"] == "whole", 1.0).otherwise(strict).alias("factor"), (t["kind"] == "whole").alias("whole"))
+
+    return F.transform(terms, one)
+
+
+def tier_points(s: Column, reference_seeking: Column) -> Column:
+    out = F.lit(0.0)
+    for name, (normal, ref, ref_declared) in X.EVIDENCE_TIERS.items():
+        val = F.lit(ref) if normal is None else F.when(
+            reference_seeking, F.when(s["declared"], ref_declared).otherwise(ref)).otherwise(normal)
+        out = F.when(s["tier"] == name, val).otherwise(out)
+    return out * s["factor"]
 
-    def points(s):
-        out = F.lit(0.0)
-        for name, (normal, ref, ref_declared) in X.EVIDENCE_TIERS.items():
-            val = F.lit(ref) if normal is None else F.when(
-                reference_seeking, F.when(s["declared"], ref_declared).otherwise(ref)).otherwise(normal)
-            out = F.when(s["tier"] == name, val).otherwise(out)
-        return out * s["factor"]
 
-    seen = F.transform(terms, one)
-    score = F.coalesce(F.array_max(F.transform(seen, points)), F.lit(0.0))
-    exact = F.exists(seen, lambda s: s["whole"] & s["tier"].isin("label_boundary", "path_boundary")) & ~reference_seeking
-    return F.struct(score.alias("score"), F.coalesce(exact, F.lit(False)).alias("exact"))
+def lexical_evidence(candidates: DataFrame) -> DataFrame:
+    """Adds lexical (best tier over all terms, times the query's weight) and exact."""
+    blank, ref = F.lit(""), F.col("reference_seeking")
+    strict = F.when(ref | (F.col("intent") == "identifier"), X.FRAGMENT_FACTOR_STRICT).otherwise(X.FRAGMENT_FACTOR)
+    c = candidates.withColumns({
+        "_label": F.lower(F.coalesce("symbol_label", blank)), "_path": F.lower(F.coalesce("path", blank)),
+        "_text": F.lower(F.coalesce("content", blank))})
+    c = c.withColumn("_seen", term_tiers(F.col("terms"), ref, strict, F.col("_label"), F.col("_path"), F.col("_text")))
+    best = F.coalesce(F.array_max(F.transform("_seen", lambda s: tier_points(s, ref))), F.lit(0.0))
+    exact = F.exists("_seen", lambda s: s["whole"] & F.coalesce(s["tier"].isin("label_boundary", "path_boundary"), F.lit(False))) & ~ref
+    return (c.withColumn("lexical", best * F.col("lexical_weight")).withColumn("exact", F.coalesce(exact, F.lit(False)))
+            .drop("_label", "_path", "_text", "_seen"))
 
 
 # --- multipliers and final score ------------------------------------------------------------
@@ -146,9 +156,7 @@ def changed_multiplier(candidates: DataFrame, changed: DataFrame, keys: list[str
 
 def score_candidates(candidates: DataFrame) -> DataFrame:
     """Adds lexical, exact, path_mult and final to candidates with fusion and changed_mult."""
-    ev = lexical_evidence(F.col("terms"), F.col("reference_seeking"), F.col("intent"), F.col("symbol_label"), F.col("path"), F.col("content"))
-    c = candidates.withColumn("_ev", ev).withColumn("path_mult", path_multiplier(F.col("scope"), F.col("category")))
-    c = c.withColumn("lexical", F.col("_ev.score") * F.col("lexical_weight")).withColumn("exact", F.col("_ev.exact")).drop("_ev")
+    c = lexical_evidence(candidates).withColumn("path_mult", path_multiplier(F.col("scope"), F.col("category")))
     return c.withColumn("final", final_score())
 
 
