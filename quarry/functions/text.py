@@ -53,8 +53,11 @@ def breadcrumbs(scopes: Column) -> Column:
         F.filter(squeezed, lambda s: s != ""),
         lambda s: F.when(F.length(s) <= n, s).otherwise(F.concat(F.substring(s, 1, n - 3), F.lit("..."))),
     )
-    distinct = F.filter(capped, lambda s, i: (i == 0) | (s != F.get(capped, i - 1)))
-    return F.when(F.size(distinct) > 0, F.slice(distinct, F.greatest(F.size(distinct) - X.BREADCRUMB_DEPTH + 1, F.lit(1)), X.BREADCRUMB_DEPTH))
+    # every label next to its predecessor, so that repeats fall out in one pass
+    pairs = F.zip_with(capped, F.concat(F.array(F.lit(None).cast("string")), capped), lambda s, before: F.struct(s.alias("s"), before.alias("before")))
+    distinct = F.transform(F.filter(pairs, lambda p: p["s"].isNotNull() & ~p["s"].eqNullSafe(p["before"])), lambda p: p["s"])
+    last = F.slice(F.reverse(distinct), 1, X.BREADCRUMB_DEPTH)
+    return F.when(F.size(last) > 0, F.reverse(last))
 
 
 def staleness(indexed_at: Column, now: Column) -> Column:

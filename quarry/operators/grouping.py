@@ -104,7 +104,7 @@ def noise_hint(results: DataFrame, ignore_rules: list[str] | None = None, key: s
     return agg.where(F.col("_noisy") / F.col("top") >= X.NOISE_SHARE).drop("_noisy")
 
 
-def nav_hint(groups: DataFrame, outline_ready: Column = F.lit(True)) -> DataFrame:
+def nav_hint(groups: DataFrame, outline_ready: Column | None = None) -> DataFrame:
     """Graph support per group; otherwise a span to read, and an outline window where possible."""
     capable = graph_capable(F.coalesce(F.col("language"), F.lit("unknown")), extension(F.col("path")))
     has = F.length(F.coalesce(F.col("symbol_id"), F.lit(""))) > 0
@@ -117,4 +117,4 @@ def nav_hint(groups: DataFrame, outline_ready: Column = F.lit(True)) -> DataFram
     return (groups.withColumn("graph_supported", ok)
             .withColumn("graph_reason", F.when(~has, "missing_symbol").when(~capable, "unsupported_language"))
             .withColumn("read_start", F.when(fb, start)).withColumn("read_end", F.when(fb, end))
-            .withColumn("outline_window", fb & outline_ready & ext_ok))
+            .withColumn("outline_window", fb & ext_ok & (F.lit(True) if outline_ready is None else outline_ready)))
