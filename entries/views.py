@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-PATH_CASE = """CASE doc_id % 10
+PATH_CASE = """CASE CAST((doc_id - doc_id % 20) / 20 AS BIGINT) % 10
  WHEN 0 THEN 'docs/' || lang || '/doc_' || doc_id || '.md'
  WHEN 1 THEN 'src/auth/mod_' || doc_id || '.test.ts'
  WHEN 2 THEN 'src/core/mod_' || doc_id || '.ts'
