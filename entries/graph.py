@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from entries import views as V
 from quarry.functions import fixed as X
 from quarry.operators import graph as G
+from quarry.session import cut_lineage
 
 c = V.CTE
 L = lambda x, n=None: F.col(x).cast("long").alias(n or x)
@@ -95,15 +96,20 @@ def sites(s, sf):
 
 
 def resolved(s, sf):
-    return G.resolve(sites(s, sf), nodes(s, sf))
+    return G.resolve(cut_lineage(sites(s, sf), "sites"), nodes(s, sf))
 
 
-def walk(s, sf):
-    return G.traverse(nodes(s, sf).selectExpr(*_SEED), G.edges(resolved(s, sf)))
+def graph(s, sf):
+    return G.build_graph(chunks(s, sf), gfiles(s, sf))
+
+
+def walk(s, sf, edges=None):
+    return G.traverse(nodes(s, sf).selectExpr(*_SEED), graph(s, sf)[1] if edges is None else edges)
 
 
 def notes(s, sf):
-    return G.graph_notes(walk(s, sf), nodes(s, sf), G.unresolved_notes(resolved(s, sf)).unionByName(G.missing_symbol_notes(chunks(s, sf))), 10).select(
+    n, e, found = graph(s, sf)
+    return G.graph_notes(cut_lineage(walk(s, sf, e), "walk"), n, found, 10).select(
         "seed_id", L("rank"), "type", "file", L("line"), "symbol_id", L("total"), "truncated")
 
 

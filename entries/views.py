@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from quarry.session import spread
+
 PATH_CASE = """CASE CAST((doc_id - doc_id % 20) / 20 AS BIGINT) % 10
  WHEN 0 THEN 'docs/' || lang || '/doc_' || doc_id || '.md'
  WHEN 1 THEN 'src/auth/mod_' || doc_id || '.test.ts'
@@ -23,7 +25,8 @@ PATH_CASE = """CASE CAST((doc_id - doc_id % 20) / 20 AS BIGINT) % 10
 
 def t(spark: SparkSession, sf: str, name: str) -> DataFrame:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    return spread(df) if name == "documents" else df
 
 
 # --- Spark side -----------------------------------------------------------------------------

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from quarry.functions import fixed as X
 from quarry.functions.paths import extension, language_of
+from quarry.session import explode_once
 from quarry.functions.text import chunk_id, line_count, symbol_id, trim_ws
 
 # --- fixed values: declaration headers by language -------------------------------------------
@@ -66,7 +67,7 @@ def chunk_windows(files: DataFrame, size: int = 2500, overlap: int = 0, text: st
         F.array_join(F.transform(F.slice("_u", s + 1, e - s), lambda u: u["t"]), "").alias("content"),
         F.get("_u", s)["line"].alias("start_line"), F.get("_u", e - 1)["line"].alias("end_line")))
     keep = [c for c in d.columns if c not in ("_u", "_s", "_e", text, "content")]
-    out = (d.select(*keep, F.posexplode(spans).alias("chunk_no", "c")).select(*keep, "chunk_no", "c.start_line", "c.end_line", "c.content")
+    out = (explode_once(d, spans, "c", "chunk_no").select(*keep, "chunk_no", "c.start_line", "c.end_line", "c.content")
            .where(trim_ws(F.col("content")) != ""))
     return add_overlap(out, overlap) if overlap else out
 
@@ -83,7 +84,7 @@ def chunk_declarations(files: DataFrame, text: str = "content") -> DataFrame:
         F.array_join(F.slice("_lines", s + 1, e - s), "\n").alias("content"), (s + 1).alias("start_line"), e.alias("end_line"),
         F.when(F.array_contains("_h", s), F.get("_lines", s)).alias("header")))
     keep = [c for c in d.columns if c not in ("_lines", "_h", "_s", "_e", text, "content")]
-    out = d.select(*keep, F.posexplode(spans).alias("chunk_no", "c")).select(*keep, "chunk_no", "c.*")
+    out = explode_once(d, spans, "c", "chunk_no").select(*keep, "chunk_no", "c.*")
     return out.where(trim_ws(F.col("content")) != "").withColumn("symbol_label", symbol_label(F.col("language"), F.col("header")))
 
 
@@ -122,7 +123,7 @@ def split_large(chunks: DataFrame, size: int = 2500) -> DataFrame:
         F.array_join(F.slice("_l", s + 1, e - s), "").alias("content"), (F.col("start_line") + s).alias("start_line"),
         F.when(big, F.col("start_line") + e - 1).otherwise(F.col("end_line")).alias("end_line"), (e == F.size("_l")).alias("last")))
     keep = [c for c in chunks.columns if c not in ("content", "start_line", "end_line")]
-    out = d.select(*keep, big.alias("_big"), F.posexplode(parts).alias("part", "p")).select(*keep, "_big", "part", "p.*")
+    out = explode_once(d.withColumn("_big", big), parts, "p", "part").select(*keep, "_big", "part", "p.*")
     out = out.withColumn("content", F.when(F.col("_big"), trim_ws(F.col("content"))).otherwise(F.col("content")))
     return out.where(~(F.col("_big") & F.col("last") & (F.col("content") == ""))).drop("_big", "last")
 

@@ -8,6 +8,7 @@ from quarry.functions import fixed as X
 from quarry.functions.paths import extension, graph_capable, normalize_path
 from quarry.functions.text import regex_escape, trim_ws
 from quarry.operators.scoring import blank_last
+from quarry.session import cut_lineage, explode_once
 
 # --- fixed values: names and calls ------------------------------------------------------------
 NAME = r"[A-Za-z_$][A-Za-z0-9_$]*"
@@ -77,7 +78,7 @@ def source_lines(nodes: DataFrame, files: DataFrame) -> DataFrame:
     scan = nodes.where(label.contains("function ") | label.contains("method ") | label.startswith("class "))
     j = scan.join(files.select("corpus", F.col("path").alias("file"), "content"), ["corpus", "file"])
     span = F.slice(F.split("content", "\r?\n", -1), F.col("start_line"), F.col("end_line") - F.col("start_line") + 1)
-    ex = j.select("corpus", "symbol_id", "file", "language", "start_line", F.posexplode(span).alias("_i", "raw"))
+    ex = explode_once(j, span, "raw", "_i")
     line = F.when(F.col("language") == "python", F.regexp_replace("raw", "#.*$", "")).otherwise(F.regexp_replace("raw", "//.*$", ""))
     return ex.select("corpus", "symbol_id", "file", "language", (F.col("start_line") + F.col("_i")).alias("line"), line.alias("text")).where(trim_ws(F.col("text")) != "")
 
@@ -85,12 +86,12 @@ def source_lines(nodes: DataFrame, files: DataFrame) -> DataFrame:
 def extract_calls(lines: DataFrame) -> DataFrame:
     """(corpus, src, file, line, name, kind) without keywords and definitions."""
     found = F.filter(call_sites(F.col("text")), lambda s: ~s["name"].isin(X.CALL_KEYWORDS))
-    sites = lines.withColumn("s", F.explode(found)).where(~looks_like_definition(F.col("text"), F.col("s.name")))
+    sites = explode_once(lines, found, "s").where(~looks_like_definition(F.col("text"), F.col("s.name")))
     return sites.select("corpus", F.col("symbol_id").alias("src"), "file", "line", "s.name", "s.kind")
 
 
 def extract_imports(lines: DataFrame) -> DataFrame:
-    return lines.withColumn("name", F.explode(import_names(F.col("text"), F.col("language")))).select(
+    return explode_once(lines, import_names(F.col("text"), F.col("language")), "name").select(
         "corpus", F.col("symbol_id").alias("src"), "file", "line", "name", F.lit("import").alias("kind"))
 
 
@@ -151,10 +152,12 @@ def note_order() -> list[Column]:
 
 
 def build_graph(chunks: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(nodes, edges, notes) of all corpora."""
+    """(nodes, edges, notes) of all corpora. Sites and their targets are written to the shared
+    folder: they are read several times and far smaller than the text they come from."""
     nodes = symbol_nodes(chunks)
     lines = source_lines(nodes, files)
-    found = resolve(extract_calls(lines).unionByName(extract_imports(lines)), nodes)
+    sites = cut_lineage(extract_calls(lines).unionByName(extract_imports(lines)), "sites")
+    found = cut_lineage(resolve(sites, nodes), "resolved")
     return nodes, edges(found), unresolved_notes(found).unionByName(missing_symbol_notes(chunks))
 
 

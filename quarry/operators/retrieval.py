@@ -14,11 +14,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from quarry.functions import fixed as X
+from quarry.session import explode_once
 
 DIGITS = 9
 # A query block is sent to every task; beyond this many bytes the query table is cut into
 # blocks and both sides are shuffled into a grid instead.
 BROADCAST_BYTES = 32 << 20
+BROADCAST_TERMS = 500_000   # (query, term) rows sent to every task; at most some tens of MB
 GRID_QUERIES = 4096
 GRID_ROWS = 100_000
 
@@ -185,7 +187,7 @@ def tokens(text: Column) -> Column:
 def bm25_postings(chunks: DataFrame, id_col: str = "doc_id", text: str = "content", terms: DataFrame | None = None) -> DataFrame:
     """(term, id, tf, len). ``terms`` keeps only those terms, before anything is shuffled."""
     d = chunks.select(F.col(id_col).alias("_id"), tokens(F.col(text)).alias("_w"))
-    p = d.select("_id", F.size("_w").alias("len"), F.explode("_w").alias("term"))
+    p = explode_once(d, F.col("_w"), "term").select("_id", F.size("_w").alias("len"), "term")
     if terms is not None:
         p = p.join(terms, "term", "left_semi")
     return p.groupBy("term", "_id", "len").agg(F.count(F.lit(1)).alias("tf")).withColumnRenamed("_id", id_col)
@@ -196,26 +198,36 @@ def bm25_stats(chunks: DataFrame, text: str = "content") -> DataFrame:
 
 
 def bm25_topk(chunks: DataFrame, queries: DataFrame, k: int, id_col: str = "doc_id", text: str = "content",
-              query_id: str = "query_id", query_text: str = "semantic", salts: int = 16) -> DataFrame:
-    """BM25 top k per query: (query_id, id, score, rank). Query terms count once.
-
-    The hot side of the join is a common term's postings: they are salted, and the query side,
-    which is small per term, is repeated per salt.
-    """
+              query_id: str = "query_id", query_text: str = "semantic", broadcast_terms: int = BROADCAST_TERMS,
+              salts: int = 16) -> DataFrame:
+    """BM25 top k per query: (query_id, id, score, rank). Query terms count once."""
     qterms = (queries.select(F.col(query_id).alias("_q"), F.explode(F.array_distinct(tokens(F.col(query_text)))).alias("term")))
     post = bm25_postings(chunks, id_col, text, qterms.select("term").distinct())
-    stats = bm25_stats(chunks, text)
+    return bm25_score(post, bm25_stats(chunks, text), qterms, k, id_col, query_id, broadcast_terms, salts)
+
+
+def bm25_score(post: DataFrame, stats: DataFrame, qterms: DataFrame, k: int, id_col: str, query_id: str = "query_id",
+               broadcast_terms: int = BROADCAST_TERMS, salts: int = 16) -> DataFrame:
+    """Scores (_q, term) rows against postings (term, id, len, tf), fresh or from a stored index.
+
+    Postings are laid out by chunk. While the query terms are few enough to be sent to every
+    task (counted first), a chunk's score for all queries is summed where its postings are, and
+    only scores are shuffled. More query terms than that are joined by (term, salt): a common
+    term's postings are spread over salts, and the query side is repeated per salt.
+    """
     n, avg_len = stats.select("n_chunks").scalar(), stats.select("avg_len").scalar()
     df = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = qterms.join(df, "term").withColumn(
         "idf", F.log(F.lit(1.0) + (n - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5)))).drop("df")
     tf = F.col("tf")
     part = tf * F.lit(X.BM25_K1 + 1) / (tf + F.lit(X.BM25_K1) * (F.lit(1 - X.BM25_B) + F.lit(X.BM25_B) * F.col("len") / avg_len))
-    weighted = post.select("term", F.col(id_col).alias("_id"), part.alias("w"),
-                           F.pmod(F.xxhash64(id_col), F.lit(salts)).cast("int").alias("_s"))
-    spread = idf.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    scored = (weighted.join(spread, ["term", "_s"]).groupBy("_q", "_id")
-              .agg(F.round(F.sum(F.col("idf") * F.col("w")), DIGITS).alias("score")))
+    weighted = post.repartition(F.col(id_col)).select("term", F.col(id_col).alias("_id"), part.alias("w"))
+    if qterms.limit(broadcast_terms + 1).count() <= broadcast_terms:
+        joined = weighted.join(F.broadcast(idf), "term")
+    else:
+        joined = (weighted.withColumn("_s", F.pmod(F.xxhash64("_id"), F.lit(salts)).cast("int"))
+                  .join(idf.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), ["term", "_s"]))
+    scored = joined.groupBy("_id", "_q").agg(F.round(F.sum(F.col("idf") * F.col("w")), DIGITS).alias("score"))
     rank = F.row_number().over(W.partitionBy("_q").orderBy(F.desc("score"), "_id"))
     return (scored.withColumn("rank", rank).where(F.col("rank") <= k)
             .select(F.col("_q").alias(query_id), F.col("_id").alias(id_col), "score", "rank"))

@@ -48,28 +48,41 @@ def attribution(candidates: DataFrame, keys: list[str]) -> DataFrame:
 
 
 # --- lexical evidence -----------------------------------------------------------------------
+def _alone(term: Column, escaped: Column, word: str) -> tuple[Column, Column]:
+    """What must hold before and after a literal term. The look-behind comes after the literal, so
+    that the engine can search for the literal itself."""
+    starts, ends = term.rlike(f"^{word}"), term.rlike(f"{word}$")
+    before = F.concat(F.when(starts, f"(?<!{word}").otherwise(f"(?<={word}"), escaped, F.lit(")"))
+    return before, F.when(ends, f"(?!{word})").otherwise(f"(?={word})")
+
+
 def boundary(field: Column, term: Column) -> Column:
     """The term stands alone in a lower-cased field; "_" counts as a boundary here."""
-    return F.rlike(field, F.concat(F.lit("(?:^|[^a-z0-9])"), regex_escape(term), F.lit("(?:[^a-z0-9]|$)")))
+    e = regex_escape(term)
+    return F.rlike(field, F.concat(e, F.lit("(?<![a-z0-9]"), e, F.lit(")(?![a-z0-9])")))
 
 
 def usage_kind(content: Column, term: Column) -> Column:
     """'executable', 'import' or null for a lower-cased text; "_" is a word character here."""
     e = regex_escape(term)
+    before, after = _alone(term, e, WORD)
     starts, ends = term.rlike(f"^{WORD}"), term.rlike(f"{WORD}$")
-    before = F.when(starts, f"(?:^|{NOT_WORD})").otherwise(WORD)
-    after = F.when(ends, f"(?:{NOT_WORD}|$)").otherwise(WORD)
     middle = F.when(starts, f"(?:.*{NOT_WORD})?").otherwise(f".*{WORD}")
-    made = F.concat(F.lit(f"(?:^|{NOT_WORD})new\\s+"), e, after)
-    called = F.concat(before, e, F.lit(r"\s*\("))
-    assigned = F.concat(before, e, F.lit(r"\s*="))
-    imported = F.concat(F.lit(f"(?:^|{NOT_WORD})import\\s+"), middle, e, after)
+    made = F.concat(F.lit(f"new(?<!{WORD}new)\\s+"), e, after)
+    called = F.concat(e, before, F.lit(r"\s*\("))
+    assigned = F.concat(e, before, F.lit(r"\s*="))
+    imported = F.concat(F.lit(f"import(?<!{WORD}import)\\s+"), middle, e, after)
     # a usage needs the term in the text at all, which spares most of the pattern work
     return F.when(content.contains(term), F.when(
         F.rlike(content, made) | F.rlike(content, called) | (ends & F.rlike(content, assigned)), F.lit("executable"))
         .when(F.rlike(content, imported), F.lit("import")))
 
 
+def may_declare(content: Column) -> Column:
+    """Cheap test, once per text: there is a declaration keyword at all."""
+    return content.rlike(r"(?:class|def|function|type|interface|enum|struct|const|let|var)\s")
+
+
 def declares(content: Column, term: Column) -> Column:
     """The lower-cased text declares the term."""
     e = regex_escape(term)
@@ -80,17 +93,19 @@ def declares(content: Column, term: Column) -> Column:
     return content.contains(term) & (F.rlike(content, named) | (term.rlike(f"{WORD}$") & F.rlike(content, bound)))
 
 
-def term_tiers(terms: Column, reference_seeking: Column, strict: Column, label: Column, path: Column, content: Column) -> Column:
+def term_tiers(terms: Column, reference_seeking: Column, strict: Column, label: Column, path: Column, content: Column,
+               decl: Column) -> Column:
     """Per term the tier it reaches in one chunk: ARRAY<STRUCT<tier, declared, factor, whole>>.
 
-    label, path and content must be lower-cased columns, so that this work is not repeated per term.
+    label, path and content must be lower-cased columns, so that this work is not repeated per term;
+    ``decl`` says whether a declaration is to be looked for.
     """
     segments = F.split(path, "/")
 
     def one(t):
         v = t["value"]
         use = F.when(reference_seeking, usage_kind(content, v))
-        declared = F.when(reference_seeking, declares(content, v)).otherwise(False)
+        declared = F.when(decl, declares(content, v)).otherwise(False)
         tier = (
             F.when((use == "executable") & ~declared, "executable")
             .when((use == "import") & ~declared, "import")
@@ -123,11 +138,12 @@ def lexical_evidence(candidates: DataFrame) -> DataFrame:
     c = candidates.withColumns({
         "_label": F.lower(F.coalesce("symbol_label", blank)), "_path": F.lower(F.coalesce("path", blank)),
         "_text": F.lower(F.coalesce("content", blank))})
-    c = c.withColumn("_seen", term_tiers(F.col("terms"), ref, strict, F.col("_label"), F.col("_path"), F.col("_text")))
+    c = c.withColumn("_decl", F.when(ref, may_declare(F.col("_text"))).otherwise(False))
+    c = c.withColumn("_seen", term_tiers(F.col("terms"), ref, strict, F.col("_label"), F.col("_path"), F.col("_text"), F.col("_decl")))
     best = F.coalesce(F.array_max(F.transform("_seen", lambda s: tier_points(s, ref))), F.lit(0.0))
     exact = F.exists("_seen", lambda s: s["whole"] & F.coalesce(s["tier"].isin("label_boundary", "path_boundary"), F.lit(False))) & ~ref
     return (c.withColumn("lexical", best * F.col("lexical_weight")).withColumn("exact", F.coalesce(exact, F.lit(False)))
-            .drop("_label", "_path", "_text", "_seen"))
+            .drop("_label", "_path", "_text", "_decl", "_seen"))
 
 
 # --- multipliers and final score ------------------------------------------------------------

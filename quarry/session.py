@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
@@ -51,3 +51,23 @@ def cut_lineage(df: DataFrame, name: str) -> DataFrame:
     path = shared_dir(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over at least as many partitions as there are cores, for work that costs much per row.
+
+    A table of many files or row groups already has that many splits and comes back as it is.
+    """
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= n else df.repartition(n)
+
+
+def explode_once(df: DataFrame, array, name: str, pos: str | None = None) -> DataFrame:
+    """``explode`` (or ``posexplode``) of an expensive array expression.
+
+    A plain explode makes the optimizer add a filter on the array's size below it, which computes
+    the array a second time; the outer form does not, and the null rows go right after.
+    """
+    gen = F.posexplode_outer(array).alias(pos, name) if pos else F.explode_outer(array).alias(name)
+    out = df.select("*", gen)
+    return out.where(F.col(pos).isNotNull() if pos else F.col(name).isNotNull())
