@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -32,6 +33,11 @@ def build_session(master: str | None = None, app: str = "quarry", partitions: in
     return b.getOrCreate()
 
 
+@functools.cache
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="quarry-")
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder below the shared folder the cluster names in spark.checkpoint.dir.
 
@@ -41,8 +47,7 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError(f"set {CHECKPOINT_KEY} to a folder all executors can reach")
-        root = tempfile.mkdtemp(prefix="quarry-")
-        spark.conf.set(CHECKPOINT_KEY, root)
+        root = _local_folder()
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
