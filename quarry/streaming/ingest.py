@@ -27,9 +27,10 @@ def _read(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.createDataFrame([], schema)
 
 
-def versions(spark: SparkSession, root: str) -> DataFrame:
-    """The newest version of every file."""
+def versions(spark: SparkSession, root: str, before: int | None = None) -> DataFrame:
+    """The newest version of every file, of all batches or of those before a batch."""
     v = _read(spark, f"{root}/versions", VERSIONS)
+    v = v if before is None else v.where(F.col("batch") < before)
     newest = F.max_by(F.struct("content_hash", "deleted", "mtime", "batch"), F.struct("batch", "mtime"))
     return v.groupBy(*KEY).agg(newest.alias("v")).select(*KEY, "v.*")
 
@@ -46,7 +47,7 @@ def apply_batch(batch: DataFrame, batch_id: int, root: str, split: Callable[[Dat
     row = F.struct("content", "mtime", F.coalesce("deleted", F.lit(False)).alias("deleted"))
     new = (batch.groupBy(*KEY).agg(F.max_by(row, "mtime").alias("r")).select(*KEY, "r.*")
            .withColumn("content_hash", F.when(~F.col("deleted"), F.sha2("content", 256))))
-    old = versions(spark, root).where(F.col("batch") < batch_id).select(
+    old = versions(spark, root, batch_id).select(
         *KEY, F.col("content_hash").alias("_h"), F.col("deleted").alias("_d"), F.col("mtime").alias("_m"))
     j = new.join(old, KEY, "left")
     seen = F.col("_d").isNotNull()
