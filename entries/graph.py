@@ -91,8 +91,7 @@ def lines(s, sf):
 
 
 def sites(s, sf):
-    x = lines(s, sf)
-    return G.extract_calls(x).unionByName(G.extract_imports(x))
+    return G.extract_sites(lines(s, sf))
 
 
 def resolved(s, sf):

@@ -6,6 +6,7 @@ from entries import views as V
 from entries.columns import IGNORED, RULES
 from quarry.functions import fixed as X
 from quarry.operators import chunking as C, incremental as I
+from quarry.session import shared_dir
 from quarry.sources import tables as T
 
 c = V.CTE
@@ -161,7 +162,28 @@ def rebuild_due(s, sf):
     return I.graph_rebuild_due(files(s, sf).where("size > 1500").selectExpr("lang || '-' || corpus AS corpus", "path"))
 
 
+def built(s, sf, sync=False):
+    """Build the index in the shared folder, then (for sync) move it from an older state of the files."""
+    from quarry.functions.embedders import keyword_vector
+    from quarry.operators.state import fingerprint
+    from quarry.plans import index
+    root, now = shared_dir(s, "built"), F.lit("2026-01-01 00:00:00").cast("timestamp")
+    f = files(s, sf).select("corpus", "path", "content", "size", "mtime", "lang")
+    fp = fingerprint({"provider": "native", "model": "keywords", "dimension": 4, "store": "parquet", "schema_version": "hybrid_v3"})
+    first = f.where("lang <> 'es'").withColumn("content", F.when(F.col("lang") == "fr", F.upper("content")).otherwise(F.col("content"))).withColumn(
+        "mtime", F.when(F.col("lang") == "fr", F.col("mtime") - 1).otherwise(F.col("mtime"))) if sync else f
+    index.build(first.drop("lang"), root, keyword_vector, fp, now, "run-1", ["*.bin"])
+    if sync:
+        delta = index.sync(f.drop("lang"), root, keyword_vector, fp, now + F.expr("INTERVAL 1 HOUR"), "run-2", ["*.bin"])
+        return delta.groupBy("change").agg(F.count(F.lit(1)).alias("files"))
+    chunks, last = index.load(s, root)
+    n = chunks.groupBy("corpus").agg(F.count_distinct("path").alias("files"), F.sum(F.size("vector")).alias("numbers"))
+    return n.join(last.select("corpus", "indexed_files", "run_id"), "corpus")
+
+
 QUERIES = {
+    "index_build": built,
+    "index_sync": lambda s, sf: built(s, sf, True),
     "chunk_upsert": upsert,
     "chunk_delete_by_path": lambda s, sf: T.delete_paths(V.chunks(s, sf), gone(s, sf)).select("chunk_id", "corpus", "path"),
     "chunk_delete_counts": lambda s, sf: T.deleted_counts(V.chunks(s, sf), gone(s, sf)),
@@ -213,7 +235,28 @@ def _delta_sql():
     return resize(q)
 
 
+_EXTS = "(" + ",".join(f"'{e}'" for e in X.SUPPORTED_EXTENSIONS) + ")"
+c["found"] = rf"SELECT * FROM files WHERE regexp_extract(path, '(\.[^./]+)$', 1) IN {_EXTS} AND path NOT LIKE '.%' AND trim(content) <> ''"
+
+
+def _build_sql():
+    """Chunk counts follow from the declaration oracle; here the texts as they are."""
+    return V.sql(r"""SELECT corpus, count(*) AS files, CAST(sum(4 * parts) AS BIGINT) AS numbers, count(*) AS indexed_files, 'run-1' AS run_id FROM (
+      SELECT f.corpus, f.path, p.parts FROM found f JOIN (SELECT doc_id, count(*) AS parts FROM bp GROUP BY doc_id) p ON p.doc_id = f.doc_id) GROUP BY corpus""", *_PARTS, "found", recursive=True)
+
+
+# lines packed to 2500 characters; the test texts hold no declaration headers
+c["bl0"] = "SELECT doc_id, length(content) AS total, string_split(content, chr(10)) AS ls FROM files"
+c["bl1"] = "SELECT doc_id, total, unnest(range(1, len(ls)+1)) AS i, len(ls) AS nl, ls FROM bl0"
+c["bl2"] = "SELECT doc_id, total, i, length(ls[i]) + CASE WHEN i < nl THEN 1 ELSE 0 END AS n FROM bl1"
+c["blp"] = """SELECT doc_id, i, n AS cur, 0 AS part, total FROM bl2 WHERE i = 1 UNION ALL
+  SELECT u.doc_id, u.i, CASE WHEN p.cur > 0 AND p.cur + u.n > 2500 THEN u.n ELSE p.cur + u.n END, p.part + CASE WHEN p.cur > 0 AND p.cur + u.n > 2500 THEN 1 ELSE 0 END, u.total FROM blp p JOIN bl2 u ON u.doc_id = p.doc_id AND u.i = p.i + 1"""
+c["bp"] = "SELECT DISTINCT doc_id, CASE WHEN total > 2500 THEN part ELSE 0 END AS part FROM blp"
+_PARTS = ("files", "bl0", "bl1", "bl2", "blp", "bp")
+
 SQL = {
+    "index_build": _build_sql(),
+    "index_sync": V.sql("SELECT CASE WHEN lang = 'es' THEN 'added' ELSE 'modified' END AS change, count(*) AS files FROM found WHERE lang IN ('es', 'fr') AND (lang = 'es' OR upper(content) <> content) GROUP BY 1", "files", "found"),
     "chunk_upsert": V.sql("SELECT chunk_id, corpus, path, CASE WHEN language='typescript' OR corpus='src3' THEN 2 ELSE 1 END::BIGINT AS version FROM chunks", *CHUNKS),
     "chunk_delete_by_path": V.sql("SELECT chunk_id, corpus, path FROM chunks WHERE (corpus, path) NOT IN (SELECT corpus, path FROM gone)", "files", *CHUNKS, "gone"),
     "chunk_delete_counts": V.sql("SELECT corpus, count(*) AS paths, count(*) AS chunks FROM gone GROUP BY corpus", "files", "gone"),

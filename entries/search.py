@@ -7,6 +7,7 @@ from quarry.functions import fixed as X
 from quarry.functions.embedders import LETTERS, letter_vector
 from quarry.operators import grouping as G, retrieval as R, scoring as S
 from quarry.plans import search as P
+from quarry.session import cut_lineage
 
 NOW = "2026-01-29T00:00:00"
 CTE = V.CTE
@@ -221,12 +222,16 @@ def prepared(s, sf):
     return P.prepare(V.queries(s, sf))
 
 
+def stored(s, sf):
+    return cut_lineage(prepared(s, sf), "queries")
+
+
 def cands(s, sf):
-    return P.candidates(prepared(s, sf), V.chunks(s, sf), letter_vector)
+    return P.candidates(stored(s, sf), V.chunks(s, sf), letter_vector)
 
 
 def ranked(s, sf, changed=None):
-    return P.scored(prepared(s, sf), V.chunks(s, sf), letter_vector, changed)
+    return P.scored(stored(s, sf), V.chunks(s, sf), letter_vector, changed)
 
 
 def groups(s, sf):
@@ -293,14 +298,14 @@ def passes(s, sf):
 
 
 def fusion(s, sf):
-    p, c = prepared(s, sf), V.chunks(s, sf)
+    p, c = stored(s, sf), V.chunks(s, sf)
     return P.fuse_passes(P.cut_and_fuse(p, P.pass_lists(p, c, letter_vector)), c).select(
         "query_id", L("attempt"), "chunk_id", F.round("fusion", 9).alias("fusion"), F.round("backend", 9).alias("backend"), L("n_passes"))
 
 
 def degradation(s, sf):
     """Two kinds of query lose a pass: those seeking references the primary, ``must`` queries the expanded one."""
-    p = prepared(s, sf)
+    p = stored(s, sf)
     lists = P.pass_lists(p, V.chunks(s, sf), letter_vector).join(p.select("query_id", "reference_seeking", F.size("must").alias("nm")), "query_id")
     lists = lists.where("NOT (reference_seeking AND pass = 'primary') AND NOT (nm > 0 AND pass = 'expanded')")
     return P.pass_status(p, lists).select("query_id", L("n_ok"), L("n_failed"), "status", "missing_pass")

@@ -48,12 +48,18 @@ def symbol_index(nodes: DataFrame) -> DataFrame:
 
 # --- sites ------------------------------------------------------------------------------------
 def call_sites(line: Column) -> Column:
-    """ARRAY<STRUCT<name, kind>> of one source line: a member call is both dynamic and a call."""
+    """ARRAY<STRUCT<name, kind>> of one source line: a member call is both dynamic and a call.
+
+    Plain substring tests come before the patterns, since most lines have no call at all.
+    """
+    none = F.array().cast("array<struct<name:string,kind:string>>")
     own = lambda pattern: F.array_distinct(F.transform(F.regexp_extract_all(line, F.lit(pattern), F.lit(1)), F.lower))
     as_kind = lambda names, kind: F.transform(names, lambda n: F.struct(n.alias("name"), F.lit(kind).alias("kind")))
     direct = F.filter(own(DIRECT_CALL), lambda n: ~n.rlike("^[0-9]"))
-    getattr_ = F.when(line.rlike(r"(?:^|[^A-Za-z0-9_])getattr\s*\("), F.array(F.lit("getattr"))).otherwise(F.array().cast("array<string>"))
-    return F.array_distinct(F.concat(as_kind(own(MEMBER_CALL), "dynamic"), as_kind(direct, "call"), as_kind(getattr_, "dynamic")))
+    member = F.when(line.contains("."), as_kind(own(MEMBER_CALL), "dynamic")).otherwise(none)
+    getattr_ = F.when(line.contains("getattr") & line.rlike(r"(?:^|[^A-Za-z0-9_])getattr\s*\("),
+                      F.array(F.struct(F.lit("getattr").alias("name"), F.lit("dynamic").alias("kind")))).otherwise(none)
+    return F.when(line.contains("("), F.array_distinct(F.concat(member, as_kind(direct, "call"), getattr_))).otherwise(none)
 
 
 def looks_like_definition(line: Column, name: Column) -> Column:
@@ -83,16 +89,30 @@ def source_lines(nodes: DataFrame, files: DataFrame) -> DataFrame:
     return ex.select("corpus", "symbol_id", "file", "language", (F.col("start_line") + F.col("_i")).alias("line"), line.alias("text")).where(trim_ws(F.col("text")) != "")
 
 
-def extract_calls(lines: DataFrame) -> DataFrame:
-    """(corpus, src, file, line, name, kind) without keywords and definitions."""
-    found = F.filter(call_sites(F.col("text")), lambda s: ~s["name"].isin(X.CALL_KEYWORDS))
-    sites = explode_once(lines, found, "s").where(~looks_like_definition(F.col("text"), F.col("s.name")))
+def extract_sites(lines: DataFrame, calls: bool = True, imports: bool = True) -> DataFrame:
+    """(corpus, src, file, line, name, kind): calls without keywords and definitions, and imported
+    names, from one pass over the lines."""
+    t = F.col("text")
+    found = []
+    if calls:
+        found.append(F.filter(call_sites(t), lambda s: ~s["name"].isin(X.CALL_KEYWORDS)))
+    if imports:
+        names = F.when(t.contains("import"), import_names(t, F.col("language"))).otherwise(F.array().cast("array<string>"))
+        found.append(F.transform(names, lambda n: F.struct(n.alias("name"), F.lit("import").alias("kind"))))
+    # only a line with a keyword or a body can define something: tested once per line, not per site
+    may_define = t.rlike(r"(?i)(?:function|class|def)\s|=>|\{") if calls else F.lit(False)
+    sites = explode_once(lines.withColumn("_d", may_define), F.concat(*found), "s")
+    if calls:
+        sites = sites.where(~(F.col("_d") & (F.col("s.kind") != "import") & looks_like_definition(t, F.col("s.name"))))
     return sites.select("corpus", F.col("symbol_id").alias("src"), "file", "line", "s.name", "s.kind")
 
 
+def extract_calls(lines: DataFrame) -> DataFrame:
+    return extract_sites(lines, imports=False)
+
+
 def extract_imports(lines: DataFrame) -> DataFrame:
-    return explode_once(lines, import_names(F.col("text"), F.col("language")), "name").select(
-        "corpus", F.col("symbol_id").alias("src"), "file", "line", "name", F.lit("import").alias("kind"))
+    return extract_sites(lines, calls=False)
 
 
 # --- edges ------------------------------------------------------------------------------------
@@ -156,7 +176,7 @@ def build_graph(chunks: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFra
     folder: they are read several times and far smaller than the text they come from."""
     nodes = symbol_nodes(chunks)
     lines = source_lines(nodes, files)
-    sites = cut_lineage(extract_calls(lines).unionByName(extract_imports(lines)), "sites")
+    sites = cut_lineage(extract_sites(lines), "sites")
     found = cut_lineage(resolve(sites, nodes), "resolved")
     return nodes, edges(found), unresolved_notes(found).unionByName(missing_symbol_notes(chunks))
 

@@ -21,6 +21,7 @@ DIGITS = 9
 # blocks and both sides are shuffled into a grid instead.
 BROADCAST_BYTES = 32 << 20
 BROADCAST_TERMS = 500_000   # (query, term) rows sent to every task; at most some tens of MB
+BLOCK_SCORES = 4 << 20      # scores held at once in a task
 GRID_QUERIES = 4096
 GRID_ROWS = 100_000
 
@@ -48,23 +49,25 @@ def _best(qi: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[
 
 
 def _scan(batches, q: np.ndarray, k: int):
-    """Best k rows per query over (ids, unit matrix) batches, holding only k rows per query."""
+    """Best k rows per query over (ids, unit matrix) batches, holding only k rows per query and one
+    bounded block of scores."""
     best = (np.zeros(0, np.int64), None, np.zeros(0))
     floor = np.full(len(q), -np.inf)
-    for ids, m in batches:
-        if not len(m):
-            continue
-        s = np.round(m @ q.T, DIGITS) + 0.0
-        cut = floor
-        if len(s) > k:
-            cut = np.maximum(floor, np.partition(s, len(s) - k, axis=0)[len(s) - k])
-        r, c = np.nonzero(s >= cut)
-        old_ids = best[1] if best[1] is not None else ids[:0]
-        best = _best(np.r_[best[0], c], np.concatenate([old_ids, ids[r]]), np.r_[best[2], s[r, c]], k)
-        counts = np.bincount(best[0], minlength=len(q))
-        ends = np.cumsum(counts) - 1
-        full = counts >= k
-        floor[full] = best[2][ends[full]]
+    step = max(1, BLOCK_SCORES // max(1, len(q)))
+    for all_ids, rows in batches:
+        for at in range(0, len(rows), step):
+            ids, m = all_ids[at : at + step], rows[at : at + step]
+            s = np.round(m @ q.T, DIGITS) + 0.0
+            cut = floor
+            if len(s) > k:
+                cut = np.maximum(floor, np.partition(s, len(s) - k, axis=0)[len(s) - k])
+            r, c = np.nonzero(s >= cut)
+            old_ids = best[1] if best[1] is not None else ids[:0]
+            best = _best(np.r_[best[0], c], np.concatenate([old_ids, ids[r]]), np.r_[best[2], s[r, c]], k)
+            counts = np.bincount(best[0], minlength=len(q))
+            ends = np.cumsum(counts) - 1
+            full = counts >= k
+            floor[full] = best[2][ends[full]]
     return best
 
 
@@ -124,8 +127,13 @@ def _against_grid(c: DataFrame, q: DataFrame, k: int, schema: T.StructType, dim:
     cells = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     cq = q.withColumn("_qb", F.pmod(F.xxhash64("_q"), F.lit(nq)).cast("int")).withColumn("_cb", cells(nc))
     cc = c.withColumn("_cb", F.pmod(F.xxhash64("_id"), F.lit(nc)).cast("int")).withColumn("_qb", cells(nq))
+    return cq.groupBy("_qb", "_cb").cogroup(cc.groupBy("_qb", "_cb")).applyInArrow(_cell(k), schema)
 
-    def cell(left: pa.Table, right: pa.Table) -> pa.Table:
+
+def _cell(k: int):
+    """Best k rows per query of one (queries, chunks) cell."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
         names = ["_q", "_id", "score"]
         if left.num_rows and right.num_rows:
             qi, ids, s = _scan([(_id_array(right.column("_id")), _unit(_matrix(right.column("_v"))))],
@@ -133,17 +141,22 @@ def _against_grid(c: DataFrame, q: DataFrame, k: int, schema: T.StructType, dim:
             return pa.table([left.column("_q").take(pa.array(qi)), pa.array(ids), pa.array(s)], names=names)
         return pa.table([left.column("_q").slice(0, 0), right.column("_id").slice(0, 0), pa.array([], pa.float64())], names=names)
 
-    return cq.groupBy("_qb", "_cb").cogroup(cc.groupBy("_qb", "_cb")).applyInArrow(cell, schema)
+    return run
 
 
 def dense_topk_lsh(chunks: DataFrame, queries: DataFrame, k: int, id_col: str = "doc_id", vector: str = "vector",
-                   query_id: str = "query_id", tables: int = 12, bits: int = 10, probes: int = 1, seed: int = 17,
-                   salts: int = 16) -> DataFrame:
-    """Approximate variant: random-hyperplane buckets, an equi join on them, exact re-rank.
-
-    Hyperplane signs are a pure function of the seed. Queries also probe the neighbouring
-    buckets across their ``probes`` least certain bits; hot buckets are salted.
+                   query_id: str = "query_id", tables: int = 12, bits: int | None = None, probes: int = 1, seed: int = 17,
+                   cell_rows: int = GRID_ROWS, cell_queries: int = GRID_QUERIES) -> DataFrame:
+    """Approximate variant: random-hyperplane buckets, exact scores inside matching buckets.
+
+    Hyperplanes are a pure function of the seed. Queries also probe the neighbouring buckets
+    across their ``probes`` least certain bits. Both sides meet per bucket in one task, which
+    emits at most k rows per query and never the pairs. Buckets are counted first, and a bucket
+    with more chunks or queries than a cell takes is cut into a grid of cells. Without ``bits``
+    their number follows from the number of chunks (about 128 per bucket, at most 16 bits).
     """
+    if bits is None:
+        bits = int(np.clip(np.ceil(np.log2(max(2, chunks.count()) / 128)), 2, 16))
     dim = queries.limit(1).select(F.size(vector)).first()
     planes = np.random.default_rng(seed).standard_normal((tables * bits, dim[0] if dim else 1))
     weights = 1 << np.arange(bits)
@@ -163,12 +176,19 @@ def dense_topk_lsh(chunks: DataFrame, queries: DataFrame, k: int, id_col: str =
     query_keys = F.pandas_udf(lambda v: pd.Series(signatures(v, probes)), "array<long>")
     c = chunks.select(F.col(id_col).alias("_id"), F.col(vector).alias("_v"))
     q = queries.select(F.col(query_id).alias("_q"), F.col(vector).alias("_v"))
-    cb = c.select("_id", F.explode(chunk_keys("_v")).alias("_b")).withColumn("_s", F.pmod(F.xxhash64("_id"), F.lit(salts)).cast("int"))
-    qb = q.select("_q", F.explode(query_keys("_v")).alias("_b")).withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    pairs = qb.join(cb, ["_b", "_s"]).select("_q", "_id").distinct()
-    scored = pairs.join(q.withColumnRenamed("_v", "_qv"), "_q").join(c, "_id").withColumn("score", cosine(F.col("_qv"), F.col("_v")))
+    cb = explode_once(c.withColumn("_keys", chunk_keys("_v")), F.col("_keys"), "_b").drop("_keys")
+    qb = explode_once(q.withColumn("_keys", query_keys("_v")), F.col("_keys"), "_b").drop("_keys")
+    # one row per bucket and at most tables * 2^bits of them: a fixed bound, whatever the data
+    count = lambda df, size, n: df.groupBy("_b").agg(F.ceil(F.count(F.lit(1)) / F.lit(size)).cast("int").alias(n))
+    cells = F.broadcast(count(cb, cell_rows, "_nc").join(count(qb, cell_queries, "_nq"), "_b"))
+    own = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    cb = cb.join(cells, "_b").withColumn("_s", own("_id", "_nc")).withColumn("_t", every("_nq")).drop("_nc", "_nq")
+    qb = qb.join(cells, "_b").withColumn("_s", every("_nc")).withColumn("_t", own("_q", "_nq")).drop("_nc", "_nq")
+    schema = T.StructType([T.StructField("_q", q.schema["_q"].dataType), T.StructField("_id", c.schema["_id"].dataType), T.StructField("score", T.DoubleType())])
+    found = qb.groupBy("_b", "_s", "_t").cogroup(cb.groupBy("_b", "_s", "_t")).applyInArrow(_cell(k), schema).distinct()
     rank = F.row_number().over(W.partitionBy("_q").orderBy(F.desc("score"), "_id"))
-    return (scored.withColumn("rank", rank).where(F.col("rank") <= k)
+    return (found.withColumn("rank", rank).where(F.col("rank") <= k)
             .select(F.col("_q").alias(query_id), F.col("_id").alias(id_col), "score", "rank"))
 
 

@@ -1,7 +1,8 @@
 """The whole search for a table of queries, as one plan.
 
 queries -> operators and intent -> two passes of hybrid retrieval -> fusion -> filters ->
-scores -> (rerank) -> groups -> diversity. Each stage is a DataFrame and can be used alone.
+scores -> (rerank) -> groups -> diversity. Each stage is a DataFrame and can be used alone. The
+analysed queries are written to the shared folder once, since every stage joins them again.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from quarry.functions import fixed as X
 from quarry.functions.querylog import analyze, parse_operators, path_regexes
 from quarry.operators import grouping as G, retrieval as R, scoring as S
+from quarry.session import cut_lineage
 
 CHUNK_COLS = ["chunk_id", "path", "start_line", "end_line", "language", "content", "symbol_id", "symbol_label", "indexed_at"]
 
@@ -115,7 +117,7 @@ def search_batch(queries: DataFrame, chunks: DataFrame, embed, now: Column, chan
 
 
 def group_stage(queries, chunks, embed, now, changed=None, ranks=None, key="query_id") -> DataFrame:
-    ranked = scored(prepare(queries), chunks, embed, changed, key)
+    ranked = scored(cut_lineage(prepare(queries), "queries"), chunks, embed, changed, key)
     if ranks is not None:
         ranked = S.rerank(ranked, ranks, key)
     return G.rank_groups(G.collapse_declarations(G.group_hits(ranked, now, key), key), key)
@@ -123,4 +125,4 @@ def group_stage(queries, chunks, embed, now, changed=None, ranks=None, key="quer
 
 def search_raw(queries: DataFrame, chunks: DataFrame, embed, changed: DataFrame | None = None, key: str = "query_id") -> DataFrame:
     """Ungrouped results: the best ``result_limit`` candidates per query."""
-    return scored(prepare(queries), chunks, embed, changed, key).where(F.col("rank") <= F.col("result_limit"))
+    return scored(cut_lineage(prepare(queries), "queries"), chunks, embed, changed, key).where(F.col("rank") <= F.col("result_limit"))

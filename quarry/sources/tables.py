@@ -52,14 +52,14 @@ def rebuild(existing: DataFrame, fresh: DataFrame, corpora: DataFrame) -> DataFr
         fresh.join(corpora.select("corpus").distinct(), "corpus", "left_semi"), allowMissingColumns=True)
 
 
-def write_partitions(df: DataFrame, path: str, partition: str = "corpus") -> None:
+def write_partitions(df: DataFrame, path: str, partition: str = "corpus", staged: bool = True) -> None:
     """Replace just the partitions that occur in ``df``.
 
-    ``df`` may read the table it replaces: it is written to the shared folder first. The
-    rebalance hint splits a corpus that holds most rows over several tasks.
+    ``df`` may read the table it replaces: unless ``staged`` is off, it is written to the shared
+    folder first. The rebalance hint splits a corpus that holds most rows over several tasks.
     """
-    staged = cut_lineage(df, "staged")
-    (staged.hint("rebalance", F.col(partition)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    rows = cut_lineage(df, "staged") if staged else df
+    (rows.hint("rebalance", F.col(partition)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy(partition).parquet(path))
 
 
