@@ -49,21 +49,23 @@ def _best(qi: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[
 
 
 def _scan(batches, q: np.ndarray, k: int):
-    """Best k rows per query over (ids, unit matrix) batches, holding only k rows per query and one
-    bounded block of scores."""
+    """Best k rows per query over (ids, unit matrix, query indexes or None for all) batches, holding
+    only k rows per query and one bounded block of scores."""
     best = (np.zeros(0, np.int64), None, np.zeros(0))
     floor = np.full(len(q), -np.inf)
-    step = max(1, BLOCK_SCORES // max(1, len(q)))
-    for all_ids, rows in batches:
+    for all_ids, rows, mine in batches:
+        mine = np.arange(len(q)) if mine is None else mine
+        qm = q[mine].T
+        step = max(1, BLOCK_SCORES // max(1, len(mine)))
         for at in range(0, len(rows), step):
             ids, m = all_ids[at : at + step], rows[at : at + step]
-            s = np.round(m @ q.T, DIGITS) + 0.0
-            cut = floor
+            s = np.round(m @ qm, DIGITS) + 0.0
+            cut = floor[mine]
             if len(s) > k:
-                cut = np.maximum(floor, np.partition(s, len(s) - k, axis=0)[len(s) - k])
+                cut = np.maximum(cut, np.partition(s, len(s) - k, axis=0)[len(s) - k])
             r, c = np.nonzero(s >= cut)
             old_ids = best[1] if best[1] is not None else ids[:0]
-            best = _best(np.r_[best[0], c], np.concatenate([old_ids, ids[r]]), np.r_[best[2], s[r, c]], k)
+            best = _best(np.r_[best[0], mine[c]], np.concatenate([old_ids, ids[r]]), np.r_[best[2], s[r, c]], k)
             counts = np.bincount(best[0], minlength=len(q))
             ends = np.cumsum(counts) - 1
             full = counts >= k
@@ -71,32 +73,42 @@ def _scan(batches, q: np.ndarray, k: int):
     return best
 
 
+def _by_scope(ids: np.ndarray, m: np.ndarray, scope: np.ndarray, q_scope: np.ndarray):
+    """Split a batch so that chunks meet the queries of their own scope only."""
+    for value in np.unique(scope):
+        mine = np.flatnonzero(q_scope == value)
+        if len(mine):
+            at = np.flatnonzero(scope == value)
+            yield ids[at], m[at], mine
+
+
 def _id_array(col) -> np.ndarray:
     a = col.to_numpy(zero_copy_only=False)
     return a.astype(str) if a.dtype == object else a
 
 
 def dense_topk(chunks: DataFrame, queries: DataFrame, k: int, id_col: str = "doc_id", vector: str = "vector",
-               query_id: str = "query_id", min_score: float | None = None,
+               query_id: str = "query_id", min_score: float | None = None, within: str | None = None,
                broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """The k chunks nearest by cosine for every query: (query_id, id, score, rank).
 
     Every task multiplies its chunk batches with the query matrix and emits at most k rows per
     query, so the only shuffle carries candidates, never vectors. That needs the query matrix in
     each task: its size is checked, and a larger query table goes through a block grid.
+    ``within`` names a column of both tables (the corpus) that has to agree.
     """
-    c = chunks.select(F.col(id_col).alias("_id"), F.col(vector).alias("_v"))
-    q = queries.select(F.col(query_id).alias("_q"), F.col(vector).alias("_v"))
-    qt, it = q.schema["_q"].dataType, c.schema["_id"].dataType
-    out_schema = T.StructType([T.StructField("_q", qt), T.StructField("_id", it), T.StructField("score", T.DoubleType())])
+    scope = F.col(within).cast("string") if within else F.lit("")
+    c = chunks.select(F.col(id_col).alias("_id"), F.col(vector).alias("_v"), scope.alias("_w"))
+    q = queries.select(F.col(query_id).alias("_q"), F.col(vector).alias("_v"), scope.alias("_w"))
+    schema = _scored_schema(q, c)
     probe = q.limit(1).select(F.size("_v")).first()
     dim = max(1, probe[0] if probe else 1)
     room = max(1, broadcast_bytes // (8 * dim))
     head = q.limit(room + 1).toArrow()
     if head.num_rows <= room:
-        cand = _against_matrix(c, head, k, out_schema)
+        cand = _against_matrix(c, head, k, schema)
     else:
-        cand = _against_grid(c, q, k, out_schema, dim)
+        cand = _against_grid(c, q, k, schema)
     if min_score is not None:
         cand = cand.where(F.col("score") >= min_score)
     rank = F.row_number().over(W.partitionBy("_q").orderBy(F.desc("score"), "_id"))
@@ -104,14 +116,19 @@ def dense_topk(chunks: DataFrame, queries: DataFrame, k: int, id_col: str = "doc
             .select(F.col("_q").alias(query_id), F.col("_id").alias(id_col), "score", "rank"))
 
 
+def _scored_schema(q: DataFrame, c: DataFrame) -> T.StructType:
+    return T.StructType([T.StructField("_q", q.schema["_q"].dataType), T.StructField("_id", c.schema["_id"].dataType), T.StructField("score", T.DoubleType())])
+
+
 def _against_matrix(c: DataFrame, head: pa.Table, k: int, schema: T.StructType) -> DataFrame:
-    bc = c.sparkSession.sparkContext.broadcast((head.column("_q").to_numpy(), _unit(_matrix(head.column("_v")))))
+    bc = c.sparkSession.sparkContext.broadcast((head.column("_q").to_numpy(), _unit(_matrix(head.column("_v"))), _id_array(head.column("_w"))))
 
     def scan(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        qids, q = bc.value
+        qids, q, q_scope = bc.value
         if not len(q):
             return
-        batches = ((_id_array(b.column(0)), _unit(_matrix(b.column(1)))) for b in it if b.num_rows)
+        batches = (part for b in it if b.num_rows
+                   for part in _by_scope(_id_array(b.column(0)), _unit(_matrix(b.column(1))), _id_array(b.column(2)), q_scope))
         qi, ids, s = _scan(batches, q, k)
         if ids is not None and len(qi):
             yield pa.RecordBatch.from_arrays([pa.array(qids[qi]), pa.array(ids), pa.array(s)], names=["_q", "_id", "score"])
@@ -119,7 +136,7 @@ def _against_matrix(c: DataFrame, head: pa.Table, k: int, schema: T.StructType)
     return c.mapInArrow(scan, schema)
 
 
-def _against_grid(c: DataFrame, q: DataFrame, k: int, schema: T.StructType, dim: int,
+def _against_grid(c: DataFrame, q: DataFrame, k: int, schema: T.StructType,
                   grid_queries: int = GRID_QUERIES, grid_rows: int = GRID_ROWS) -> DataFrame:
     """Cells of at most about grid_queries x grid_rows; each cell is one bounded task."""
     nq = max(1, -(-q.count() // grid_queries))
@@ -136,9 +153,10 @@ def _cell(k: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         names = ["_q", "_id", "score"]
         if left.num_rows and right.num_rows:
-            qi, ids, s = _scan([(_id_array(right.column("_id")), _unit(_matrix(right.column("_v"))))],
-                               _unit(_matrix(left.column("_v"))), k)
-            return pa.table([left.column("_q").take(pa.array(qi)), pa.array(ids), pa.array(s)], names=names)
+            parts = _by_scope(_id_array(right.column("_id")), _unit(_matrix(right.column("_v"))), _id_array(right.column("_w")), _id_array(left.column("_w")))
+            qi, ids, s = _scan(parts, _unit(_matrix(left.column("_v"))), k)
+            if ids is not None:
+                return pa.table([left.column("_q").take(pa.array(qi)), pa.array(ids), pa.array(s)], names=names)
         return pa.table([left.column("_q").slice(0, 0), right.column("_id").slice(0, 0), pa.array([], pa.float64())], names=names)
 
     return run
@@ -174,8 +192,8 @@ def dense_topk_lsh(chunks: DataFrame, queries: DataFrame, k: int, id_col: str =
 
     chunk_keys = F.pandas_udf(lambda v: pd.Series(signatures(v, 0)), "array<long>")
     query_keys = F.pandas_udf(lambda v: pd.Series(signatures(v, probes)), "array<long>")
-    c = chunks.select(F.col(id_col).alias("_id"), F.col(vector).alias("_v"))
-    q = queries.select(F.col(query_id).alias("_q"), F.col(vector).alias("_v"))
+    c = chunks.select(F.col(id_col).alias("_id"), F.col(vector).alias("_v"), F.lit("").alias("_w"))
+    q = queries.select(F.col(query_id).alias("_q"), F.col(vector).alias("_v"), F.lit("").alias("_w"))
     cb = explode_once(c.withColumn("_keys", chunk_keys("_v")), F.col("_keys"), "_b").drop("_keys")
     qb = explode_once(q.withColumn("_keys", query_keys("_v")), F.col("_keys"), "_b").drop("_keys")
     # one row per bucket and at most tables * 2^bits of them: a fixed bound, whatever the data
@@ -185,8 +203,7 @@ def dense_topk_lsh(chunks: DataFrame, queries: DataFrame, k: int, id_col: str =
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     cb = cb.join(cells, "_b").withColumn("_s", own("_id", "_nc")).withColumn("_t", every("_nq")).drop("_nc", "_nq")
     qb = qb.join(cells, "_b").withColumn("_s", every("_nc")).withColumn("_t", own("_q", "_nq")).drop("_nc", "_nq")
-    schema = T.StructType([T.StructField("_q", q.schema["_q"].dataType), T.StructField("_id", c.schema["_id"].dataType), T.StructField("score", T.DoubleType())])
-    found = qb.groupBy("_b", "_s", "_t").cogroup(cb.groupBy("_b", "_s", "_t")).applyInArrow(_cell(k), schema).distinct()
+    found = qb.groupBy("_b", "_s", "_t").cogroup(cb.groupBy("_b", "_s", "_t")).applyInArrow(_cell(k), _scored_schema(q, c)).distinct()
     rank = F.row_number().over(W.partitionBy("_q").orderBy(F.desc("score"), "_id"))
     return (found.withColumn("rank", rank).where(F.col("rank") <= k)
             .select(F.col("_q").alias(query_id), F.col("_id").alias(id_col), "score", "rank"))
@@ -204,50 +221,60 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(X.TERM_PATTERN), F.lit(0))
 
 
-def bm25_postings(chunks: DataFrame, id_col: str = "doc_id", text: str = "content", terms: DataFrame | None = None) -> DataFrame:
-    """(term, id, tf, len). ``terms`` keeps only those terms, before anything is shuffled."""
-    d = chunks.select(F.col(id_col).alias("_id"), tokens(F.col(text)).alias("_w"))
-    p = explode_once(d, F.col("_w"), "term").select("_id", F.size("_w").alias("len"), "term")
+def bm25_postings(chunks: DataFrame, id_col: str = "doc_id", text: str = "content", terms: DataFrame | None = None,
+                  within: str | None = None) -> DataFrame:
+    """(scope, term, id, tf, len). ``terms`` (scope, term) keeps only those, before anything is shuffled."""
+    d = chunks.select(_scope(within), F.col(id_col).alias("_id"), tokens(F.col(text)).alias("_w"))
+    p = explode_once(d, F.col("_w"), "term").select("scope", "_id", F.size("_w").alias("len"), "term")
     if terms is not None:
-        p = p.join(terms, "term", "left_semi")
-    return p.groupBy("term", "_id", "len").agg(F.count(F.lit(1)).alias("tf")).withColumnRenamed("_id", id_col)
+        p = p.join(terms, ["scope", "term"], "left_semi")
+    return p.groupBy("scope", "term", "_id", "len").agg(F.count(F.lit(1)).alias("tf")).withColumnRenamed("_id", id_col)
+
 
+def bm25_stats(chunks: DataFrame, text: str = "content", within: str | None = None) -> DataFrame:
+    """Chunk count and mean length per scope."""
+    n = chunks.select(_scope(within), F.size(tokens(F.col(text))).alias("n"))
+    return n.groupBy("scope").agg(F.count(F.lit(1)).alias("n_chunks"), F.avg("n").alias("avg_len"))
 
-def bm25_stats(chunks: DataFrame, text: str = "content") -> DataFrame:
-    return chunks.select(F.size(tokens(F.col(text))).alias("n")).agg(F.count(F.lit(1)).alias("n_chunks"), F.avg("n").alias("avg_len"))
+
+def _scope(within: str | None) -> Column:
+    return (F.col(within).cast("string") if within else F.lit("")).alias("scope")
 
 
 def bm25_topk(chunks: DataFrame, queries: DataFrame, k: int, id_col: str = "doc_id", text: str = "content",
-              query_id: str = "query_id", query_text: str = "semantic", broadcast_terms: int = BROADCAST_TERMS,
-              salts: int = 16) -> DataFrame:
-    """BM25 top k per query: (query_id, id, score, rank). Query terms count once."""
-    qterms = (queries.select(F.col(query_id).alias("_q"), F.explode(F.array_distinct(tokens(F.col(query_text)))).alias("term")))
-    post = bm25_postings(chunks, id_col, text, qterms.select("term").distinct())
-    return bm25_score(post, bm25_stats(chunks, text), qterms, k, id_col, query_id, broadcast_terms, salts)
+              query_id: str = "query_id", query_text: str = "semantic", within: str | None = None,
+              broadcast_terms: int = BROADCAST_TERMS, salts: int = 16) -> DataFrame:
+    """BM25 top k per query: (query_id, id, score, rank). Query terms count once.
+
+    ``within`` names a column of both tables (the corpus): statistics are then its own and only
+    its chunks are scored.
+    """
+    qterms = queries.select(_scope(within), F.col(query_id).alias("_q"), F.explode(F.array_distinct(tokens(F.col(query_text)))).alias("term"))
+    post = bm25_postings(chunks, id_col, text, qterms.select("scope", "term").distinct(), within)
+    return bm25_score(post, bm25_stats(chunks, text, within), qterms, k, id_col, query_id, broadcast_terms, salts)
 
 
 def bm25_score(post: DataFrame, stats: DataFrame, qterms: DataFrame, k: int, id_col: str, query_id: str = "query_id",
                broadcast_terms: int = BROADCAST_TERMS, salts: int = 16) -> DataFrame:
-    """Scores (_q, term) rows against postings (term, id, len, tf), fresh or from a stored index.
+    """Scores (scope, _q, term) rows against postings (scope, term, id, len, tf), fresh or stored.
 
     Postings are laid out by chunk. While the query terms are few enough to be sent to every
     task (counted first), a chunk's score for all queries is summed where its postings are, and
-    only scores are shuffled. More query terms than that are joined by (term, salt): a common
-    term's postings are spread over salts, and the query side is repeated per salt.
+    only scores are shuffled. More query terms than that are joined by (scope, term, salt): a
+    common term's postings are spread over salts, and the query side is repeated per salt.
     """
-    n, avg_len = stats.select("n_chunks").scalar(), stats.select("avg_len").scalar()
-    df = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = qterms.join(df, "term").withColumn(
-        "idf", F.log(F.lit(1.0) + (n - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5)))).drop("df")
-    tf = F.col("tf")
-    part = tf * F.lit(X.BM25_K1 + 1) / (tf + F.lit(X.BM25_K1) * (F.lit(1 - X.BM25_B) + F.lit(X.BM25_B) * F.col("len") / avg_len))
-    weighted = post.repartition(F.col(id_col)).select("term", F.col(id_col).alias("_id"), part.alias("w"))
+    df = post.groupBy("scope", "term").agg(F.count(F.lit(1)).alias("df"))
+    idf = qterms.join(df, ["scope", "term"]).join(stats, "scope").withColumn(
+        "idf", F.log(F.lit(1.0) + (F.col("n_chunks") - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5)))).drop("df", "n_chunks")
+    laid = post.repartition(F.col(id_col)).withColumnRenamed(id_col, "_id")
     if qterms.limit(broadcast_terms + 1).count() <= broadcast_terms:
-        joined = weighted.join(F.broadcast(idf), "term")
+        joined = laid.join(F.broadcast(idf), ["scope", "term"])
     else:
-        joined = (weighted.withColumn("_s", F.pmod(F.xxhash64("_id"), F.lit(salts)).cast("int"))
-                  .join(idf.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), ["term", "_s"]))
-    scored = joined.groupBy("_id", "_q").agg(F.round(F.sum(F.col("idf") * F.col("w")), DIGITS).alias("score"))
+        joined = (laid.withColumn("_s", F.pmod(F.xxhash64("_id"), F.lit(salts)).cast("int"))
+                  .join(idf.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), ["scope", "term", "_s"]))
+    tf = F.col("tf")
+    part = tf * F.lit(X.BM25_K1 + 1) / (tf + F.lit(X.BM25_K1) * (F.lit(1 - X.BM25_B) + F.lit(X.BM25_B) * F.col("len") / F.col("avg_len")))
+    scored = joined.groupBy("_id", "_q").agg(F.round(F.sum(F.col("idf") * part), DIGITS).alias("score"))
     rank = F.row_number().over(W.partitionBy("_q").orderBy(F.desc("score"), "_id"))
     return (scored.withColumn("rank", rank).where(F.col("rank") <= k)
             .select(F.col("_q").alias(query_id), F.col("_id").alias(id_col), "score", "rank"))
@@ -265,9 +292,9 @@ def rrf_fuse(lists: list[DataFrame], keys: list[str], id_col: str, k_const: int,
 
 
 def hybrid_topk(chunks: DataFrame, queries: DataFrame, k: int, id_col: str = "doc_id", vector: str = "vector",
-                text: str = "content", query_id: str = "query_id", query_text: str = "semantic") -> DataFrame:
-    dense = dense_topk(chunks, queries, k, id_col, vector, query_id)
-    sparse = bm25_topk(chunks, queries, k, id_col, text, query_id, query_text)
+                text: str = "content", query_id: str = "query_id", query_text: str = "semantic", within: str | None = None) -> DataFrame:
+    dense = dense_topk(chunks, queries, k, id_col, vector, query_id, within=within)
+    sparse = bm25_topk(chunks, queries, k, id_col, text, query_id, query_text, within)
     return rrf_fuse([dense, sparse], [query_id], id_col, X.STORE_RRF_K, k)
 
 

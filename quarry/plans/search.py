@@ -35,20 +35,25 @@ def prepare(queries: DataFrame) -> DataFrame:
 
 def expand_passes(prepared: DataFrame, key: str = "query_id") -> DataFrame:
     """(key, pass, text): the query itself and the query with the expansion line."""
-    return prepared.select(key, F.explode(F.array(
+    scope = ["corpus"] if "corpus" in prepared.columns else []
+    return prepared.select(key, *scope, F.explode(F.array(
         F.struct(F.lit("primary").alias("pass"), F.col("semantic").alias("semantic")),
         F.struct(F.lit("expanded").alias("pass"), F.concat("semantic", F.lit(X.EXPANSION)).alias("semantic")))).alias("p")).select(
-        key, "p.pass", "p.semantic")
+        key, *scope, "p.pass", "p.semantic")
 
 
 def pass_lists(prepared: DataFrame, chunks: DataFrame, embed: Callable[[Column], Column], key: str = "query_id") -> DataFrame:
-    """(key, pass, source, chunk_id, rank): the 80 best of each pass, dense and sparse."""
+    """(key, pass, source, chunk_id, rank): the 80 best of each pass, dense and sparse.
+
+    Queries with a corpus column see that corpus alone, with its own term statistics.
+    """
+    within = "corpus" if "corpus" in prepared.columns else None
     ktype = prepared.schema[key].dataType
     p = expand_passes(prepared, key).withColumn("_qp", F.concat_ws(":", "pass", key))
     p = p.withColumn("vector", embed(F.col("semantic")))
     c = chunks if "vector" in chunks.columns else chunks.withColumn("vector", embed(F.col("content")))
-    dense = R.dense_topk(c, p, X.MAX_CANDIDATES, "chunk_id", "vector", "_qp")
-    sparse = R.bm25_topk(c, p, X.MAX_CANDIDATES, "chunk_id", "content", "_qp", "semantic")
+    dense = R.dense_topk(c, p, X.MAX_CANDIDATES, "chunk_id", "vector", "_qp", within=within)
+    sparse = R.bm25_topk(c, p, X.MAX_CANDIDATES, "chunk_id", "content", "_qp", "semantic", within)
     both = dense.withColumn("source", F.lit("dense")).unionByName(sparse.withColumn("source", F.lit("sparse")))
     return both.select(F.regexp_extract("_qp", "^[a-z]+:(.*)$", 1).cast(ktype).alias(key),
                        F.regexp_extract("_qp", "^([a-z]+):", 1).alias("pass"), "source", "chunk_id", "rank")
