@@ -246,6 +246,13 @@ def search(s, sf):
     return P.search_batch(V.queries(s, sf), V.chunks(s, sf), letter_vector, now())
 
 
+def search_corpora(s, sf):
+    """Every query looks at one corpus, with that corpus's term statistics and changed files."""
+    q = V.queries(s, sf).withColumn("corpus", F.concat(F.lit("src"), F.col("query_id") % 20))
+    changed = V.chunks(s, sf).where("symbol_label LIKE 'class A%'").select("corpus", "path")
+    return P.search_batch(q, V.chunks(s, sf), letter_vector, now(), changed)
+
+
 def L(c, name=None):
     return F.col(c).cast("long").alias(name or c)
 
@@ -352,9 +359,24 @@ QUERIES = {
     "noise_hint": noise,
     "nav_hint": nav,
     "search_batch": lambda s, sf: search_out(search(s, sf)),
+    "search_corpora": lambda s, sf: search_out(search_corpora(s, sf)),
     "search_raw": lambda s, sf: P.search_raw(V.queries(s, sf), V.chunks(s, sf), letter_vector).select("query_id", L("rank"), "chunk_id", F.round("final", 9).alias("score")),
 }
 
+# one corpus per query: lists, term statistics and changed files by corpus
+_Q = "('src' || query_id % 20)"
+ONE_CORPUS = {
+    "cv": CTE["cv"].replace("SELECT chunk_id", "SELECT chunk_id, corpus"),
+    "dense_l": CTE["dense_l"].replace("FROM cv) c)", "FROM cv) c WHERE c.corpus = 'src' || p.query_id % 20)"),
+    "c_len": CTE["c_len"].replace("SELECT chunk_id", "SELECT chunk_id, corpus"),
+    "c_post": "SELECT corpus, term, t.chunk_id, len, count(*) AS tf FROM c_tok t JOIN c_len USING (chunk_id) GROUP BY ALL",
+    "c_idf": "SELECT corpus, term, ln(1.0::DOUBLE + (any_value(nc) - count(*) + 0.5::DOUBLE)/(count(*) + 0.5::DOUBLE)) AS idf FROM c_post JOIN (SELECT corpus, count(*) AS nc FROM c_len GROUP BY corpus) USING (corpus) GROUP BY corpus, term",
+    "sparse_l": f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, pass ORDER BY score DESC, chunk_id) AS rank FROM (
+      SELECT query_id, pass, chunk_id, round(sum(idf*(tf*2.2::DOUBLE/(tf+1.2::DOUBLE*(0.25::DOUBLE+0.75::DOUBLE*len/al)))),9) AS score
+      FROM (SELECT *, {_Q} AS corpus FROM p_terms) JOIN c_post USING (corpus, term) JOIN c_idf USING (corpus, term) JOIN (SELECT corpus, avg(len) AS al FROM c_len GROUP BY corpus) USING (corpus) GROUP BY query_id, pass, chunk_id)) WHERE rank <= 80""",
+    "sc": f"""SELECT *, round((fusion+lexical)*path_mult*CASE WHEN EXISTS (SELECT 1 FROM chunks h WHERE h.symbol_label LIKE 'class A%' AND h.corpus = {_Q.replace('query_id', 'sc0.query_id')} AND h.path = sc0.path)
+      AND (SELECT count(DISTINCT path) FROM chunks h WHERE h.symbol_label LIKE 'class A%' AND h.corpus = {_Q.replace('query_id', 'sc0.query_id')}) <= 50 THEN 1.1::DOUBLE ELSE 1.0::DOUBLE END, 12) AS final FROM sc0""",
+}
 _J = lambda *cs: ", ".join(f"array_to_string({c}, '|') AS {c}" for c in cs)
 _CAP = "js|ts|jsx|tsx|mjs|cjs|py"
 _OKG = rf"(symbol_id IS NOT NULL AND (language IN ('typescript','javascript','python') OR regexp_matches(lower(path), '\.({_CAP})$')))"
@@ -395,5 +417,6 @@ SQL = {
       CASE WHEN NOT {_OKG} THEN greatest(1,start_line)::BIGINT END AS read_start, CASE WHEN NOT {_OKG} THEN greatest(1,start_line,end_line)::BIGINT END AS read_end,
       NOT {_OKG} AND regexp_matches(lower(path), '\.({_CAP})$') AS outline_window FROM ranked_div""", *SCORED, *GROUPED),
     "search_batch": V.sql("""SELECT query_id, place, group_id, path, start_line::BIGINT AS start_line, end_line::BIGINT AS end_line, symbol_label, round(final,9) AS score, exact, chunks, staleness, md5(preview) AS preview_md5 FROM ranked_div""", *SCORED, *GROUPED),
+    "search_corpora": V.sql("""SELECT query_id, place, group_id, path, start_line::BIGINT AS start_line, end_line::BIGINT AS end_line, symbol_label, round(final,9) AS score, exact, chunks, staleness, md5(preview) AS preview_md5 FROM ranked_div""", *SCORED, *GROUPED, instead=ONE_CORPUS),
     "search_raw": V.sql("SELECT query_id, rank, chunk_id, round(final,9) AS score FROM ranked WHERE rank <= result_limit", *SCORED),
 }

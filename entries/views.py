@@ -127,11 +127,9 @@ CTE["queries_v"] = r"""SELECT item_id AS query_id, CASE item_id % 6 WHEN 1 THEN
 CTE["query_vectors"] = "SELECT item_id AS query_id, embedding AS vector FROM benchmark JOIN embeddings ON vec_id = item_id"
 
 
-def sql(body: str, *names: str, recursive: bool = False) -> str:
+def sql(body: str, *names: str, recursive: bool = False, instead: dict[str, str] | None = None) -> str:
     """A DuckDB statement: the named CTEs, in order, and then the body."""
-    parts = []
-    for n in names:
-        if f"{n} AS (" not in parts:
-            parts.append(f"{n} AS ({CTE[n]})")
+    ctes = {**CTE, **(instead or {})}
+    parts = [f"{n} AS ({ctes[n]})" for n in dict.fromkeys(names)]
     head = "WITH " + ("RECURSIVE " if recursive else "") + ",\n".join(parts) + "\n" if parts else ""
     return head + body

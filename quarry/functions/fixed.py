@@ -41,6 +41,12 @@ LANGUAGES = [
     ("text", [".md", ".markdown"], False, False),
 ]
 
+# --- fixed values: other names of languages ---
+LANGUAGE_ALIASES = {
+    "ts": "typescript", "js": "javascript", "py": "python", "c++": "cpp", "c": "cpp", "rs": "rust", "cs": "csharp",
+    "rb": "ruby", "kt": "kotlin", "objectivec": "objective-c", "ipynb": "jupyter", "md": "text", "markdown": "text",
+}
+
 # --- fixed values: path categories ---------------------------------------------------------
 DOC_SEGMENTS = ["docs", "doc", "documentation", "guide", "guides"]
 DOC_SUFFIXES = [".md", ".mdx", ".rst", ".adoc", ".txt"]

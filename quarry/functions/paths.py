@@ -34,11 +34,18 @@ def language_of(ext: Column, fallback: str = "text") -> Column:
     return F.coalesce(F.element_at(known, F.lower(ext)), F.lit(fallback))
 
 
+def normalize_language(language: Column) -> Column:
+    """Language id for an id or another name of it; unknown names stay, an empty one is text."""
+    low = F.lower(F.trim(language))
+    alias = F.create_map(*[F.lit(x) for kv in X.LANGUAGE_ALIASES.items() for x in kv])
+    return F.when(F.coalesce(low, F.lit("")) == "", "text").otherwise(F.coalesce(F.element_at(alias, low), low))
+
+
 def graph_capable(language: Column, ext: Column) -> Column:
     """Symbols, call graph and outline are available for this file."""
     ids = [lang for lang, _, _, sym in X.LANGUAGES if sym]
     exts = [e for _, es, _, sym in X.LANGUAGES if sym for e in es]
-    return language.isin(ids) | F.lower(ext).isin(exts)
+    return normalize_language(language).isin(ids) | F.lower(ext).isin(exts)
 
 
 def _search_form(p: Column) -> Column:

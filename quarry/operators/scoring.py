@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from quarry.functions import fixed as X
 from quarry.functions.paths import in_scope, path_category
-from quarry.functions.text import regex_escape
+from quarry.functions.text import regex_escape, rerank_document
 
 WORD = "[a-z0-9_]"
 NOT_WORD = "[^a-z0-9_]"
@@ -216,5 +219,26 @@ def rerank(ranked: DataFrame, ranks: DataFrame, key: str = "query_id") -> DataFr
     return rank_candidates(j.withColumn("final", final_score()).drop("idx", "new_rank", "rank", "pinning_applied"), key)
 
 
+def ranks_from_scores(ranked: DataFrame, score, key: str = "query_id") -> DataFrame:
+    """(key, idx, new_rank) for ``rerank`` from a scorer ``(query Column, document Column) -> Column``,
+    usually ``model_scorer``. Only the top 50 of queries that may be reranked are scored."""
+    top = ranked.where((F.col("rank") <= X.RERANK_TOP) & F.col("rerank_allowed") & (F.col("scope") != "docs"))
+    doc = rerank_document(F.col("path"), F.col("language"), F.col("symbol_label"), F.col("content"))
+    s = top.select(key, (F.col("rank") - 1).alias("idx"), score(F.col("semantic"), doc).alias("_s")).where("_s IS NOT NULL")
+    return s.withColumn("new_rank", F.row_number().over(W.partitionBy(key).orderBy(F.desc("_s"), "idx"))).drop("_s")
+
+
+def model_scorer(load):
+    """``load`` runs once per Python worker and gives a function over (queries, documents) lists."""
+
+    @F.pandas_udf("double")
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        model = load()
+        for q, d in batches:
+            yield pd.Series(model(q.tolist(), d.tolist()), index=q.index, dtype="float64")
+
+    return run
+
+
 def with_category(df: DataFrame) -> DataFrame:
     return df.withColumn("category", path_category(F.col("path")))

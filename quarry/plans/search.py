@@ -111,7 +111,8 @@ def choose_attempt(cands: DataFrame, key: str = "query_id") -> DataFrame:
 def scored(prepared: DataFrame, chunks: DataFrame, embed, changed: DataFrame | None = None, key: str = "query_id") -> DataFrame:
     """Ranked survivors of the chosen attempt."""
     c = choose_attempt(candidates(prepared, chunks, embed, key), key).where("reason IS NULL")
-    c = c.withColumn("changed_mult", F.lit(1.0)) if changed is None else S.changed_multiplier(c, changed)
+    c = c.withColumn("changed_mult", F.lit(1.0)) if changed is None else S.changed_multiplier(
+        c, changed, ["corpus", "path"] if "corpus" in prepared.columns else ["path"])
     return S.rank_candidates(S.score_candidates(c), key)
 
 

@@ -85,3 +85,10 @@ def test_scan_files(spark, tmp_path):
     assert {(r.path, r.size) for r in f.collect()} == {("src/a.ts", 5), ("b.bin", 6)}
     assert [r.path for r in C.discover(f).collect()] == ["src/a.ts"]
     assert "content" not in C.scan_files(spark, str(tmp_path), "c1", with_content=False).columns
+
+
+def test_language_names(spark):
+    rows = [("TS ",), ("c++",), ("go",), ("cobol",), ("",), (None,)]
+    df = spark.createDataFrame(rows, "l string")
+    assert [r[0] for r in df.select(P.normalize_language(F.col("l"))).collect()] == ["typescript", "cpp", "go", "cobol", "text", "text"]
+    assert [r[0] for r in df.select(P.graph_capable(F.col("l"), F.lit(".x"))).collect()] == [True, False, False, False, False, False]

@@ -143,6 +143,9 @@ def test_rerank_and_changed_files(spark):
     ranks = spark.createDataFrame([(1, 2, 1), (1, 2, 3), (1, 99, 2)], "query_id long, idx int, new_rank int")
     assert [r.chunk_id for r in S.rerank(ranked, ranks).orderBy("rank").collect()] == ["c", "a", "b"]
     assert [r.chunk_id for r in S.rerank(ranked, ranks.limit(0)).orderBy("rank").collect()] == ["a", "b", "c"]
+    by_length = S.model_scorer(lambda: lambda q, d: [float(x.count("c.ts")) for x in d])
+    got = S.ranks_from_scores(ranked, by_length).orderBy("new_rank").collect()
+    assert [(r.idx, r.new_rank) for r in got] == [(2, 1), (0, 2), (1, 3)]
     c = spark.createDataFrame([("p1",), ("p2",)], "path string")
     few, many = spark.createDataFrame([("p1",)], "path string"), spark.range(51).select(F.concat(F.lit("p"), "id").alias("path"))
     assert {r.path: r.changed_mult for r in S.changed_multiplier(c, few).collect()} == {"p1": 1.1, "p2": 1.0}
