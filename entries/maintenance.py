@@ -6,7 +6,7 @@ from entries import views as V
 from entries.columns import IGNORED, RULES
 from quarry.functions import fixed as X
 from quarry.operators import chunking as C, incremental as I
-from quarry.session import shared_dir
+from quarry.session import cut_lineage, shared_dir
 from quarry.sources import tables as T
 
 c = V.CTE
@@ -120,7 +120,7 @@ def splitter(f):
 def delta(s, sf):
     """The chunk table of the older snapshot, brought up to date; old chunks carry no text here."""
     old = V.prev_files(s, sf).selectExpr("'old_' || content_hash || '_' || path AS chunk_id", "corpus", "path", "1 AS start_line", "1 AS end_line")
-    return I.apply_delta(old, diff(s, sf), files(s, sf).select("corpus", "path", "content"), splitter).select("chunk_id", "corpus", "path", L("start_line"), L("end_line"))
+    return I.apply_delta(old, cut_lineage(diff(s, sf), "delta"), files(s, sf).select("corpus", "path", "content"), splitter).select("chunk_id", "corpus", "path", L("start_line"), L("end_line"))
 
 
 NEW_RULES = ["*.bin", "src/auth/", "docs/en/**"]

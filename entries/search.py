@@ -282,7 +282,7 @@ def changed_boost(s, sf):
 
 
 def reranked(s, sf):
-    r = ranked(s, sf)
+    r = cut_lineage(ranked(s, sf), "ranked")
     from pyspark.sql import Window as W
     ranks = r.where("rank <= 50").select("query_id", (F.col("rank") - 1).alias("idx"), F.row_number().over(
         W.partitionBy("query_id").orderBy(F.desc(F.length("content")), "chunk_id")).alias("new_rank"))
@@ -319,7 +319,7 @@ def degradation(s, sf):
 
 
 def limits(s, sf):
-    c = cands(s, sf)
+    c = cut_lineage(cands(s, sf).select("query_id", "attempt", "chunk_id", "reason", "limits", "result_limit"), "candidates")
     per = c.groupBy("query_id", "attempt").agg(F.count_if(F.col("reason").isNull()).alias("survivors"))
     used = P.choose_attempt(c).select("query_id", F.col("attempt").alias("used")).distinct()
     caps = prepared(s, sf).select("query_id", F.posexplode("limits").alias("attempt", "cap"))

@@ -7,6 +7,7 @@ from entries.maintenance import STATUS, commits
 from entries.search import NOW
 from quarry.functions import fixed as X
 from quarry.operators import state as S
+from quarry.session import cut_lineage
 
 c = V.CTE
 RUNTIME = {"provider": "p", "model": "m1", "dimension": 1024, "store": "s", "schema_version": "hybrid_v3"}
@@ -102,11 +103,15 @@ def telemetry(s, sf):
 
 
 def run_events(s, sf):
-    from entries.search import cands, search
-    from quarry.operators import scoring
+    from entries.search import cands
+    from quarry.operators import grouping, scoring
     from quarry.plans.search import choose_attempt
-    att = scoring.attribution(choose_attempt(cands(s, sf)), ["query_id"])
-    return S.search_events(search(s, sf), att, V.queries(s, sf), "standard").select(
+    c = cut_lineage(choose_attempt(cands(s, sf)), "chosen")
+    att = scoring.attribution(c, ["query_id"])
+    kept = c.where("reason IS NULL").withColumn("changed_mult", F.lit(1.0))
+    found = grouping.group_hits(scoring.rank_candidates(scoring.score_candidates(kept)), now())
+    found = grouping.diversify(grouping.rank_groups(grouping.collapse_declarations(found)))
+    return S.search_events(found, att, V.queries(s, sf), "standard").select(
         "query_id", L("query_length"), L("limit_requested"), L("results_before"), L("results_after"), L("results_returned"), L("excluded"), "profile")
 
 

@@ -106,7 +106,8 @@ def write_gate(delta: DataFrame, state: DataFrame, meta: DataFrame) -> DataFrame
 
 def apply_delta(chunks: DataFrame, delta: DataFrame, files: DataFrame, split) -> DataFrame:
     """Chunk table after a delta: rows of removed and modified files go, added and modified files
-    are split again. Files outside the delta are neither read nor embedded."""
+    are split again. Files outside the delta are neither read nor embedded. The delta is read
+    twice: give it as a stored table (``session.cut_lineage``)."""
     gone = delta.where("change IN ('removed', 'modified')").select(*KEY)
     again = files.join(delta.where("change IN ('added', 'modified')").select(*KEY), KEY, "left_semi")
     return upsert(delete_paths(chunks, gone), split(again))

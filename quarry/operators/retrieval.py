@@ -251,20 +251,23 @@ def bm25_topk(chunks: DataFrame, queries: DataFrame, k: int, id_col: str = "doc_
     """
     qterms = queries.select(_scope(within), F.col(query_id).alias("_q"), F.explode(F.array_distinct(tokens(F.col(query_text)))).alias("term"))
     post = bm25_postings(chunks, id_col, text, qterms.select("scope", "term").distinct(), within)
-    return bm25_score(post, bm25_stats(chunks, text, within), qterms, k, id_col, query_id, broadcast_terms, salts)
+    return bm25_score(post, bm25_stats(chunks, text, within), qterms, k, id_col, query_id, within is not None, broadcast_terms, salts)
 
 
 def bm25_score(post: DataFrame, stats: DataFrame, qterms: DataFrame, k: int, id_col: str, query_id: str = "query_id",
-               broadcast_terms: int = BROADCAST_TERMS, salts: int = 16) -> DataFrame:
+               scoped: bool = True, broadcast_terms: int = BROADCAST_TERMS, salts: int = 16) -> DataFrame:
     """Scores (scope, _q, term) rows against postings (scope, term, id, len, tf), fresh or stored.
 
     Postings are laid out by chunk. While the query terms are few enough to be sent to every
     task (counted first), a chunk's score for all queries is summed where its postings are, and
     only scores are shuffled. More query terms than that are joined by (scope, term, salt): a
     common term's postings are spread over salts, and the query side is repeated per salt.
+    Without scopes the statistics are one row, read as scalars.
     """
     df = post.groupBy("scope", "term").agg(F.count(F.lit(1)).alias("df"))
-    idf = qterms.join(df, ["scope", "term"]).join(stats, "scope").withColumn(
+    idf = qterms.join(df, ["scope", "term"])
+    idf = idf.join(stats, "scope") if scoped else idf.withColumns({c: stats.select(c).scalar() for c in ("n_chunks", "avg_len")})
+    idf = idf.withColumn(
         "idf", F.log(F.lit(1.0) + (F.col("n_chunks") - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5)))).drop("df", "n_chunks")
     laid = post.repartition(F.col(id_col)).withColumnRenamed(id_col, "_id")
     if qterms.limit(broadcast_terms + 1).count() <= broadcast_terms:

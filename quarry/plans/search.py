@@ -117,16 +117,17 @@ def scored(prepared: DataFrame, chunks: DataFrame, embed, changed: DataFrame | N
 
 
 def search_batch(queries: DataFrame, chunks: DataFrame, embed, now: Column, changed: DataFrame | None = None,
-                 ranks: DataFrame | None = None, key: str = "query_id") -> DataFrame:
-    """Grouped results for every query, at most ``result_limit`` each."""
-    return G.diversify(group_stage(queries, chunks, embed, now, changed, ranks, key), key)
+                 scorer=None, key: str = "query_id") -> DataFrame:
+    """Grouped results for every query, at most ``result_limit`` each.
 
-
-def group_stage(queries, chunks, embed, now, changed=None, ranks=None, key="query_id") -> DataFrame:
+    ``changed``: files to prefer (corpus, path). ``scorer``: a reranking model, see
+    ``scoring.model_scorer``; it sees the top 50 of each query.
+    """
     ranked = scored(cut_lineage(prepare(queries), "queries"), chunks, embed, changed, key)
-    if ranks is not None:
-        ranked = S.rerank(ranked, ranks, key)
-    return G.rank_groups(G.collapse_declarations(G.group_hits(ranked, now, key), key), key)
+    if scorer is not None:
+        ranked = cut_lineage(ranked, "ranked")      # read by the model and again for the fusion
+        ranked = S.rerank(ranked, S.ranks_from_scores(ranked, scorer, key), key)
+    return G.diversify(G.rank_groups(G.collapse_declarations(G.group_hits(ranked, now, key), key), key), key)
 
 
 def search_raw(queries: DataFrame, chunks: DataFrame, embed, changed: DataFrame | None = None, key: str = "query_id") -> DataFrame:

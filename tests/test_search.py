@@ -157,3 +157,15 @@ def test_pass_status(spark):
     lists = spark.createDataFrame([(1, "primary"), (1, "expanded"), (2, "expanded")], "query_id long, pass string")
     got = {r.query_id: (r.status, r.missing_pass) for r in P.pass_status(p, lists).collect()}
     assert got == {1: ("ok", None), 2: ("degraded", "primary"), 3: ("error", None)}
+
+
+def test_whole_search_with_a_reranker(spark):
+    from quarry.functions.embedders import letter_vector
+    chunks = spark.createDataFrame([row(f"c{i}", f"src/f{i % 4}.ts", f"login session number {i} " * 3, f"function f{i}()", f"s{i}", start=i * 30 + 1, end=i * 30 + 9) for i in range(12)], CHUNK)
+    q = spark.createDataFrame([(1, "how does login session work", "mixed", "symbol", 6), (2, "f3 must:nothing", "mixed", "file", 3)],
+                              "query_id long, raw string, scope string, group_by string, result_limit int")
+    now = F.lit(NOW).cast("timestamp")
+    best = S.model_scorer(lambda: lambda q, d: [1.0 if "number 7 " in x else 0.0 for x in d])
+    got = P.search_batch(q, chunks, letter_vector, now, scorer=best).orderBy("place").collect()
+    assert {r.query_id for r in got} == {1} and got[0].group_id == "s7" and len(got) == 6
+    assert max(sum(r.path == p for r in got) for p in {r.path for r in got}) <= 2
