@@ -29,9 +29,8 @@ c["calls"] = rf"""SELECT corpus, src, file, line, name, kind FROM sites0 WHERE N
   AND NOT regexp_matches(text, '(?:^|[^A-Za-z0-9_])(?:function|class|def)\s+' || regexp_escape(name) || '(?:[^A-Za-z0-9_]|$)', 'i')
   AND NOT regexp_matches(text, '(?:^|[^A-Za-z0-9_])' || regexp_escape(name) || '\s*\([^)]*\)\s*(?:=>|\{{)', 'i')"""
 c["imports"] = r"""SELECT DISTINCT corpus, src, file, line, name, 'import' AS kind FROM (
-  SELECT corpus, src, file, line, lower(trim(regexp_split_to_array(trim(unnest(string_split(regexp_extract(text, '^\s*from\s+[^\s]+\s+import\s+(.+)$', 1), ','))), '(?i)\s+as\s+')[1])) AS name FROM glines WHERE language='python'
-  UNION ALL SELECT corpus, src, file, line, lower(unnest(regexp_split_to_array(regexp_replace(regexp_extract(text, '^\s*import\s+(.+)\s+from\s+["\x27][^"\x27]+["\x27]', 1), '[{}*]', ' ', 'g'), '[\s,]+'))) FROM glines WHERE language <> 'python') WHERE name NOT IN ('', 'as')
-  UNION SELECT DISTINCT corpus, src, file, line, 'as', 'import' FROM glines WHERE false"""
+  SELECT corpus, src, file, line, true AS py, lower(trim(regexp_split_to_array(trim(unnest(string_split(regexp_extract(text, '^\s*from\s+[^\s]+\s+import\s+(.+)$', 1), ','))), '(?i)\s+as\s+')[1])) AS name FROM glines WHERE language='python'
+  UNION ALL SELECT corpus, src, file, line, false, lower(unnest(regexp_split_to_array(regexp_replace(regexp_extract(text, '^\s*import\s+(.+)\s+from\s+["\x27][^"\x27]+["\x27]', 1), '[{}*]', ' ', 'g'), '[\s,]+'))) FROM glines WHERE language <> 'python') WHERE name <> '' AND (py OR name <> 'as')"""
 c["allsites"] = "SELECT * FROM calls UNION ALL SELECT * FROM imports"
 c["resolved"] = """SELECT s.*, t.symbol_id AS dst, t.file AS dst_file FROM allsites s LEFT JOIN sidx t ON t.corpus=s.corpus AND t.name=s.name
   QUALIFY row_number() OVER (PARTITION BY s.corpus, s.src, s.file, s.line, s.name, s.kind ORDER BY CASE WHEN t.file=s.file THEN 0 ELSE 1 END, abs(t.start_line-s.line), t.file, t.start_line, t.symbol_label, t.symbol_id) = 1"""

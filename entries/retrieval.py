@@ -21,6 +21,7 @@ CTE["idf"] = """SELECT term, ln(1.0::DOUBLE + ((SELECT count(*) FROM dl) - count
 CTE["bm25_all"] = """SELECT query_id, doc_id, round(sum(idf * (tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / (SELECT avg(len) FROM dl))))), 9) AS score
   FROM q_terms JOIN postings USING (term) JOIN idf USING (term) GROUP BY ALL"""
 CTE["bm25_ranked"] = "SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM bm25_all"
+CTE["prefiltered"] = "SELECT * FROM documents WHERE source <> 'src7' AND n_chars > 200"
 DENSE = ("query_vectors", "dense_all", "dense_ranked")
 BM25 = ("q_text", "toks", "dl", "postings", "q_terms", "idf", "bm25_all", "bm25_ranked")
 
@@ -88,10 +89,8 @@ SQL = {
     "bm25_topk": V.sql(f"{_OUT} bm25_ranked WHERE rank <= 10", *BM25),
     "rrf_hybrid": V.sql(_PRE % ("SELECT query_id, doc_id, rank FROM dense_ranked WHERE rank <= 80 UNION ALL SELECT query_id, doc_id, rank FROM bm25_ranked WHERE rank <= 80", 10), *DENSE, *BM25),
     "store_prefilter": V.sql(
-        _PRE % ("SELECT query_id, doc_id, rank FROM dk WHERE rank <= 20 UNION ALL SELECT query_id, doc_id, rank FROM bm25_ranked WHERE rank <= 20", 20),
-        *DENSE, *BM25).replace("FROM documents", "FROM kept").replace(
-        "WITH query_vectors", "WITH kept AS (SELECT * FROM documents WHERE source <> 'src7' AND n_chars > 200), query_vectors").replace(
-        "SELECT query_id, doc_id, round(score,6) AS score, rank FROM (SELECT *, row_number()",
-        "SELECT query_id, doc_id, round(score,6) AS score, rank FROM (SELECT *, row_number()", 1).replace(
-        "FROM dk WHERE", "FROM (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM dense_all WHERE doc_id IN (SELECT doc_id FROM kept)) WHERE"),
+        _PRE % ("SELECT query_id, doc_id, rank FROM dense_ranked WHERE rank <= 20 UNION ALL SELECT query_id, doc_id, rank FROM bm25_ranked WHERE rank <= 20", 20),
+        "prefiltered", *DENSE, *BM25, instead={
+            "dense_all": CTE["dense_all"] + " WHERE e.vec_id IN (SELECT doc_id FROM prefiltered)",
+            "toks": CTE["toks"].replace("FROM documents", "FROM prefiltered"), "dl": CTE["dl"].replace("FROM documents", "FROM prefiltered")}),
 }
