@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from quarry.functions import fixed as X
 from quarry.functions.paths import normalize_path
@@ -52,15 +52,35 @@ def rebuild(existing: DataFrame, fresh: DataFrame, corpora: DataFrame) -> DataFr
         fresh.join(corpora.select("corpus").distinct(), "corpus", "left_semi"), allowMissingColumns=True)
 
 
-def write_partitions(df: DataFrame, path: str, partition: str = "corpus", staged: bool = True) -> None:
-    """Replace just the partitions that occur in ``df``.
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """A partitioned table with its partition values as the strings they were written from."""
+    spark.conf.set("spark.sql.sources.partitionColumnTypeInference.enabled", "false")
+    return spark.read.parquet(path)
+
+
+def write_partitions(df: DataFrame, path: str, by: tuple[str, ...] = ("corpus",), staged: bool = True,
+                     replaces: DataFrame | None = None) -> None:
+    """Replace just the partitions that occur in ``df``, or those of ``replaces`` when given: one of
+    these without rows in ``df`` goes away.
 
     ``df`` may read the table it replaces: unless ``staged`` is off, it is written to the shared
-    folder first. The rebalance hint splits a corpus that holds most rows over several tasks.
+    folder first. The rebalance hint splits a partition that holds most rows over several tasks.
     """
     rows = cut_lineage(df, "staged") if staged else df
-    (rows.hint("rebalance", F.col(partition)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy(partition).parquet(path))
+    (rows.hint("rebalance", *[F.col(c) for c in by]).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy(*by).parquet(path))
+    if replaces is not None:
+        drop_partitions(replaces.select(*by).distinct().join(rows.select(*by).distinct(), list(by), "left_anti"), path)
+
+
+def drop_partitions(parts: DataFrame, path: str) -> None:
+    """Delete partition folders; ``parts`` has their values, one row per partition."""
+    spark = parts.sparkSession
+    names = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
+    Path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for row in parts.toLocalIterator():
+        fs.delete(Path("/".join([path] + [names.getPartitionPathString(c, str(row[c])) for c in parts.columns])), True)
 
 
 def cap_chunks(chunks: DataFrame, cap: int = X.CHUNK_CAP, buckets: int | None = None) -> DataFrame:

@@ -105,3 +105,24 @@ def test_cap_on_one_corpus_that_holds_most_rows(spark):
 def test_default_limit_of_an_unfiltered_query(spark):
     df = spark.range(20000).select(F.format_string("%06d", "id").alias("chunk_id"))
     assert T.query(df, "", ["chunk_id"]).count() == 16384 and T.query(df, "chunk_id >= '000000'", ["chunk_id"]).count() == 20000
+
+
+def test_index_build_sync_and_rebuild(spark):
+    from quarry.functions.embedders import keyword_vector
+    from quarry.operators.state import fingerprint
+    from quarry.plans import index
+    root, now = shared_dir(spark, "index"), F.lit("2026-01-01 00:00:00").cast("timestamp")
+    fp = fingerprint({"provider": "n", "model": "k", "dimension": 4, "store": "parquet", "schema_version": "hybrid_v3"})
+    mk = lambda *rows: spark.createDataFrame([(c, p, t, len(t), m) for c, p, t, m in rows], FILES)
+    live = lambda: {(r.corpus, r.path, r.content) for r in index.load(spark, root)[0].collect()}
+    index.build(mk(("007", "a.py", "def f():\n  1", 1), ("007", "b.ts", "x", 1), ("x", "c.go", "y", 1), ("x", "skip.bin", "z", 1)), root, keyword_vector, fp, now, "r1")
+    assert live() == {("007", "a.py", "def f():\n  1"), ("007", "b.ts", "x"), ("x", "c.go", "y")}
+    delta = index.sync(mk(("007", "a.py", "def g():\n  1", 2), ("x", "d.go", "w", 2)), root, keyword_vector, fp, now, "r2")
+    assert changes(delta) == {"a.py": "modified", "b.ts": "removed", "c.go": "removed", "d.go": "added"}
+    assert live() == {("007", "a.py", "def g():\n  1"), ("x", "d.go", "w")}
+    assert index.sync(mk(("007", "a.py", "def g():\n  1", 2), ("x", "d.go", "w", 2)), root, keyword_vector, fp, now, "r3").count() == 0
+    assert live() == {("007", "a.py", "def g():\n  1"), ("x", "d.go", "w")}
+    index.build(mk(("007", "new.py", "n", 3)), root, keyword_vector, fp, now, "r4")
+    assert live() == {("007", "new.py", "n"), ("x", "d.go", "w")}
+    chunks, commits = index.load(spark, root)
+    assert {(r.corpus, r.indexed_files, r.run_id) for r in commits.collect()} == {("007", 1, "r4"), ("x", 1, "r2")}
