@@ -28,18 +28,20 @@ def hash_order(seed: int, *cols) -> Column:
     return F.xxhash64(F.lit(seed), *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in cols])
 
 
-def group_rank(df: DataFrame, groups: list[str], order: str, ties: list[str], name: str = "rank") -> DataFrame:
+def group_rank(df: DataFrame, groups: list[str], order: str, ties: list[str], name: str = "rank", weight: str | None = None) -> DataFrame:
     """Add ``name``: the row's 0-based rank in its group by the uniform hash column ``order``.
 
-    A group is not sorted by one task: its hash range is cut into slices, each slice is ranked by
-    itself, and the slices' counts (a small table) give where each begins. Groups must not be null.
-    Names that begin with two underscores are kept for use inside.
+    With ``weight``: the sum of that column over the rows before it. A group is not sorted by one task:
+    its hash range is cut into slices, each slice is ranked by itself, and the slices' sums (a small
+    table) give where each begins. Groups must not be null. Names that begin with two underscores are
+    kept for use inside.
     """
     sub = F.shiftrightunsigned(F.col(order).bitwiseXOR(F.lit(-(2**63))), 64 - SUB_BITS)
     df = df.withColumn("__sub", sub)
-    counts = df.groupBy(*groups, "__sub").agg(F.count(F.lit(1)).alias("__n"))
-    before = W.partitionBy(*groups).orderBy("__sub").rowsBetween(W.unboundedPreceding, -1)
-    start = counts.select(*groups, "__sub", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
-    within = F.row_number().over(W.partitionBy(*groups, "__sub").orderBy(order, *ties)) - 1
+    amount = F.col(weight) if weight else F.lit(1)
+    counts = df.groupBy(*groups, "__sub").agg(F.sum(amount).alias("__n"))
+    start = counts.select(*groups, "__sub", F.coalesce(F.sum("__n").over(W.partitionBy(*groups).orderBy("__sub").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__start"))
+    slice_ = W.partitionBy(*groups, "__sub").orderBy(order, *ties)
+    within = F.coalesce(F.sum(weight).over(slice_.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)) if weight else F.row_number().over(slice_) - 1
     return (df.withColumn("__within", within).join(start, [*groups, "__sub"])
             .withColumn(name, F.col("__start") + F.col("__within")).drop("__sub", "__within", "__start"))

@@ -4,13 +4,38 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quarry.llm import pii, quality, sharding
+from quarry.llm import mixing, packing, pii, quality, sharding, simhash
+from quarry.llm.common import word_count
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def vocabulary() -> str:
+    """The public vocabulary file; its place is a parameter of the operators."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op1_packing(spark: SparkSession, sf: str) -> DataFrame:
+    pieces = packing.cut_pieces(table(spark, sf, "documents"), vocabulary(), with_ids=False)
+    return packing.pack(pieces).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+def op2_simhash(spark: SparkSession, sf: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("h"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op3_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    sized = table(spark, sf, "documents").select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    planned = mixing.plan(sized)
+    return planned.join(mixing.taken(planned), "row_id", "left").select(
+        "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "source", "copies", "first_position")
+
+
 def op8_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     return quality.judge(table(spark, sf, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_words")
@@ -32,6 +57,9 @@ def op10_pii(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_packing": op1_packing,
+    "op2_simhash": op2_simhash,
+    "op3_mixing": op3_mixing,
     "op8_quality_rules": op8_quality_rules,
     "op9_sharding": op9_sharding,
     "op10_pii": op10_pii,
