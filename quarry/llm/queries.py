@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quarry.llm import mixing, packing, pii, quality, sharding, simhash
+from quarry.llm import mixing, packing, pii, prefix_tree, quality, sharding, simhash, vptree
 from quarry.llm.common import word_count
 
 
@@ -36,6 +36,20 @@ def op3_mixing(spark: SparkSession, sf: str) -> DataFrame:
         "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "source", "copies", "first_position")
 
 
+def op4_nearest(spark: SparkSession, sf: str) -> DataFrame:
+    return vptree.nearest(table(spark, sf, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op6_chat_tree(spark: SparkSession, sf: str) -> DataFrame:
+    import public_tokenizers
+
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    said = f"{prefix_tree.FINISH}{prefix_tree.START}assistant ok"
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    stream, paths, _ = prefix_tree.build(rows.union(spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], rows.schema)), ranks)
+    return prefix_tree.read_back(stream, paths, ranks)
+
+
 def op8_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     return quality.judge(table(spark, sf, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_words")
@@ -60,9 +74,17 @@ QUERIES = {
     "op1_packing": op1_packing,
     "op2_simhash": op2_simhash,
     "op3_mixing": op3_mixing,
+    "op4_nearest": op4_nearest,
+    "op6_chat_tree": op6_chat_tree,
     "op8_quality_rules": op8_quality_rules,
     "op9_sharding": op9_sharding,
     "op10_pii": op10_pii,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op4_nearest": """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+        AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0),
+      s AS (SELECT q.vec_id AS query_id, v.vec_id, list_dot_product(q.e, v.e) AS score FROM v AS q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 20 = 0)
+      SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
+        SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 20""",
+}
