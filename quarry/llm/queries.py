@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quarry.llm import mixing, packing, pii, prefix_tree, quality, sharding, simhash, vptree
+from quarry.llm import mixing, packing, pii, prefix_tree, quality, sharding, simhash, substring_bwt, vptree
 from quarry.llm.common import word_count
 
 
@@ -50,6 +50,12 @@ def op6_chat_tree(spark: SparkSession, sf: str) -> DataFrame:
     return prefix_tree.read_back(stream, paths, ranks)
 
 
+def op7_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    done = substring_bwt.remove_repeats(table(spark, sf, "documents"), keep_text=False)
+    removed = F.aggregate(F.zip_with("starts", "ends", lambda a, b: b - a), F.lit(0).cast("long"), lambda a, x: a + x)
+    return done.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("starts").cast("long").alias("n_spans"), F.lower(F.hex("kept")).alias("kept_sha256"))
+
+
 def op8_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     return quality.judge(table(spark, sf, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_words")
@@ -76,6 +82,7 @@ QUERIES = {
     "op3_mixing": op3_mixing,
     "op4_nearest": op4_nearest,
     "op6_chat_tree": op6_chat_tree,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_quality_rules": op8_quality_rules,
     "op9_sharding": op9_sharding,
     "op10_pii": op10_pii,
