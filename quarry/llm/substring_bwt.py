@@ -25,58 +25,30 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
+from quarry.llm import batches as B
+from quarry.llm.batches import BATCH_BYTES, NO_ID
 from quarry.llm.common import cut, documents
 from quarry.llm.intervals import least_owner
 from quarry.llm.seeds import window_seeds
 
 LENGTH, GRAM = 50, 24
-BATCH_BYTES = 4 << 20
-#: Stands for a null id: it is smaller than none, and none is smaller than it.
-NO_ID = np.iinfo(np.int64).max
-PACKED = "batch bigint, ids binary, sizes binary, texts binary"
-
-
-def _pack(rows: DataFrame, batches: int) -> DataFrame:
-    """Rows (batch, ids, sizes, texts) of many documents each, their texts compressed, to be dealt out by batch."""
-    keyed = rows.select(F.coalesce("doc_id", F.lit(int(NO_ID))).alias("id"), F.coalesce("text", F.lit("")).alias("text")).withColumn(
-        "batch", F.pmod(F.xxhash64("id", "text"), F.lit(batches)))
-
-    def run(frames):
-        press = zstandard.ZstdCompressor(level=1)
-        for frame in frames:
-            out = []
-            for batch, part in frame.groupby("batch", sort=False):
-                texts = [t.encode() for t in part["text"]]
-                out.append((batch, part["id"].to_numpy(np.int64).tobytes(), np.array([len(t) for t in texts], np.int64).tobytes(), press.compress(b"".join(texts))))
-            yield pd.DataFrame(out, columns=["batch", "ids", "sizes", "texts"])
-    return keyed.mapInPandas(run, PACKED)
-
+ENTRY = np.dtype([("hash", "<u8"), ("mark", "<u8"), ("id", "<i8"), ("doc", "<i4"), ("start", "<i8"), ("size", "<i4")])
+WANT = np.dtype([("hash", "<u8"), ("id", "<i8"), ("doc", "<i4"), ("start", "<i8"), ("size", "<i4")])
+SPAN = np.dtype([("doc", "<i4"), ("start", "<i8"), ("end", "<i8")])
+RESULT = "id bigint, size bigint, starts array<bigint>, ends array<bigint>, kept binary"
 
-class Batch:
-    """The documents of a batch in one fixed order, and their seeds."""
 
-    def __init__(self, frame: pd.DataFrame) -> None:
-        texts, ids = [], []
-        for i, s, t in zip(frame["ids"], frame["sizes"], frame["texts"], strict=True):
-            raw, at = zstandard.ZstdDecompressor().decompress(t), 0
-            for d, n in zip(np.frombuffer(i, np.int64).tolist(), np.frombuffer(s, np.int64).tolist(), strict=True):
-                ids.append(d)
-                texts.append(raw[at:at + n])
-                at += n
-        order = sorted(range(len(ids)), key=lambda j: (ids[j], texts[j]))
-        self.ids = np.array([ids[j] for j in order], np.int64)
-        texts = [texts[j] for j in order]
-        self.raw = b"".join(texts)
-        self.ends = np.cumsum([len(t) for t in texts], dtype=np.int64)
-        self.starts = self.ends - np.array([len(t) for t in texts], np.int64)
+class Seeded(B.Batch):
+    """A batch with the seeds of its strings."""
 
-    def seeds(self, length: int) -> None:
-        """Seeds in order of (hash, document, place); ``hashes`` are the different ones, ``which`` each seed's."""
+    def __init__(self, frame: pd.DataFrame, length: int) -> None:
+        # seeds in order of (hash, document, place); ``hashes`` are the different ones, ``which`` each seed's
+        super().__init__(frame)
         at, h = window_seeds(np.frombuffer(self.raw, np.uint8), self.ends, length, GRAM)
         doc = np.searchsorted(self.ends, at, side="right")
         order = np.lexsort((at, h))
         self.at, self.doc, h = at[order], doc[order], h[order]
-        new = np.append(True, h[1:] != h[:-1])[:len(h)]
+        new = B.runs(h)
         self.hashes, self.which = h[new], np.cumsum(new) - 1
         first = np.flatnonzero(new)
         last = np.append(first[1:], len(h)) - 1
@@ -90,99 +62,45 @@ class Batch:
         marks = np.array([digest(raw[a:b]) for a, b in zip(self.low[chosen].tolist(), self.high[chosen].tolist(), strict=True)], dtype=np.uint64)
         docs = self.doc[chosen]
         order = np.lexsort((docs, marks))
-        new = np.append(True, marks[order][1:] != marks[order][:-1])[:len(order)]
+        new = B.runs(marks[order])
         least = np.empty(len(order), dtype=np.int64)
         least[order] = docs[order][new][np.cumsum(new) - 1] if len(order) else docs
         return marks, self.ids[least] == self.ids[docs]
 
 
-def _split(values: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Order by bucket of the hash (stable), the buckets met, and where each begins."""
-    bucket = (values >> np.uint64(13)) % np.uint64(buckets)
-    order = np.argsort(bucket, kind="stable")
-    met, begin = np.unique(bucket[order], return_index=True)
-    return order, met.astype(np.int64), np.append(begin, len(values))
-
-
 def _first_step(buckets: int, length: int):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        b = Batch(frame)
-        b.seeds(length)
-        order, met, begin = _split(b.hashes, buckets)
-        out = [(k, frame["batch"].iloc[0], b.hashes[order[x:y]].tobytes(), np.packbits(b.twice[order[x:y]]).tobytes()) for k, x, y in zip(met.tolist(), begin, begin[1:], strict=False)]
-        return pd.DataFrame(out, columns=["bucket", "batch", "hashes", "twice"])
+        b = Seeded(frame, length)
+        return B.send_hashes(b.hashes, b.twice, frame["batch"].iloc[0], buckets)
     return run
 
 
-def _shared(frame: pd.DataFrame) -> pd.DataFrame:
-    """For each batch, flags of its hashes in this bucket: met in another batch, or in two documents of one."""
-    hashes = [np.frombuffer(x, np.uint64) for x in frame["hashes"]]
-    twice = np.concatenate([np.unpackbits(np.frombuffer(t, np.uint8), count=len(h)) for t, h in zip(frame["twice"], hashes, strict=True)])
-    _, which, n = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
-    flag = np.bincount(which, weights=twice) + (n > 1) > 0
-    parts = np.split(flag[which], np.cumsum([len(h) for h in hashes])[:-1])
-    return pd.DataFrame({"batch": frame["batch"], "bucket": frame["bucket"], "flags": [np.packbits(p).tobytes() for p in parts]})
-
-
 def _second_step(buckets: int, length: int):
     def run(frame: pd.DataFrame, flags: pd.DataFrame) -> pd.DataFrame:
         names = ["bucket", "batch", "entries"]
         if not len(frame) or not len(flags):
             return pd.DataFrame([], columns=names)
-        b = Batch(frame)
-        b.seeds(length)
-        order, met, begin = _split(b.hashes, buckets)
-        by = dict(zip(flags["bucket"], flags["flags"], strict=True))
-        shared = np.zeros(len(order), bool)
-        for k, x, y in zip(met.tolist(), begin, begin[1:], strict=False):
-            shared[order[x:y]] = np.unpackbits(np.frombuffer(by[k], np.uint8), count=y - x).astype(bool)
-        chosen = np.flatnonzero(shared[b.which])
+        b = Seeded(frame, length)
+        chosen = np.flatnonzero(B.read_flags(b.hashes, flags, buckets)[b.which])
         marks, least = b.regions(chosen)
         chosen, marks = chosen[least], marks[least]
         rows = np.empty(len(chosen), ENTRY)
         rows["hash"], rows["mark"], rows["id"], rows["doc"] = b.hashes[b.which[chosen]], marks, b.ids[b.doc[chosen]], b.doc[chosen]
         rows["start"], rows["size"] = b.low[chosen] - b.starts[b.doc[chosen]], b.high[chosen] - b.low[chosen]
-        order, met, begin = _split(rows["hash"], buckets)
-        press = zstandard.ZstdCompressor(level=1)
-        out = [(k, frame["batch"].iloc[0], press.compress(_columns(rows[order[x:y]]))) for k, x, y in zip(met.tolist(), begin, begin[1:], strict=False)]
+        order, met, begin = B.by_bucket(rows["hash"], buckets)
+        out = [(k, frame["batch"].iloc[0], B.press(rows[order[x:y]])) for k, x, y in zip(met, begin, begin[1:], strict=False)]
         return pd.DataFrame(out, columns=names)
     return run
 
 
-ENTRY = np.dtype([("hash", "<u8"), ("mark", "<u8"), ("id", "<i8"), ("doc", "<i4"), ("start", "<i8"), ("size", "<i4")])
-
-
-def _columns(rows: np.ndarray) -> bytes:
-    """The fields one after the other, which presses better than rows."""
-    return b"".join(np.ascontiguousarray(rows[n]).tobytes() for n in rows.dtype.names)
-
-
-def _rows(data: bytes, kind: np.dtype) -> np.ndarray:
-    n, at = len(data) // kind.itemsize, 0
-    out = np.empty(n, kind)
-    for name in kind.names:
-        out[name] = np.frombuffer(data, kind[name], n, at)
-        at += n * kind[name].itemsize
-    return out
-
-
-SPAN = np.dtype([("doc", "<i4"), ("start", "<i8"), ("end", "<i8")])
-WANT = np.dtype([("hash", "<u8"), ("id", "<i8"), ("doc", "<i4"), ("start", "<i8"), ("size", "<i4")])
-STEP = "batch bigint, kind int, data binary"
-
-
 def _compare(frame: pd.DataFrame) -> pd.DataFrame:
     """Kind 0: spans of regions that a smaller id holds. Kind 1: regions to send, where a hash has several."""
-    unpress = zstandard.ZstdDecompressor()
-    parts = [_rows(unpress.decompress(x), ENTRY) for x in frame["entries"]]
-    rows = np.concatenate(parts)
-    batch = np.repeat(frame["batch"].to_numpy(np.int64), [len(p) for p in parts])
+    rows, batch = B.gathered(frame["entries"], frame["batch"], ENTRY)
     order = np.lexsort((rows["id"], rows["mark"], rows["hash"]))
     rows, batch = rows[order], batch[order]
-    new_hash = np.append(True, rows["hash"][1:] != rows["hash"][:-1])
-    new = new_hash | np.append(True, rows["mark"][1:] != rows["mark"][:-1])
-    region = np.cumsum(new) - 1
-    least = rows["id"][new][region]
+    new_hash = B.runs(rows["hash"])
+    new = new_hash | B.runs(rows["mark"])
+    least = rows["id"][new][np.cumsum(new) - 1]
     group = np.cumsum(new_hash) - 1
     several = np.bincount(group, weights=new)[group] > 1
     later = (rows["id"] > least) & (rows["id"] != NO_ID)
@@ -192,17 +110,7 @@ def _compare(frame: pd.DataFrame) -> pd.DataFrame:
     want = np.empty(int(ask.sum()), WANT)
     for n in WANT.names:
         want[n] = rows[n][ask]
-    return _by_batch([(0, batch[later], spans), (1, batch[ask], want)])
-
-
-def _by_batch(kinds) -> pd.DataFrame:
-    press, out = zstandard.ZstdCompressor(level=1), []
-    for kind, batch, rows in kinds:
-        order = np.argsort(batch, kind="stable")
-        met, begin = np.unique(batch[order], return_index=True)
-        for k, x, y in zip(met.tolist(), begin, np.append(begin[1:], len(order)), strict=False):
-            out.append((k, kind, press.compress(_columns(rows[order[x:y]]))))
-    return pd.DataFrame(out, columns=["batch", "kind", "data"])
+    return B.by_batch([(0, batch[later], spans), (1, batch[ask], want)])
 
 
 def _third_step(buckets: int):
@@ -210,15 +118,15 @@ def _third_step(buckets: int):
         names = ["bucket", "batch", "wants", "regions"]
         if not len(frame) or not len(asked):
             return pd.DataFrame([], columns=names)
-        b, unpress, press = Batch(frame), zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1)
-        want = np.concatenate([_rows(unpress.decompress(x), WANT) for x in asked["data"]])
-        order, met, begin = _split(want["hash"], buckets)
+        b, zip_ = B.Batch(frame), zstandard.ZstdCompressor(level=1)
+        want = np.concatenate([B.unpress(x, WANT) for x in asked["data"]])
+        order, met, begin = B.by_bucket(want["hash"], buckets)
         want = want[order]
         low = b.starts[want["doc"]] + want["start"]
-        out = []
-        for k, x, y in zip(met.tolist(), begin, begin[1:], strict=False):
-            part = b"".join([b.raw[i:j] for i, j in zip(low[x:y].tolist(), (low[x:y] + want["size"][x:y]).tolist(), strict=True)])
-            out.append((k, frame["batch"].iloc[0], press.compress(_columns(want[x:y])), press.compress(part)))
+        high, out = low + want["size"], []
+        for k, x, y in zip(met, begin, begin[1:], strict=False):
+            part = b"".join([b.raw[i:j] for i, j in zip(low[x:y].tolist(), high[x:y].tolist(), strict=True)])
+            out.append((k, frame["batch"].iloc[0], B.press(want[x:y]), zip_.compress(part)))
         return pd.DataFrame(out, columns=names)
     return run
 
@@ -226,11 +134,8 @@ def _third_step(buckets: int):
 def _search(length: int):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         """Spans of the regions' strings that a region of a smaller id holds too."""
-        unpress = zstandard.ZstdDecompressor()
-        wants = [_rows(unpress.decompress(x), WANT) for x in frame["wants"]]
-        want = np.concatenate(wants)
-        batch = np.repeat(frame["batch"].to_numpy(np.int64), [len(w) for w in wants])
-        raw = b"".join(unpress.decompress(x) for x in frame["regions"])
+        want, batch = B.gathered(frame["wants"], frame["batch"], WANT)
+        raw = b"".join(zstandard.ZstdDecompressor().decompress(x) for x in frame["regions"])
         high = np.cumsum(want["size"].astype(np.int64))
         low = high - want["size"]
         known: dict[bytes, int] = {}        # equal regions (of one id, or of one digest) are one
@@ -254,20 +159,16 @@ def _search(length: int):
                 for a, z in zip(gone[np.append(0, cutoff + 1)], gone[np.append(cutoff, len(gone) - 1)], strict=True):
                     spans.append((want["doc"][i], want["start"][i] + a, want["start"][i] + z + length))
                     of.append(batch[i])
-        return _by_batch([(0, np.array(of, np.int64), np.array(spans, SPAN))])
+        return B.by_batch([(0, np.array(of, np.int64), np.array(spans, SPAN))])
     return run
 
 
-RESULT = "id bigint, size bigint, starts array<bigint>, ends array<bigint>, kept binary"
-
-
 def _fourth_step(length: int, keep_text: bool):
     def run(frame: pd.DataFrame, removed: pd.DataFrame) -> pd.DataFrame:
         names = ["id", "size", "starts", "ends", "kept"]
         if not len(frame):
             return pd.DataFrame([], columns=names)
-        b, unpress = Batch(frame), zstandard.ZstdDecompressor()
-        b.seeds(length)
+        b = Seeded(frame, length)
         # equal regions within the batch: all but the least id's are removed whole
         chosen = np.flatnonzero(b.twice[b.which])
         _, least = b.regions(chosen)
@@ -276,7 +177,7 @@ def _fourth_step(length: int, keep_text: bool):
         np.add.at(edge, b.low[gone], 1)
         np.add.at(edge, b.high[gone], -1)
         for x in removed["data"]:
-            s = _rows(unpress.decompress(x), SPAN)
+            s = B.unpress(x, SPAN)
             np.add.at(edge, b.starts[s["doc"]] + s["start"], 1)
             np.add.at(edge, b.starts[s["doc"]] + s["end"], -1)
         cover = np.cumsum(edge)[:-1] > 0
@@ -298,18 +199,16 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     Rows that repeat an id do not take from each other. Other columns are not read.
     """
     rows = documents(docs, doc_id, text).withColumn("doc_id", F.col("doc_id").cast("long"))
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-total // batch_bytes))
-    packed = _pack(rows, n)
-    by_batch = packed.groupBy("batch")
-    sent = by_batch.applyInPandas(_first_step(n, length), "bucket bigint, batch bigint, hashes binary, twice binary")
-    flags = sent.groupBy("bucket").applyInPandas(_shared, "batch bigint, bucket bigint, flags binary")
+    n = B.batch_count(rows, batch_bytes)
+    packed = B.pack(rows, n)
+    sent = packed.groupBy("batch").applyInPandas(_first_step(n, length), B.SENT)
+    flags = sent.groupBy("bucket").applyInPandas(B.shared_flags, B.FLAGS)
     entries = packed.groupBy("batch").cogroup(flags.groupBy("batch")).applyInPandas(_second_step(n, length), "bucket bigint, batch bigint, entries binary")
-    compared = cut(entries.groupBy("bucket").applyInPandas(_compare, STEP), "compared")
-    again = _pack(rows, n)
+    compared = cut(entries.groupBy("bucket").applyInPandas(_compare, B.STEP), "compared")
+    again = B.pack(rows, n)
     asked = again.groupBy("batch").cogroup(compared.where("kind = 1").groupBy("batch")).applyInPandas(
         _third_step(n), "bucket bigint, batch bigint, wants binary, regions binary")
-    found = asked.groupBy("bucket").applyInPandas(_search(length), STEP)
+    found = asked.groupBy("bucket").applyInPandas(_search(length), B.STEP)
     spans = compared.where("kind = 0").union(found)
     done = again.groupBy("batch").cogroup(spans.groupBy("batch")).applyInPandas(_fourth_step(length, keep_text), RESULT)
     return done.select(F.when(F.col("id") != int(NO_ID), F.col("id")).alias("doc_id"), F.col("size").alias("n_bytes"), "starts", "ends", "kept")
