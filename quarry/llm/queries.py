@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quarry.llm import mixing, packing, pii, prefix_tree, quality, sharding, simhash, substring_bwt, vptree
+from quarry.llm import chaining, mixing, packing, pii, prefix_tree, quality, sharding, simhash, substring_bwt, vptree
 from quarry.llm.common import word_count
 
 
@@ -40,6 +40,10 @@ def op4_nearest(spark: SparkSession, sf: str) -> DataFrame:
     return vptree.nearest(table(spark, sf, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op5_shared_passages(spark: SparkSession, sf: str) -> DataFrame:
+    return chaining.shared_passages(table(spark, sf, "documents"))
+
+
 def op6_chat_tree(spark: SparkSession, sf: str) -> DataFrame:
     import public_tokenizers
 
@@ -81,6 +85,7 @@ QUERIES = {
     "op2_simhash": op2_simhash,
     "op3_mixing": op3_mixing,
     "op4_nearest": op4_nearest,
+    "op5_shared_passages": op5_shared_passages,
     "op6_chat_tree": op6_chat_tree,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_quality_rules": op8_quality_rules,
