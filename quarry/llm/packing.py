@@ -153,10 +153,12 @@ def pack(pieces: DataFrame, window: int = WINDOW, grain: int = GRAIN, depth: int
     """The pieces (doc_id, start, length and any other columns) with ``sequence_id`` and ``offset``.
 
     Lengths must be 1 to ``window``. Offsets are gapless from 0 in a sequence. Nulls in doc_id count as a value;
-    pieces that agree in id, start and length are interchangeable. No pieces give no sequences.
+    pieces that agree in id, start and length are interchangeable. No pieces give no sequences. Places are
+    found on a few numbers per piece; ids and other columns move once, when the places are joined to them.
     """
-    pieces = cut(pieces.drop("sequence_id", "offset").withColumn("__bin", F.ceil(F.col("length") / grain).cast("int")), "pieces")
-    histogram = {r["__bin"]: r["n"] for r in pieces.groupBy("__bin").agg(F.count(F.lit(1)).alias("n")).collect()}
+    pieces = cut(pieces.drop("sequence_id", "offset").withColumn("__piece", F.monotonically_increasing_id()), "pieces")
+    light = pieces.select("__piece", "length", F.ceil(F.col("length") / grain).cast("int").alias("bin"), hash_order(seed, "doc_id", "start", "length").alias("h"))
+    histogram = {r["bin"]: r["n"] for r in light.groupBy("bin").agg(F.count(F.lit(1)).alias("n")).collect()}
     first, base, slot, begin = _slots(plan_windows(histogram, window // grain, depth))
 
     def seat(bins: pd.Series, ranks: pd.Series) -> pd.DataFrame:
@@ -164,8 +166,8 @@ def pack(pieces: DataFrame, window: int = WINDOW, grain: int = GRAIN, depth: int
         run = np.searchsorted(first, place, side="right") - 1
         return pd.DataFrame({"sequence_id": base[run] + place - first[run], "slot": slot[run]})
 
-    ranked = group_rank(pieces.withColumn("__h", hash_order(seed, "doc_id", "start", "length")), ["__bin"], "__h", ["doc_id", "start", "length"], "__rank")
-    seated = ranked.withColumn("__seat", F.pandas_udf(seat, "sequence_id bigint, slot bigint")("__bin", "__rank"))
-    seated = seated.withColumn("sequence_id", F.col("__seat.sequence_id")).withColumn("__slot", F.col("__seat.slot"))
-    before = W.partitionBy("sequence_id").orderBy("__slot").rowsBetween(W.unboundedPreceding, -1)
-    return seated.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0))).drop("__bin", "__h", "__rank", "__seat", "__slot")
+    ranked = group_rank(light, ["bin"], "h", ["__piece"])
+    seated = ranked.select("__piece", "length", F.pandas_udf(seat, "sequence_id bigint, slot bigint")("bin", "rank").alias("seat")).select("__piece", "length", "seat.*")
+    before = W.partitionBy("sequence_id").orderBy("slot").rowsBetween(W.unboundedPreceding, -1)
+    placed = seated.select("__piece", "sequence_id", F.coalesce(F.sum("length").over(before), F.lit(0)).alias("offset"))
+    return pieces.join(placed, "__piece").drop("__piece")

@@ -2,25 +2,20 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quarry.llm import chaining, mixing, packing, pii, prefix_tree, quality, sharding, simhash, substring_bwt, vptree
 from quarry.llm.common import word_count
+from quarry.llm.tokens import public_vocabulary
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def vocabulary() -> str:
-    """The public vocabulary file; its place is a parameter of the operators."""
-    import public_tokenizers
-
-    return public_tokenizers.path("word_bpe_49k.json")
-
-
 def op1_packing(spark: SparkSession, sf: str) -> DataFrame:
-    pieces = packing.cut_pieces(table(spark, sf, "documents"), vocabulary(), with_ids=False)
+    pieces = packing.cut_pieces(table(spark, sf, "documents"), public_vocabulary(), with_ids=False)
     return packing.pack(pieces).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
@@ -91,6 +86,7 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_sharding": op9_sharding,
     "op10_pii": op10_pii,
+    "pipeline": corpus_pipeline.run,
 }
 
 SQL: dict[str, str] = {

@@ -12,7 +12,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from quarry.llm.common import cut, documents
 from quarry.llm.components import connected
@@ -41,14 +41,18 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, h): the fingerprint of each row as a signed long."""
-    rows = documents(docs, doc_id, text)
+    """(doc_id, row, h): the fingerprint of each row as a signed long; ``row`` is a hash of its id and text."""
+    rows = documents(docs, doc_id, text).withColumn("row", row_hash("doc_id", "text"))
 
     def run(batches):
         for batch in batches:
             h = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(h)], names=["doc_id", "h"])
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, h bigint")
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(h)], names=["doc_id", "row", "h"])
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, row bigint, h bigint")
+
+
+def row_hash(doc_id: str, text: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(doc_id).cast("string"), F.lit("\x00")), F.coalesce(F.col(text), F.lit("")))
 
 
 def blocks(free: list[int], parts: int) -> list[int]:
@@ -174,16 +178,31 @@ def links(codes: DataFrame, limit: int = DIFFERENCES, group_rows: int = GROUP_RO
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", limit: int = DIFFERENCES, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """(doc_id, h, component_id): fingerprint and the smallest id reachable over links, for every row.
+    """(doc_id, row, h, component_id): fingerprint and the smallest id reachable over links, for every row.
 
     Null, empty and wordless texts have fingerprint zero and are linked like any other. Null ids stay; a
     component of null ids only has a null component_id. Repeated rows are answered each. Equal fingerprints
     are one row before anything is compared, however many documents have them. Other columns are not read.
     """
+    prints, parts = _components(docs, doc_id, text, limit, group_rows)
+    return prints.join(parts, "h").select("doc_id", "row", "h", "component_id")
+
+
+def _components(docs: DataFrame, doc_id: str, text: str, limit: int, group_rows: int) -> tuple[DataFrame, DataFrame]:
+    """The stored fingerprints of all rows, and of each different one its component: h, root, component_id."""
     prints = cut(fingerprints(docs, doc_id, text), "fingerprints")
     codes = prints.groupBy("h").agg(F.min("doc_id").alias("first"))
     roots = connected(links(codes.select("h"), limit, group_rows))
     named = codes.join(roots, codes["h"] == roots["node"], "left").select("h", "first", F.coalesce("root", "h").alias("root"))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    parts = named.join(least, "root").select("h", "component_id")
-    return prints.join(parts, "h").select("doc_id", "h", "component_id")
+    return prints, named.join(least, "root").select("h", "root", "component_id")
+
+
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", limit: int = DIFFERENCES, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """One row of each component, that with the smallest id (null last), with all its columns."""
+    prints, parts = _components(docs, doc_id, text, limit, group_rows)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    # the least row of each fingerprint first: a fingerprint that many documents have is summed up before it is joined
+    per_code = prints.groupBy("h").agg(F.min(order).alias("least"))
+    winners = per_code.join(parts, "h").groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.row").alias("__row"))
+    return docs.withColumn("__row", row_hash(doc_id, text)).join(winners, "__row", "left_semi").dropDuplicates(["__row"]).drop("__row")

@@ -14,6 +14,13 @@ KNOWN_WORDS = 400_000
 LONG_WORD = 64
 
 
+def public_vocabulary() -> str:
+    """The public vocabulary file that the queries use; operators take any such path."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 class WordIds:
     """Ids of a tokenizer that never joins text across ASCII white space and drops that white space.
 

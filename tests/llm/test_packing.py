@@ -5,14 +5,14 @@ import numpy as np
 import pytest
 
 from quarry.llm import packing as P
-from quarry.llm.queries import QUERIES, vocabulary
-from quarry.llm.tokens import WordIds
+from quarry.llm.queries import QUERIES
+from quarry.llm.tokens import WordIds, public_vocabulary
 
 
 @pytest.fixture(scope="module")
 def tokenizer():
     from tokenizers import Tokenizer
-    return Tokenizer.from_file(vocabulary())
+    return Tokenizer.from_file(public_vocabulary())
 
 
 def check(rows, texts, tokenizer, window=4096):
@@ -59,8 +59,8 @@ def test_query_on_edge_rows(spark, docs, folder, no_docs, clashing, tokenizer):
     rows = QUERIES["op1_packing"](spark, folder(documents=docs.union(extra))).collect()
     texts = [(r[0], r[1]) for r in doc_rows()] + [(901, "a <|endoftext|> b<|startoftext|>"), (902, "Don't STOP é ́x it's ΑΣ Σ")]
     check(rows, texts, tokenizer)
-    assert P.pack(P.cut_pieces(no_docs, vocabulary())).count() == 0
-    packed = P.pack(P.cut_pieces(clashing, vocabulary())).collect()
+    assert P.pack(P.cut_pieces(no_docs, public_vocabulary())).count() == 0
+    packed = P.pack(P.cut_pieces(clashing, public_vocabulary())).collect()
     assert all(len(r["ids"]) == r["length"] and zlib.crc32(np.array(r["ids"], "<u4").tobytes()) == r["ids_crc32"] for r in packed)
 
 
@@ -72,10 +72,10 @@ def test_given_table_has_little_padding(spark, tokenizer):
 
 def test_word_ids_equal_whole_text_ids(tokenizer):
     from hypothesis import given, settings, strategies as st
-    words = WordIds(vocabulary())
+    words = WordIds(public_vocabulary())
 
     @settings(max_examples=300, deadline=None)
-    @given(st.one_of(st.text(max_size=80), st.text(alphabet="aAbÉé́ \n\t\x0b'stΣς  中12.,<|>", max_size=60)))
+    @given(st.one_of(st.text(max_size=80), st.lists(st.text(alphabet="aBcÉßñſʼŉİ.,;:!?'é́", max_size=7), max_size=12).map(" ".join), st.text(alphabet="aAbÉé́ \n\t\x0b'stΣς  中12.,<|>", max_size=60)))
     def run(text):
         assert np.frombuffer(words.ids(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
     run()
