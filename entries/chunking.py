@@ -49,14 +49,16 @@ c["decl"] = rf"""SELECT *, CASE language WHEN 'python' THEN regexp_replace(regex
 DECL = ("files", "code", "dl0", "dl1", "dl2", "dl3", "dl4", "decl")
 # large declarations, cut again on whole lines
 c["sl0"] = f"SELECT *, doc_id || '/' || chunk_no AS k, string_split(content, chr(10)) AS ls FROM decl"
-c["sl1"] = "SELECT k, unnest(range(1, len(ls)+1)) AS i, len(ls) AS nl, ls FROM sl0"
-c["sl2"] = "SELECT k, i, ls[i] || CASE WHEN i < nl THEN chr(10) ELSE '' END AS t, length(ls[i]) + CASE WHEN i < nl THEN 1 ELSE 0 END AS n, nl FROM sl1"
+c["sl1"] = "SELECT k, unnest(range(1, len(ls)+1)) AS line, len(ls) AS nl, ls FROM sl0"
+c["sla"] = "SELECT k, line, ls[line] || CASE WHEN line < nl THEN chr(10) ELSE '' END AS t FROM sl1"
+c["slb"] = f"SELECT k, line, j, substr(t, j*{SIZE}+1, {SIZE}) AS t FROM (SELECT *, unnest(range(0, greatest(1, CAST(ceil(length(t)/{SIZE}.0) AS INTEGER)))) AS j FROM sla)"
+c["sl2"] = "SELECT k, line, t, length(t) AS n, row_number() OVER (PARTITION BY k ORDER BY line, j) AS i, count(*) OVER (PARTITION BY k) AS nl FROM slb"
 c["slp"] = packing("slp", "k", "sl2", SIZE)
-c["sl3"] = f"SELECT k, CASE WHEN length(content) > {SIZE} THEN slp.chunk_no ELSE 0 END AS part, i, t, nl, length(content) > {SIZE} AS big FROM slp JOIN sl2 USING (k, i) JOIN sl0 USING (k)"
-c["sl4"] = "SELECT k, part, min(i) AS i0, max(i) AS i1, any_value(nl) AS nl, any_value(big) AS big, string_agg(t, '' ORDER BY i) AS t FROM sl3 GROUP BY k, part"
+c["sl3"] = f"SELECT k, CASE WHEN length(content) > {SIZE} THEN slp.chunk_no ELSE 0 END AS part, i, line, t, nl, length(content) > {SIZE} AS big FROM slp JOIN sl2 USING (k, i) JOIN sl0 USING (k)"
+c["sl4"] = "SELECT k, part, min(line) AS i0, max(line) AS i1, max(i) AS last, any_value(nl) AS nl, any_value(big) AS big, string_agg(t, '' ORDER BY i) AS t FROM sl3 GROUP BY k, part"
 c["large"] = f"""SELECT doc_id, chunk_no, part, symbol_label, start_line + i0 - 1 AS start_line, CASE WHEN big THEN start_line + i1 - 1 ELSE end_line END AS end_line,
-  CASE WHEN big THEN {_trim('t')} ELSE t END AS content FROM sl4 JOIN (SELECT k, doc_id, chunk_no, symbol_label, start_line, end_line FROM sl0) USING (k) WHERE NOT (big AND i1 = nl AND {_trim('t')} = '')"""
-LARGE = DECL + ("sl0", "sl1", "sl2", "slp", "sl3", "sl4", "large")
+  CASE WHEN big THEN {_trim('t')} ELSE t END AS content FROM sl4 JOIN (SELECT k, doc_id, chunk_no, symbol_label, start_line, end_line FROM sl0) USING (k) WHERE NOT (big AND last = nl AND {_trim('t')} = '')"""
+LARGE = DECL + ("sl0", "sl1", "sla", "slb", "sl2", "slp", "sl3", "sl4", "large")
 
 
 def code(s, sf):

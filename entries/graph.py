@@ -3,7 +3,6 @@
 from pyspark.sql import functions as F
 
 from entries import views as V
-from quarry.functions import fixed as X
 from quarry.operators import graph as G
 from quarry.session import cut_lineage
 
@@ -14,18 +13,20 @@ CODE = """CASE WHEN path LIKE '%.py' THEN regexp_replace(t, '^([A-Za-z]+) ([a-z]
 
 # --- DuckDB side ------------------------------------------------------------------------------
 c["gfiles"] = f"SELECT corpus, path, {CODE.format(chr(92)+'1', chr(92)+'2')} AS content FROM (SELECT corpus, path, regexp_replace(content, '([A-Za-z]+)([.,])', '\\1()\\2', 'g') AS t FROM files)"
-c["nodes"] = "SELECT corpus, symbol_id, symbol_label, path AS file, language, start_line, end_line FROM chunks WHERE symbol_id IS NOT NULL"
+# files that a graph is built from
+c["gchunks"] = r"SELECT * FROM chunks WHERE regexp_matches(path, '\.(ts|tsx|js|jsx|mjs|cjs|py)$') AND NOT regexp_matches(path, '(^|/)(node_modules|\.git|dist|build|coverage|\.next)/')"
+c["nodes"] = "SELECT corpus, symbol_id, symbol_label, path AS file, language, start_line, end_line FROM gchunks WHERE symbol_id IS NOT NULL"
 _NAME = "[A-Za-z_$][A-Za-z0-9_$]*"
 c["sidx"] = f"""SELECT *, lower(CASE WHEN symbol_label LIKE 'class %' THEN regexp_extract(symbol_label, '^class ({_NAME})', 1) ELSE regexp_extract(symbol_label, '^function ({_NAME})\\(', 1) END) AS name FROM nodes"""
 c["glines0"] = r"SELECT corpus, path AS file, regexp_split_to_array(content, '\r?\n') AS ls FROM gfiles"
 c["glines1"] = "SELECT corpus, file, unnest(range(1, len(ls)+1)) AS line, ls FROM glines0"
 c["glines"] = """SELECT n.corpus, n.symbol_id AS src, n.file, n.language, l.line, CASE WHEN n.language='python' THEN regexp_replace(ls[l.line], '#.*$', '') ELSE regexp_replace(ls[l.line], '//.*$', '') END AS text
   FROM nodes n JOIN glines1 l ON l.corpus=n.corpus AND l.file=n.file AND l.line BETWEEN n.start_line AND n.end_line"""
-_KW = "(" + ",".join(f"'{k}'" for k in X.CALL_KEYWORDS) + ")"
-c["sites0"] = rf"""SELECT DISTINCT corpus, src, file, line, text, lower(unnest(regexp_extract_all(text, '([A-Za-z0-9_$]+)\s*\(', 1))) AS name, 'call' AS kind FROM glines
+_KW = "('if', 'for', 'while', 'switch', 'catch', 'return', 'new', 'typeof', 'function', 'class', 'def', 'await', 'with', 'from', 'import')"
+c["sites0"] = rf"""SELECT DISTINCT corpus, src, file, line, text, lower(unnest(regexp_extract_all(text, '\b([A-Za-z_$][A-Za-z0-9_$]*)\s*\(', 1))) AS name, 'call' AS kind FROM glines
   UNION SELECT DISTINCT corpus, src, file, line, text, lower(unnest(regexp_extract_all(text, '{_NAME}\.({_NAME})\s*\(', 1))), 'dynamic' FROM glines
   UNION SELECT DISTINCT corpus, src, file, line, text, 'getattr', 'dynamic' FROM glines WHERE regexp_matches(text, '(?:^|[^A-Za-z0-9_])getattr\s*\(')"""
-c["calls"] = rf"""SELECT corpus, src, file, line, name, kind FROM sites0 WHERE NOT regexp_matches(name, '^[0-9]') AND name NOT IN {_KW}
+c["calls"] = rf"""SELECT corpus, src, file, line, name, kind FROM sites0 WHERE name NOT IN {_KW}
   AND NOT regexp_matches(text, '(?:^|[^A-Za-z0-9_])(?:function|class|def)\s+' || regexp_escape(name) || '(?:[^A-Za-z0-9_]|$)', 'i')
   AND NOT regexp_matches(text, '(?:^|[^A-Za-z0-9_])' || regexp_escape(name) || '\s*\([^)]*\)\s*(?:=>|\{{)', 'i')"""
 c["imports"] = r"""SELECT DISTINCT corpus, src, file, line, name, 'import' AS kind FROM (
@@ -37,15 +38,15 @@ c["resolved"] = """SELECT s.*, t.symbol_id AS dst, t.file AS dst_file FROM allsi
 c["edges"] = """SELECT corpus, src, dst, kind, file, line, max(CASE kind WHEN 'call' THEN CASE WHEN dst_file=file THEN 0.92 ELSE 0.78 END WHEN 'dynamic' THEN CASE WHEN dst_file=file THEN 0.72 ELSE 0.62 END
   ELSE CASE WHEN dst_file=file THEN 0.65 ELSE 0.55 END END::DOUBLE) AS confidence FROM resolved WHERE dst IS NOT NULL GROUP BY corpus, src, dst, kind, file, line"""
 c["notes"] = """SELECT DISTINCT corpus, CASE WHEN kind='dynamic' THEN 'dynamic_edge' ELSE 'unresolved_edge' END AS type, file, line, src AS symbol_id, 'could not resolve ' || name || '() from ' || src AS detail FROM resolved WHERE dst IS NULL AND kind <> 'import'"""
-c["missing"] = "SELECT corpus, 'missing_symbol_metadata' AS type, path AS file, start_line AS line, CAST(NULL AS VARCHAR) AS symbol_id, 'no symbol for ' || path || ':' || start_line || '-' || end_line AS detail FROM chunks WHERE symbol_id IS NULL"
-NODES = ("chunks0", "chunks1", "chunks", "nodes")
+c["missing"] = "SELECT corpus, 'missing_symbol_metadata' AS type, path AS file, start_line AS line, CAST(NULL AS VARCHAR) AS symbol_id, 'no symbol for ' || path || ':' || start_line || '-' || end_line AS detail FROM gchunks WHERE symbol_id IS NULL"
+NODES = ("chunks0", "chunks1", "chunks", "gchunks", "nodes")
 LINES = ("files",) + NODES + ("gfiles", "glines0", "glines1", "glines")
 CALLS = LINES + ("sites0", "calls")
 EDGES = LINES + ("sidx", "sites0", "calls", "imports", "allsites", "resolved", "edges")
 c["adj"] = """SELECT corpus, src AS sym, 0 AS dir, dst AS peer, src||'|'||dst||'|'||kind||'|'||lpad(CAST(line AS VARCHAR),9,'0')||'|'||file AS ek FROM edges
   UNION ALL SELECT corpus, dst, 1, src, src||'|'||dst||'|'||kind||'|'||lpad(CAST(line AS VARCHAR),9,'0')||'|'||file FROM edges"""
 _SEED = ("symbol_id AS seed_id", "corpus", "symbol_id", "CASE length(symbol_label) % 3 WHEN 0 THEN 'callers' WHEN 1 THEN 'callees' ELSE 'both' END AS direction",
-         "CAST(1 + length(symbol_label) % 3 AS INT) AS depth", "CAST(4 + length(symbol_label) % 17 AS INT) AS edge_limit")
+         "CAST(1 + length(symbol_label) % 3 AS INT) AS depth", "CAST(4 + length(symbol_label) % 47 AS INT) AS edge_limit")
 c["seeds"] = "SELECT " + ", ".join(_SEED) + " FROM nodes"
 c["f1"] = "SELECT seed_id, symbol_id AS sym, 1 AS pos FROM seeds"
 c["s0"] = "SELECT CAST(NULL AS VARCHAR) AS seed_id, CAST(NULL AS VARCHAR) AS ek, CAST(NULL AS VARCHAR) AS peer, CAST(NULL AS BIGINT) AS found WHERE false"
@@ -78,7 +79,7 @@ def gfiles(s, sf):
 
 
 def chunks(s, sf):
-    return V.chunks(s, sf)
+    return G.in_graph(V.chunks(s, sf))
 
 
 def nodes(s, sf):
@@ -98,7 +99,7 @@ def resolved(s, sf):
 
 
 def graph(s, sf):
-    return G.build_graph(chunks(s, sf), gfiles(s, sf))
+    return G.build_graph(V.chunks(s, sf), gfiles(s, sf))
 
 
 def walk(s, sf, edges=None):

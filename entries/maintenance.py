@@ -245,14 +245,16 @@ def _build_sql():
       SELECT f.corpus, f.path, p.parts FROM found f JOIN (SELECT doc_id, count(*) AS parts FROM bp GROUP BY doc_id) p ON p.doc_id = f.doc_id) GROUP BY corpus""", *_PARTS, "found", recursive=True)
 
 
-# lines packed to 2500 characters; the test texts hold no declaration headers
+# lines packed to 2500 characters, longer ones cut; the test texts hold no declaration headers
 c["bl0"] = "SELECT doc_id, length(content) AS total, string_split(content, chr(10)) AS ls FROM files"
 c["bl1"] = "SELECT doc_id, total, unnest(range(1, len(ls)+1)) AS i, len(ls) AS nl, ls FROM bl0"
-c["bl2"] = "SELECT doc_id, total, i, length(ls[i]) + CASE WHEN i < nl THEN 1 ELSE 0 END AS n FROM bl1"
+c["bla"] = "SELECT doc_id, total, i AS line, length(ls[i]) + CASE WHEN i < nl THEN 1 ELSE 0 END AS n FROM bl1"
+c["blb"] = "SELECT doc_id, total, line, n, unnest(range(0, greatest(1, CAST(ceil(n/2500.0) AS INTEGER)))) AS j FROM bla"
+c["bl2"] = "SELECT doc_id, total, row_number() OVER (PARTITION BY doc_id ORDER BY line, j) AS i, greatest(0, least(2500, n - j*2500)) AS n FROM blb"
 c["blp"] = """SELECT doc_id, i, n AS cur, 0 AS part, total FROM bl2 WHERE i = 1 UNION ALL
   SELECT u.doc_id, u.i, CASE WHEN p.cur > 0 AND p.cur + u.n > 2500 THEN u.n ELSE p.cur + u.n END, p.part + CASE WHEN p.cur > 0 AND p.cur + u.n > 2500 THEN 1 ELSE 0 END, u.total FROM blp p JOIN bl2 u ON u.doc_id = p.doc_id AND u.i = p.i + 1"""
 c["bp"] = "SELECT DISTINCT doc_id, CASE WHEN total > 2500 THEN part ELSE 0 END AS part FROM blp"
-_PARTS = ("files", "bl0", "bl1", "bl2", "blp", "bp")
+_PARTS = ("files", "bl0", "bl1", "bla", "blb", "bl2", "blp", "bp")
 
 SQL = {
     "index_build": _build_sql(),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from quarry.functions import fixed as X
+from quarry.functions.ignore_rules import is_ignored
 from quarry.functions.paths import extension, graph_capable, normalize_path
 from quarry.functions.text import regex_escape, trim_ws
 from quarry.operators.scoring import blank_last
@@ -12,10 +13,16 @@ from quarry.session import cut_lineage, explode_once
 
 # --- fixed values: names and calls ------------------------------------------------------------
 NAME = r"[A-Za-z_$][A-Za-z0-9_$]*"
-DIRECT_CALL = r"([A-Za-z0-9_$]+)\s*\("
+WORD_EDGE = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
+DIRECT_CALL = rf"{WORD_EDGE}({NAME})\s*\("
 MEMBER_CALL = rf"{NAME}\.({NAME})\s*\("
 PY_IMPORT = r"^\s*from\s+[^\s]+\s+import\s+(.+)$"
 JS_IMPORT = r"^\s*import\s+(.+)\s+from\s+['\x22][^'\x22]+['\x22]"
+NAMED_LABELS = [rf"(?i)^(?:async\s+)?method\s+({NAME})\s*\(", rf"(?i)^(?:async\s+)?function\s+({NAME})\s*\(", rf"(?i)^class\s+({NAME})"]
+LINE_COMMENT = {"python": "#.*$"}
+OTHER_COMMENT = "//.*$"
+# folders that no graph is built from, whatever the rules say
+GRAPH_IGNORED = ["**/node_modules/**", "**/.git/**", "**/dist/**", "**/build/**", "**/coverage/**", "**/.next/**"]
 
 
 # --- nodes ------------------------------------------------------------------------------------
@@ -39,9 +46,7 @@ def missing_symbol_notes(chunks: DataFrame) -> DataFrame:
 def symbol_index(nodes: DataFrame) -> DataFrame:
     """Nodes by the lower-cased name of a method, function or class."""
     label = trim_ws(F.col("symbol_label"))
-    found = [F.regexp_extract(label, rf"(?i)^(?:async\s+)?method\s+({NAME})\s*\(", 1),
-             F.regexp_extract(label, rf"(?i)^(?:async\s+)?function\s+({NAME})\s*\(", 1),
-             F.regexp_extract(label, rf"(?i)^class\s+({NAME})", 1)]
+    found = [F.regexp_extract(label, pattern, 1) for pattern in NAMED_LABELS]
     names = F.array_distinct(F.filter(F.transform(F.array(*found), F.lower), lambda n: n != ""))
     return nodes.withColumn("name", F.explode(names))
 
@@ -55,7 +60,7 @@ def call_sites(line: Column) -> Column:
     none = F.array().cast("array<struct<name:string,kind:string>>")
     own = lambda pattern: F.array_distinct(F.transform(F.regexp_extract_all(line, F.lit(pattern), F.lit(1)), F.lower))
     as_kind = lambda names, kind: F.transform(names, lambda n: F.struct(n.alias("name"), F.lit(kind).alias("kind")))
-    direct = F.filter(own(DIRECT_CALL), lambda n: ~n.rlike("^[0-9]"))
+    direct = own(DIRECT_CALL)
     member = F.when(line.contains("."), as_kind(own(MEMBER_CALL), "dynamic")).otherwise(none)
     getattr_ = F.when(line.contains("getattr") & line.rlike(r"(?:^|[^A-Za-z0-9_])getattr\s*\("),
                       F.array(F.struct(F.lit("getattr").alias("name"), F.lit("dynamic").alias("kind")))).otherwise(none)
@@ -79,14 +84,18 @@ def import_names(line: Column, language: Column) -> Column:
 
 def source_lines(nodes: DataFrame, files: DataFrame) -> DataFrame:
     """Lines inside function, method and class nodes, tail comments stripped. A line belongs to
-    every node around it, so each node cuts its own span out of its file: no range join."""
+    every node around it. The spans of a file are one array next to its text, which is split once."""
     label = F.lower(F.col("symbol_label"))
     scan = nodes.where(label.contains("function ") | label.contains("method ") | label.startswith("class "))
-    j = scan.join(files.select("corpus", F.col("path").alias("file"), "content"), ["corpus", "file"])
-    span = F.slice(F.split("content", "\r?\n", -1), F.col("start_line"), F.col("end_line") - F.col("start_line") + 1)
-    ex = explode_once(j, span, "raw", "_i")
-    line = F.when(F.col("language") == "python", F.regexp_replace("raw", "#.*$", "")).otherwise(F.regexp_replace("raw", "//.*$", ""))
-    return ex.select("corpus", "symbol_id", "file", "language", (F.col("start_line") + F.col("_i")).alias("line"), line.alias("text")).where(trim_ws(F.col("text")) != "")
+    spans = scan.groupBy("corpus", "file").agg(F.collect_list(F.struct("symbol_id", "language", "start_line", "end_line")).alias("spans"))
+    j = spans.join(files.select("corpus", F.col("path").alias("file"), "content"), ["corpus", "file"])
+    ex = explode_once(j, F.split("content", "\r?\n", -1), "raw", "_i").select("corpus", "file", "spans", "raw", (F.col("_i") + 1).alias("line")).where(trim_ws(F.col("raw")) != "")
+    around = F.filter("spans", lambda x: (x["start_line"] <= F.col("line")) & (F.col("line") <= x["end_line"]))
+    one = explode_once(ex.select("corpus", "file", "line", "raw", around.alias("_around")), F.col("_around"), "n")
+    text = F.regexp_replace("raw", OTHER_COMMENT, "")
+    for language, pattern in LINE_COMMENT.items():
+        text = F.when(F.col("n.language") == language, F.regexp_replace("raw", pattern, "")).otherwise(text)
+    return one.select("corpus", "n.symbol_id", "file", "n.language", "line", text.alias("text")).where(trim_ws(F.col("text")) != "")
 
 
 def extract_sites(lines: DataFrame, calls: bool = True, imports: bool = True) -> DataFrame:
@@ -171,9 +180,11 @@ def note_order() -> list[Column]:
     return [F.col("file"), F.col("type"), blank_last("symbol_id"), F.col("line").asc_nulls_last(), F.sha1("detail")]
 
 
-def build_graph(chunks: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(nodes, edges, notes) of all corpora. Sites and their targets are written to the shared
+def build_graph(chunks: DataFrame, files: DataFrame, ignore_rules: list[str] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes, edges, notes) of the graph-capable files of all corpora, without folders of built or
+    foreign code and without what ``ignore_rules`` name. Sites and their targets are written to the shared
     folder: they are read several times and far smaller than the text they come from."""
+    chunks = in_graph(chunks, ignore_rules=ignore_rules)
     nodes = symbol_nodes(chunks)
     lines = source_lines(nodes, files)
     sites = cut_lineage(extract_sites(lines), "sites")
@@ -182,33 +193,36 @@ def build_graph(chunks: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFra
 
 
 # --- traversal --------------------------------------------------------------------------------
-def traverse(seeds: DataFrame, edge_table: DataFrame, max_limit: int = X.TRAVERSE_LIMIT) -> DataFrame:
+def traverse(seeds: DataFrame, edge_table: DataFrame, max_depth: int = X.TRAVERSE_MAX_DEPTH) -> DataFrame:
     """Breadth-first walk for a table of seeds (seed_id, corpus, symbol_id, direction, depth, edge_limit).
 
     Gives seed_id, corpus, visited (node ids) and selected (edges in the order they were found).
-    The state of a seed is one row of bounded arrays, so the walk is at most three joins in a
-    line. Of a symbol's edges only the first 2 x limit in edge order can matter (at most limit of
-    them may have been taken before), which bounds the join for hubs without losing an edge.
+    ``seed_id`` is unique in a corpus; any positive ``edge_limit`` holds. The state of a seed is one row of
+    arrays as long as its own limit, so the walk is at most ``max_depth`` joins in a line. Of a symbol's
+    edges only the first 2 x the greatest limit asked for can matter (at most a limit of them may have been
+    taken before), which bounds the join for hubs without losing an edge.
     """
+    asked = seeds.agg(F.max("edge_limit")).first()[0]
+    most = max(1, asked or 1)
     key = F.struct("src", "dst", "kind", "line", "file")
     both = edge_table.select("corpus", F.explode(F.array(
         F.struct(F.col("src").alias("sym"), F.lit(0).alias("dir"), F.col("dst").alias("peer"), key.alias("edge")),
         F.struct(F.col("dst").alias("sym"), F.lit(1).alias("dir"), F.col("src").alias("peer"), key.alias("edge")))).alias("a")).select("corpus", "a.*")
     top = F.row_number().over(W.partitionBy("corpus", "sym", "dir").orderBy("edge"))
-    adj = (both.withColumn("_n", top).where(F.col("_n") <= 2 * max_limit).groupBy("corpus", "sym", "dir")
+    adj = (both.withColumn("_n", top).where(F.col("_n") <= 2 * most).groupBy("corpus", "sym", "dir")
            .agg(F.array_sort(F.collect_list(F.struct("edge", "peer"))).alias("list")))
     etype = edge_table.select(F.array(F.struct(key.alias("edge"), F.col("src").alias("peer"))).alias("x")).schema["x"].dataType
     empty = F.array().cast(etype)
-    st = seeds.select("seed_id", "corpus", "direction", F.least(F.greatest(F.col("depth"), F.lit(1)), F.lit(X.TRAVERSE_MAX_DEPTH)).alias("depth"),
-                      F.least(F.greatest(F.col("edge_limit"), F.lit(1)), F.lit(max_limit)).alias("lim"),
+    st = seeds.select("seed_id", "corpus", "direction", F.least(F.greatest(F.col("depth"), F.lit(1)), F.lit(max_depth)).alias("depth"),
+                      F.greatest(F.col("edge_limit"), F.lit(1)).alias("lim"),
                       F.array("symbol_id").alias("visited"), F.array("symbol_id").alias("frontier"), F.transform(empty, lambda x: x["edge"]).alias("selected"))
     state = ["seed_id", "corpus", "direction", "depth", "lim", "visited", "selected"]
     dirs = F.when(F.col("direction") == "callees", F.array(F.lit(0))).when(F.col("direction") == "callers", F.array(F.lit(1))).otherwise(F.array(F.lit(0), F.lit(1)))
-    for level in range(1, X.TRAVERSE_MAX_DEPTH + 1):
+    for level in range(1, max_depth + 1):
         live = F.when((F.lit(level) <= F.col("depth")) & (F.size("selected") < F.col("lim")), F.col("frontier")).otherwise(F.array().cast("array<string>"))
         asks = st.select(*state, F.posexplode_outer(live).alias("pos", "sym")).withColumn("dir", F.explode(dirs))
-        step = (asks.join(adj, ["corpus", "sym", "dir"], "left").groupBy(*state)
-                .agg(F.array_sort(F.collect_list(F.struct("pos", "dir", F.coalesce("list", empty).alias("list")))).alias("ls")))
+        step = (asks.join(adj, ["corpus", "sym", "dir"], "left").groupBy("seed_id", "corpus")
+                .agg(*[F.first(c).alias(c) for c in state[2:]], F.array_sort(F.collect_list(F.struct("pos", "dir", F.coalesce("list", empty).alias("list")))).alias("ls")))
         step = step.withColumn("seen", F.flatten(F.transform("ls", lambda x: x["list"])))
         fresh = F.slice(F.array_except(F.transform("seen", lambda x: x["edge"]), F.col("selected")), F.lit(1), F.col("lim") - F.size("selected"))
         step = step.withColumn("fresh", fresh)
@@ -305,5 +319,7 @@ def read_symbols(requests: DataFrame, nodes: DataFrame, files: DataFrame, max_li
     return read_spans(r, files, max_lines)
 
 
-def in_graph(files: DataFrame, path: str = "path") -> DataFrame:
-    return files.where(graph_capable(F.lit("unknown"), extension(F.col(path))) & normalize_path(F.col(path)).isNotNull())
+def in_graph(files: DataFrame, path: str = "path", ignore_rules: list[str] | None = None) -> DataFrame:
+    """Rows of files that a graph is built from."""
+    rules = GRAPH_IGNORED + (ignore_rules or [])
+    return files.where(graph_capable(F.lit("unknown"), extension(F.col(path))) & normalize_path(F.col(path)).isNotNull() & ~is_ignored(F.col(path), rules))
