@@ -145,7 +145,7 @@ STATUS = "CASE c_mktsegment WHEN 'BUILDING' THEN 'indexed' WHEN 'AUTOMOBILE' THE
 
 def preflight(s, sf):
     st = V.t(s, sf, "customer").selectExpr("'corpus-' || c_custkey AS corpus", f"{STATUS} AS status", "c_acctbal > 0 AS allowed", "c_nationkey <> 7 AS probed")
-    ch = V.t(s, sf, "orders").where("o_orderstatus = 'P'").selectExpr(
+    ch = V.t(s, sf, "orders").selectExpr(
         "'corpus-' || o_custkey AS corpus", "CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN '.gitignore' WHEN o_orderpriority = '3-MEDIUM' THEN '.indexignore' ELSE 'src/a.ts' END AS path")
     return I.preflight(st, ch)
 
@@ -159,7 +159,7 @@ def changed(s, sf):
 
 
 def rebuild_due(s, sf):
-    return I.graph_rebuild_due(files(s, sf).where("size > 1500").selectExpr("lang || '-' || corpus AS corpus", "path"))
+    return I.graph_rebuild_due(files(s, sf).selectExpr("lang || '-' || corpus AS corpus", "path"))
 
 
 def built(s, sf, sync=False):
@@ -181,14 +181,62 @@ def built(s, sf, sync=False):
     return n.join(last.select("corpus", "indexed_files", "run_id"), "corpus")
 
 
+def _index(s, sf):
+    from quarry.functions.embedders import keyword_vector
+    from quarry.operators.state import fingerprint
+    now = F.lit("2026-01-01 00:00:00").cast("timestamp")
+    fp = fingerprint({"provider": "native", "model": "keywords", "dimension": 4, "store": "parquet", "schema_version": "hybrid_v3"})
+    return shared_dir(s, "index"), keyword_vector, fp, now, files(s, sf).select("corpus", "path", "content", "size", "mtime")
+
+
+def touched(s, sf):
+    """Every file gets a new time and the same text: nothing changes, and a second sync reads nothing again."""
+    from quarry.plans import index
+    root, embed, fp, now, f = _index(s, sf)
+    index.build(f, root, embed, fp, now, "run-1", ["*.bin"])
+    later = f.withColumn("mtime", F.col("mtime") + 1)
+    first = index.sync(later, root, embed, fp, now, "run-2", ["*.bin"])
+    snapshot = T.read_table(s, f"{root}/snapshot")
+    again = I.hash_needed(later.select("corpus", "path", "size", "mtime").join(snapshot.select("corpus", "path"), ["corpus", "path"], "left_semi"), snapshot)
+    return again.groupBy("corpus").agg(F.count(F.lit(1)).alias("files"), F.count_if(F.col("reused_hash").isNull()).alias("to_read")).crossJoin(
+        first.agg(F.count(F.lit(1)).alias("changes")))
+
+
+def partial(s, sf):
+    """A scan without the folder pkg and without the French files of src5, which could not be read: only real removals go."""
+    from quarry.plans import index
+    root, embed, fp, now, f = _index(s, sf)
+    index.build(f, root, embed, fp, now, "run-1", ["*.bin"])
+    lost = files(s, sf).where("corpus = 'src5' AND lang = 'fr'").select("corpus", "path")
+    seen = f.where("path NOT LIKE 'pkg/%' AND path NOT LIKE 'lib/%'").join(lost, ["corpus", "path"], "left_anti")
+    folder = f.select("corpus").distinct().withColumn("prefix", F.lit("pkg"))
+    index.sync(seen, root, embed, fp, now, "run-2", ["*.bin"], unreadable=lost, unscanned=folder)
+    return index.load(s, root)[0].select("corpus", "path").distinct()
+
+
+def build_capped(s, sf):
+    """With a cap, what was cut is named in the commit and taken up by the next sync."""
+    from quarry.plans import index
+    root, embed, fp, now, f = _index(s, sf)
+    index.build(f, root, embed, fp, now, "run-1", ["*.bin"], cap=60)
+    status = index.load(s, root)[1].select("corpus", "status", F.col("total_chunks").alias("capped"))
+    status = cut_lineage(status, "status")
+    index.sync(f, root, embed, fp, now + F.expr("INTERVAL 1 HOUR"), "run-2", ["*.bin"])
+    whole = index.load(s, root)[0].groupBy("corpus").agg(F.count(F.lit(1)).alias("chunks"))
+    return whole.join(status, "corpus")
+
+
 QUERIES = {
+    "index_sync_touch": touched,
+    "index_sync_partial": partial,
+    "index_build_capped": build_capped,
     "index_build": built,
     "index_sync": lambda s, sf: built(s, sf, True),
     "chunk_upsert": upsert,
     "chunk_delete_by_path": lambda s, sf: T.delete_paths(V.chunks(s, sf), gone(s, sf)).select("chunk_id", "corpus", "path"),
     "chunk_delete_counts": lambda s, sf: T.deleted_counts(V.chunks(s, sf), gone(s, sf)),
     "chunk_query": lambda s, sf: T.query(V.chunks(s, sf), "language = 'typescript' AND end_line > 3", ["chunk_id", "path", "symbol_label"]),
-    "chunk_query_default": lambda s, sf: T.query(order_chunks(s, sf), "", ["chunk_id", "corpus"]),
+    "chunk_query_default": lambda s, sf: T.query(order_chunks(s, sf), "", ["chunk_id", "corpus"], X.QUERY_LIMIT),
     "index_rebuild": rebuild,
     "chunk_cap": capped,
     "run_commit": run_commit,
@@ -257,6 +305,10 @@ c["bp"] = "SELECT DISTINCT doc_id, CASE WHEN total > 2500 THEN part ELSE 0 END A
 _PARTS = ("files", "bl0", "bl1", "bla", "blb", "bl2", "blp", "bp")
 
 SQL = {
+    "index_sync_touch": V.sql("SELECT corpus, count(*) AS files, 0::BIGINT AS to_read, 0::BIGINT AS changes FROM found GROUP BY corpus", "files", "found"),
+    "index_sync_partial": V.sql("SELECT corpus, path FROM found WHERE path NOT LIKE 'lib/%' OR (corpus = 'src5' AND lang = 'fr')", "files", "found"),
+    "index_build_capped": V.sql("""SELECT corpus, count(*) AS chunks, CASE WHEN count(*) >= 60 THEN 'limit_reached' ELSE 'completed' END AS status, least(count(*), 60)::BIGINT AS capped
+      FROM found f JOIN bp ON bp.doc_id = f.doc_id GROUP BY corpus""", *_PARTS, "found", recursive=True),
     "index_build": _build_sql(),
     "index_sync": V.sql("SELECT CASE WHEN lang = 'es' THEN 'added' ELSE 'modified' END AS change, count(*) AS files FROM found WHERE lang IN ('es', 'fr') AND (lang = 'es' OR upper(content) <> content) GROUP BY 1", "files", "found"),
     "chunk_upsert": V.sql("SELECT chunk_id, corpus, path, CASE WHEN language='typescript' OR corpus='src3' THEN 2 ELSE 1 END::BIGINT AS version FROM chunks", *CHUNKS),
@@ -289,8 +341,8 @@ SQL = {
     "reindex_preflight": f"""SELECT corpus, outcome, CASE WHEN outcome IN ('reindex_required','reindex_unnecessary_ignore_only') THEN 'high' ELSE 'low' END AS confidence FROM (
       SELECT 'corpus-' || c_custkey AS corpus, CASE WHEN {STATUS} = 'requires_reindex' OR c_acctbal <= 0 THEN 'reindex_required' WHEN c_nationkey = 7 THEN 'probe_failed' WHEN n IS NULL THEN 'unknown'
        WHEN only_ctl AND {STATUS} IN ('indexed','sync_completed') THEN 'reindex_unnecessary_ignore_only' ELSE 'unknown' END AS outcome FROM customer
-      LEFT JOIN (SELECT o_custkey, count(*) AS n, bool_and(o_orderpriority IN ('1-URGENT','2-HIGH','3-MEDIUM')) AS only_ctl FROM orders WHERE o_orderstatus='P' GROUP BY o_custkey) ON o_custkey = c_custkey)""",
+      LEFT JOIN (SELECT o_custkey, count(*) AS n, bool_and(o_orderpriority IN ('1-URGENT','2-HIGH','3-MEDIUM')) AS only_ctl FROM orders GROUP BY o_custkey) ON o_custkey = c_custkey)""",
     "changed_files": """SELECT DISTINCT user_id AS corpus, CASE event_type WHEN 'click' THEN 'src/u' || user_id || '/f' || event_id || '.ts' WHEN 'purchase' THEN 'src/b' || user_id || '.ts'
       ELSE 'dir with "q"/x' || user_id || '.ts' END AS path FROM events WHERE event_type IN ('click','purchase','signup')""",
-    "graph_rebuild_policy": V.sql(r"SELECT lang || '-' || corpus AS corpus, bool_or(regexp_matches(path, '\.(ts|tsx|js|jsx|mjs|cjs|py)$')) AS rebuild FROM files WHERE size > 1500 GROUP BY lang || '-' || corpus", "files"),
+    "graph_rebuild_policy": V.sql(r"SELECT lang || '-' || corpus AS corpus, bool_or(regexp_matches(path, '\.(ts|tsx|js|jsx|mjs|cjs|py)$')) AS rebuild FROM files GROUP BY lang || '-' || corpus", "files"),
 }

@@ -19,7 +19,7 @@ L = lambda x: F.col(x).cast("long").alias(x)
 
 def event_stream(s, sf):
     schema = V.t(s, sf, "events").schema
-    raw = s.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    raw = s.readStream.schema(schema).option("pathGlobFilter", "events.parquet").option("maxFilesPerTrigger", 8).parquet(sf)
     return raw.selectExpr("event_id", "user_id", "'corpus-' || user_id AS corpus", "cast(ts AS timestamp) AS ts", f"{PATH} AS path", "event_type = 'error' AS is_control")
 
 

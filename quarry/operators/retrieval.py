@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from quarry.functions import fixed as X
-from quarry.session import explode_once
+from quarry.session import cut_lineage, explode_once
 
 DIGITS = 9
 # A query block is sent to every task; beyond this many bytes the query table is cut into
@@ -162,21 +162,25 @@ def _cell(k: int):
     return run
 
 
+def hyperplanes(tables: int, bits: int, dim: int, seed: int = 17) -> np.ndarray:
+    """Normals of the hyperplanes, one row per bit of each table."""
+    return np.random.default_rng(seed).standard_normal((tables * bits, dim))
+
+
 def dense_topk_lsh(chunks: DataFrame, queries: DataFrame, k: int, id_col: str = "doc_id", vector: str = "vector",
-                   query_id: str = "query_id", tables: int = 12, bits: int | None = None, probes: int = 1, seed: int = 17,
+                   query_id: str = "query_id", tables: int = 12, bits: int = 4, probes: int = 1, seed: int = 17,
                    cell_rows: int = GRID_ROWS, cell_queries: int = GRID_QUERIES) -> DataFrame:
     """Approximate variant: random-hyperplane buckets, exact scores inside matching buckets.
 
     Hyperplanes are a pure function of the seed. Queries also probe the neighbouring buckets
     across their ``probes`` least certain bits. Both sides meet per bucket in one task, which
     emits at most k rows per query and never the pairs. Buckets are counted first, and a bucket
-    with more chunks or queries than a cell takes is cut into a grid of cells. Without ``bits``
-    their number follows from the number of chunks (about 128 per bucket, at most 16 bits).
+    with more chunks or queries than a cell takes is cut into a grid of cells. ``bits`` is the caller's choice and
+    never follows from the table, so that a query finds the same chunks as the table grows: about 2^bits
+    chunks are passed over for each one scored; more bits are faster and find less.
     """
-    if bits is None:
-        bits = int(np.clip(np.ceil(np.log2(max(2, chunks.count()) / 128)), 2, 16))
     dim = queries.limit(1).select(F.size(vector)).first()
-    planes = np.random.default_rng(seed).standard_normal((tables * bits, dim[0] if dim else 1))
+    planes = hyperplanes(tables, bits, dim[0] if dim else 1, seed)
     weights = 1 << np.arange(bits)
 
     def signatures(v: pd.Series, n_probe: int) -> list[list[int]]:
@@ -223,12 +227,19 @@ def tokens(text: Column) -> Column:
 
 def bm25_postings(chunks: DataFrame, id_col: str = "doc_id", text: str = "content", terms: DataFrame | None = None,
                   within: str | None = None) -> DataFrame:
-    """(scope, term, id, tf, len). ``terms`` (scope, term) keeps only those, before anything is shuffled."""
-    d = chunks.select(_scope(within), F.col(id_col).alias("_id"), tokens(F.col(text)).alias("_w"))
-    p = explode_once(d, F.col("_w"), "term").select("scope", "_id", F.size("_w").alias("len"), "term")
+    """(scope, term, id, tf, len). ``terms`` (scope, term) keeps only those, before anything is shuffled.
+
+    The words of a chunk lie in one row, so they are sorted and counted there: a run of equal words is a
+    posting, and the whole index is made without a shuffle.
+    """
+    d = chunks.select(_scope(within), F.col(id_col).alias("_id"), F.array_sort(tokens(F.col(text))).alias("_w")).withColumn("len", F.size("_w"))
+    starts = F.filter(F.transform("_w", lambda w, i: F.when((i == 0) | (w != F.get("_w", i - 1)), i)), lambda i: i.isNotNull())
+    d = d.withColumn("_s", starts)
+    runs = F.transform("_s", lambda i, n: F.struct(F.get("_w", i).alias("term"), (F.coalesce(F.get("_s", n + 1), F.col("len")) - i).cast("long").alias("tf")))
+    p = explode_once(d, runs, "_r").select("scope", F.col("_r.term").alias("term"), "_id", "len", F.col("_r.tf").alias("tf"))
     if terms is not None:
         p = p.join(terms, ["scope", "term"], "left_semi")
-    return p.groupBy("scope", "term", "_id", "len").agg(F.count(F.lit(1)).alias("tf")).withColumnRenamed("_id", id_col)
+    return p.withColumnRenamed("_id", id_col)
 
 
 def bm25_stats(chunks: DataFrame, text: str = "content", within: str | None = None) -> DataFrame:
@@ -250,7 +261,8 @@ def bm25_topk(chunks: DataFrame, queries: DataFrame, k: int, id_col: str = "doc_
     its chunks are scored.
     """
     qterms = queries.select(_scope(within), F.col(query_id).alias("_q"), F.explode(F.array_distinct(tokens(F.col(query_text)))).alias("term"))
-    post = bm25_postings(chunks, id_col, text, qterms.select("scope", "term").distinct(), within)
+    # the postings of the asked terms are far smaller than the text, and are read for the term counts and for the scores
+    post = cut_lineage(bm25_postings(chunks, id_col, text, qterms.select("scope", "term").distinct(), within), "postings")
     return bm25_score(post, bm25_stats(chunks, text, within), qterms, k, id_col, query_id, within is not None, broadcast_terms, salts)
 
 
@@ -258,9 +270,9 @@ def bm25_score(post: DataFrame, stats: DataFrame, qterms: DataFrame, k: int, id_
                scoped: bool = True, broadcast_terms: int = BROADCAST_TERMS, salts: int = 16) -> DataFrame:
     """Scores (scope, _q, term) rows against postings (scope, term, id, len, tf), fresh or stored.
 
-    Postings are laid out by chunk. While the query terms are few enough to be sent to every
-    task (counted first), a chunk's score for all queries is summed where its postings are, and
-    only scores are shuffled. More query terms than that are joined by (scope, term, salt): a
+    While the query terms are few enough to be sent to every task (counted first), postings are joined where
+    they are, and one shuffle by (chunk, query) sums the scores, partly summed before it; the best k of a
+    query are cut in each task before they meet. More query terms than that are joined by (scope, term, salt): a
     common term's postings are spread over salts, and the query side is repeated per salt.
     Without scopes the statistics are one row, read as scalars.
     """
@@ -269,7 +281,7 @@ def bm25_score(post: DataFrame, stats: DataFrame, qterms: DataFrame, k: int, id_
     idf = idf.join(stats, "scope") if scoped else idf.withColumns({c: stats.select(c).scalar() for c in ("n_chunks", "avg_len")})
     idf = idf.withColumn(
         "idf", F.log(F.lit(1.0) + (F.col("n_chunks") - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5)))).drop("df", "n_chunks")
-    laid = post.repartition(F.col(id_col)).withColumnRenamed(id_col, "_id")
+    laid = post.withColumnRenamed(id_col, "_id")
     if qterms.limit(broadcast_terms + 1).count() <= broadcast_terms:
         joined = laid.join(F.broadcast(idf), ["scope", "term"])
     else:

@@ -8,13 +8,16 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
 
 from quarry.functions import fixed as X
 from quarry.functions.paths import normalize_path
 from quarry.session import cut_lineage
 
 
+PARTITION_COLUMNS = ("corpus", "bucket")
+
+
 def upsert(existing: DataFrame, incoming: DataFrame, key: str = "chunk_id") -> DataFrame:
     """Incoming rows replace rows of the same key; ids derive from content, so a repeat changes nothing."""
     fresh = incoming.dropDuplicates([key])
@@ -38,12 +41,10 @@ def deleted_counts(chunks: DataFrame, paths: DataFrame) -> DataFrame:
 
 
 def query(chunks: DataFrame, where: str, columns: list[str], limit: int | None = None, order: list[str] | None = None) -> DataFrame:
-    """Filter, projection and limit; an empty filter is limited to 16384 rows."""
+    """Filter, projection and, where one is given, limit. Nothing is cut unasked; ``fixed.QUERY_LIMIT`` is what a caller
+    passes for the store's own limit of an unfiltered query."""
     df = chunks.where(where) if where else chunks
-    n = limit if limit is not None else (None if where else X.QUERY_LIMIT)
-    if n is not None:
-        df = df.orderBy(*(order or ["chunk_id"])).limit(n)
-    return df.select(*columns)
+    return (df if limit is None else df.orderBy(*(order or ["chunk_id"])).limit(limit)).select(*columns)
 
 
 def rebuild(existing: DataFrame, fresh: DataFrame, corpora: DataFrame) -> DataFrame:
@@ -54,8 +55,12 @@ def rebuild(existing: DataFrame, fresh: DataFrame, corpora: DataFrame) -> DataFr
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
     """A partitioned table with its partition values as the strings they were written from."""
-    spark.conf.set("spark.sql.sources.partitionColumnTypeInference.enabled", "false")
-    return spark.read.parquet(path)
+    raw = spark.read.parquet(path)
+    inferred = [c for c, kind in raw.dtypes if c in PARTITION_COLUMNS and kind != "string"]
+    if not inferred:
+        return raw
+    schema = T.StructType([T.StructField(f.name, T.StringType() if f.name in inferred else f.dataType, f.nullable) for f in raw.schema.fields])
+    return spark.read.schema(schema).parquet(path)
 
 
 def write_partitions(df: DataFrame, path: str, by: tuple[str, ...] = ("corpus",), staged: bool = True,
@@ -83,7 +88,7 @@ def drop_partitions(parts: DataFrame, path: str) -> None:
         fs.delete(Path("/".join([path] + [names.getPartitionPathString(c, str(row[c])) for c in parts.columns])), True)
 
 
-def cap_chunks(chunks: DataFrame, cap: int = X.CHUNK_CAP, buckets: int | None = None) -> DataFrame:
+def cap_chunks(chunks: DataFrame, cap: int, buckets: int | None = None) -> DataFrame:
     """The first ``cap`` chunks per corpus in file order, with the corpus status.
 
     Files are cut into ranges of paths; counts per range are summed in order, and only the

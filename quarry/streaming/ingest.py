@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from quarry.operators.incremental import KEY
+from quarry.session import cut_lineage
 
 VERSIONS = "corpus string, path string, content_hash string, deleted boolean, mtime bigint, batch bigint"
 
@@ -44,9 +45,10 @@ def apply_batch(batch: DataFrame, batch_id: int, root: str, split: Callable[[Dat
     """File versions (corpus, path, content, mtime, deleted) of one batch; repeats within the batch
     and files whose hash did not change are left out."""
     spark = batch.sparkSession
-    row = F.struct("content", "mtime", F.coalesce("deleted", F.lit(False)).alias("deleted"))
-    new = (batch.groupBy(*KEY).agg(F.max_by(row, "mtime").alias("r")).select(*KEY, "r.*")
-           .withColumn("content_hash", F.when(~F.col("deleted"), F.sha2("content", 256))))
+    # versions are chosen and compared by hashes; the content itself is joined to what changed at the end
+    known = batch.select(*KEY, "mtime", F.coalesce("deleted", F.lit(False)).alias("deleted"), F.sha2("content", 256).alias("content_hash"))
+    new = (known.groupBy(*KEY).agg(F.max_by(F.struct("mtime", "deleted", "content_hash"), F.struct("mtime", "deleted", "content_hash")).alias("r")).select(*KEY, "r.*")
+           .withColumn("content_hash", F.when(~F.col("deleted"), F.col("content_hash"))))
     old = versions(spark, root, batch_id).select(
         *KEY, F.col("content_hash").alias("_h"), F.col("deleted").alias("_d"), F.col("mtime").alias("_m"))
     j = new.join(old, KEY, "left")
@@ -55,8 +57,12 @@ def apply_batch(batch: DataFrame, batch_id: int, root: str, split: Callable[[Dat
     same = seen & F.col("_h").eqNullSafe(F.col("content_hash")) & (F.col("_d") == F.col("deleted"))
     changed = j.where(~F.coalesce(stale, F.lit(False)) & ~same & ~(~seen & F.col("deleted"))).drop("_h", "_d", "_m").withColumn("batch", F.lit(batch_id).cast("bigint"))
     write = lambda df, name: df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{root}/{name}")
+    changed = cut_lineage(changed, "changed")
+    at = [*KEY, "mtime", "content_hash"]
+    texts = batch.select(*KEY, "mtime", F.sha2("content", 256).alias("content_hash"), "content").join(
+        changed.where("NOT deleted").select(*at), at, "left_semi").dropDuplicates(at).select(*KEY, "content")
     # chunks first: a version row is what makes them visible
-    write(split(changed.where("NOT deleted").select(*KEY, "content")).withColumn("batch", F.lit(batch_id).cast("bigint")), "chunks")
+    write(split(texts).withColumn("batch", F.lit(batch_id).cast("bigint")), "chunks")
     write(changed.select(*KEY, "content_hash", "deleted", "mtime", "batch"), "versions")
 
 

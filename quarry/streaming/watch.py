@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -47,24 +48,28 @@ def throttle(requests: DataFrame, threshold_seconds: float = X.SYNC_THRESHOLD_SE
     less than the threshold before.
 
     Decisions of one corpus follow from one another, so they belong to one key; what is kept per
-    key is one timestamp. Requests are taken in time order within a trigger; the trigger's
-    size (maxFilesPerTrigger) bounds what is sorted.
+    key is one timestamp. Requests are taken in time order within a trigger, whose size (maxFilesPerTrigger of
+    the source) bounds what is sorted; a request that comes a trigger too late is held against the newer sync.
     """
     gap = int(threshold_seconds * 1_000_000)
 
     def decide(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last = state.get[0] if state.exists else None
         rows = pd.concat([b[["request_id", "at"]] for b in batches]).sort_values(["at", "request_id"], kind="stable")
-        at = rows["at"].to_numpy()
-        modes, lasts = [], []
-        for t in at:
-            due = last is None or gap <= 0 or t - last >= gap
-            if due:
-                last = int(t)
-            modes.append("synced" if due else "skipped_recent")
-            lasts.append(last)
-        state.update((last,))
-        yield pd.DataFrame({"corpus": key[0], "request_id": rows["request_id"].to_numpy(), "at": at, "mode": modes, "last_at": lasts})
+        at = rows["at"].to_numpy(np.int64)
+        due = np.zeros(len(at), dtype=bool)
+        if gap <= 0:
+            due[:] = True
+        else:       # from one sync to the next that is due
+            i = 0 if last is None else int(np.searchsorted(at, last + gap))
+            while i < len(at):
+                due[i] = True
+                i = int(np.searchsorted(at, at[i] + gap))
+        which = np.maximum.accumulate(np.where(due, np.arange(len(at)), -1))
+        lasts = np.where(which >= 0, at[np.maximum(which, 0)], -1 if last is None else last)
+        state.update((int(lasts[-1]),))
+        yield pd.DataFrame({"corpus": key[0], "request_id": rows["request_id"].to_numpy(), "at": at,
+                            "mode": np.where(due, "synced", "skipped_recent"), "last_at": lasts})
 
     r = requests.select("corpus", "request_id", F.unix_micros("ts").alias("at"))
     types = {f.name: f.dataType.simpleString() for f in r.schema.fields}

@@ -102,9 +102,9 @@ def test_cap_on_one_corpus_that_holds_most_rows(spark):
         "hot": "limit_reached", "cold": "completed" if n_cold < 100 else "limit_reached"}
 
 
-def test_default_limit_of_an_unfiltered_query(spark):
+def test_a_query_is_cut_only_where_asked(spark):
     df = spark.range(20000).select(F.format_string("%06d", "id").alias("chunk_id"))
-    assert T.query(df, "", ["chunk_id"]).count() == 16384 and T.query(df, "chunk_id >= '000000'", ["chunk_id"]).count() == 20000
+    assert T.query(df, "", ["chunk_id"]).count() == 20000 and T.query(df, "", ["chunk_id"], 16384).count() == 16384 and T.query(df, "chunk_id >= '000000'", ["chunk_id"]).count() == 20000
 
 
 def test_index_build_sync_and_rebuild(spark):
@@ -126,3 +126,31 @@ def test_index_build_sync_and_rebuild(spark):
     assert live() == {("007", "new.py", "n"), ("x", "d.go", "w")}
     chunks, commits = index.load(spark, root)
     assert {(r.corpus, r.indexed_files, r.run_id) for r in commits.collect()} == {("007", 1, "r4"), ("x", 1, "r2")}
+
+
+def test_index_caps_touches_partial_scans_and_clear(spark):
+    from quarry.functions.embedders import keyword_vector
+    from quarry.operators.state import fingerprint
+    from quarry.plans import index
+    root, now = shared_dir(spark, "index"), F.lit("2026-01-01 00:00:00").cast("timestamp")
+    fp = fingerprint({"provider": "n", "model": "k", "dimension": 4, "store": "parquet", "schema_version": "hybrid_v3"})
+    mk = lambda *rows: spark.createDataFrame([(c, p, t, len(t), m) for c, p, t, m in rows], FILES)
+    paths = lambda: sorted(r.path for r in index.load(spark, root)[0].collect())
+    snap = lambda: {r.path: r.mtime for r in spark.read.parquet(f"{root}/snapshot").collect()}
+    five = [("a", f"src/f{i}.ts", f"x{i}", 1) for i in range(4)] + [("a", "lib/g.go", "y", 1)]
+    index.build(mk(*five), root, keyword_vector, fp, now, "r1", cap=2)
+    assert len(paths()) == 2 and set(snap()) == set(paths())
+    assert index.load(spark, root)[1].first().status == "limit_reached"
+    assert index.sync(mk(*five), root, keyword_vector, fp, now, "r2").count() == 3 and len(paths()) == 5
+    later = [(c, p, t, 2) for c, p, t, _ in five]
+    assert index.sync(mk(*later), root, keyword_vector, fp, now, "r3").count() == 0 and set(snap().values()) == {2}
+    assert index.sync(mk(*later), root, keyword_vector, fp, now, "r4").count() == 0
+    assert index.load(spark, root)[1].first().run_id == "r3"        # nothing to store: no new record
+    prefix = spark.createDataFrame([("a", "src")], "corpus string, prefix string")
+    lost = spark.createDataFrame([("a", "lib/g.go")], "corpus string, path string")
+    assert index.sync(mk(("a", "lib/h.go", "z", 1)), root, keyword_vector, fp, now, "r5", unscanned=prefix, unreadable=lost).count() == 1
+    assert len(paths()) == 6
+    assert index.sync(mk(*later), root, keyword_vector, fp, now, "r6", rules=["lib/"]).count() == 2 and len(paths()) == 4
+    index.build(mk(("b", "z.ts", "z", 1)), root, keyword_vector, fp, now, "r7")
+    index.clear(spark, root, mk(*later))
+    assert paths() == ["z.ts"] and set(snap()) == {"z.ts"} and [r.corpus for r in index.load(spark, root)[1].collect()] == ["b"]
