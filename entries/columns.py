@@ -16,7 +16,7 @@ RULES = ["# build output", "", "dist/", "*.bin", "src/__fixtures__/**", "!src/__
 IGNORED = (r"(regexp_matches(path, '(^|/)dist/.') OR regexp_matches(path, '\.bin$') OR (starts_with(path, 'src/__fixtures__/') AND NOT regexp_matches(path, '^src/__fixtures__/f_1[^/]*\.ts$'))"
            r" OR regexp_matches(path, '^lib/[^/]*\.go$') OR regexp_matches(path, '^docs/(.*/)?doc_2[^/]*\.md$'))")
 EXT = r"regexp_extract(path, '(\.[^./]+)$', 1)"
-ALLOWED = "(" + ",".join(f"'{e}'" for e in X.SUPPORTED_EXTENSIONS) + ")"
+ALLOWED = "('.ts', '.tsx', '.js', '.jsx', '.py', '.java', '.cpp', '.c', '.h', '.hpp', '.cs', '.go', '.rs', '.php', '.rb', '.swift', '.kt', '.scala', '.m', '.mm', '.md', '.markdown', '.ipynb')"
 HIDDEN = r"regexp_matches(path, '(^|/)\.')"
 DIM = ",".join(f"('{lang}','{e}',{str(a).lower()},{str(s).lower()})" for lang, es, a, s in X.LANGUAGES for e in es)
 
@@ -42,7 +42,20 @@ def stale(s, sf):
     return e.select("event_id", T.staleness(F.col("at"), F.lit("2024-01-30 12:00:00").cast("timestamp")).alias("bucket"))
 
 
+ROOT_RULES = {0: "# own\ndocs/\nsrc/**/index.ts\n\n!docs/", 1: "*.test.ts\n!src/auth/mod_1*\n*.test.ts", 2: "/src/core\r\npkg/*/mod_?.py"}
+
+
+def root_rules(s, sf):
+    """Every corpus has ignore files of its own at its root; a third of them the same."""
+    f_ = f(s, sf).select("doc_id", "corpus", "path", "content", "size")
+    n = F.pmod(F.regexp_extract("corpus", "([0-9]+)", 1).cast("int"), F.lit(3))
+    text = F.when(n == 0, ROOT_RULES[0]).when(n == 1, ROOT_RULES[1]).otherwise(ROOT_RULES[2])
+    own = f_.select("corpus").distinct().select(F.lit(None).cast("bigint").alias("doc_id"), "corpus", F.lit(".gitignore").alias("path"), text.alias("content"), F.lit(1).cast("bigint").alias("size"))
+    return C.discover(f_, ["lib/"], corpus_rules=C.root_rules(f_.unionByName(own))).select("doc_id", "path")
+
+
 QUERIES = {
+    "ignore_layers": root_rules,
     "corpus_scan": lambda s, sf: C.discover(f(s, sf), RULES).select("doc_id", "path", "size"),
     "ignore_filter": lambda s, sf: f(s, sf).select("doc_id", "path", is_ignored(F.col("path"), RULES).alias("ignored")),
     "ignore_defaults": lambda s, sf: f(s, sf).select("path").where(~is_ignored(F.col("path"), X.DEFAULT_IGNORE_RULES)),
@@ -66,7 +79,11 @@ QUERIES = {
 
 _SQ = r"trim(regexp_replace(x, '\s+', ' ', 'g'))"
 _DEF_RX = r"(^|/)(node_modules|dist|build|out|target|coverage|logs|tmp|temp|__pycache__|\.nyc_output|\.vscode|\.idea|\.git|\.svn|\.hg|\.pytest_cache)(/|$)|^\.cache/."
+_N = "CAST(regexp_extract(corpus, '([0-9]+)', 1) AS INTEGER) % 3"
 SQL = {
+    "ignore_layers": V.sql(rf"""SELECT doc_id, path FROM files WHERE {EXT} IN {ALLOWED} AND NOT {HIDDEN} AND NOT regexp_matches(path, '{_DEF_RX}') AND NOT starts_with(path, 'lib/')
+      AND NOT ({_N} = 0 AND regexp_matches(path, '^src/(.*/)?index\.ts$')) AND NOT ({_N} = 1 AND regexp_matches(path, '\.test\.ts$') AND NOT starts_with(path, 'src/auth/mod_1'))
+      AND NOT ({_N} = 2 AND regexp_matches(path, '^src/core/|^pkg/[^/]*/mod_[^/]\.py$'))""", "files"),
     "corpus_scan": V.sql(f"SELECT doc_id, path, size FROM files WHERE {EXT} IN {ALLOWED} AND NOT {HIDDEN} AND NOT {IGNORED}", "files"),
     "ignore_filter": V.sql(f"SELECT doc_id, path, {IGNORED} AS ignored FROM files", "files"),
     "ignore_defaults": V.sql(f"SELECT path FROM files WHERE NOT regexp_matches(path, '{_DEF_RX}')", "files"),

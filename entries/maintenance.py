@@ -283,8 +283,8 @@ def _delta_sql():
     return resize(q)
 
 
-_EXTS = "(" + ",".join(f"'{e}'" for e in X.SUPPORTED_EXTENSIONS) + ")"
-c["found"] = rf"SELECT * FROM files WHERE regexp_extract(path, '(\.[^./]+)$', 1) IN {_EXTS} AND path NOT LIKE '.%' AND trim(content) <> ''"
+_EXTS = "('.ts', '.tsx', '.js', '.jsx', '.py', '.java', '.cpp', '.c', '.h', '.hpp', '.cs', '.go', '.rs', '.php', '.rb', '.swift', '.kt', '.scala', '.m', '.mm', '.md', '.markdown', '.ipynb')"
+c["found"] = rf"SELECT * FROM files WHERE regexp_extract(path, '(\.[^./]+)$', 1) IN {_EXTS} AND path NOT LIKE '.%' AND path NOT LIKE '%/dist/%' AND trim(content) <> ''"
 
 
 def _build_sql():

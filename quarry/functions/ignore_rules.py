@@ -127,11 +127,29 @@ def pattern_regex(pattern: str) -> str | None:
     return f"^(?:{stem}(?:/.+)?)$" if r.endswith("/?") else f"^(?:{stem}/.+)$"
 
 
-def glob_regex_column(pattern: Column) -> Column:
+def layered(*layers: list[str] | None) -> list[str]:
+    """Rule lists one after the other, each rule once, at its first place."""
+    return list(dict.fromkeys(r for layer in layers for r in layer or []))
+
+
+def is_ignored_by(path: Column, rules: Column) -> Column:
+    """As ``is_ignored`` with rules that are data: an ordered array of (regex, negate) next to each path.
+
+    ``regex`` comes from ``glob_regex_column(..., entry=True)``. The last rule that matches an entry decides
+    about it, and a path is ignored when it or a directory above it is. A null array ignores nothing.
+    """
+    def verdict(entry):
+        hits = F.filter(rules, lambda r: F.rlike(entry, r["regex"]))
+        return F.coalesce(~F.element_at(F.when(F.size(hits) > 0, hits), -1)["negate"], F.lit(False))
+
+    return F.coalesce(F.exists(entries(path), verdict), F.lit(False))
+
+
+def glob_regex_column(pattern: Column, entry: bool = False) -> Column:
     """``pattern_regex`` for a column of patterns (user queries), without a UDF.
 
     Handles anchoring, ``*``, ``**``, ``?`` and a trailing slash; a negated or empty
-    pattern gives null.
+    pattern gives null. With ``entry`` the regex is for single entries (``entries``) instead of whole paths.
     """
     p = F.regexp_replace(pattern, r"\s+$", "")
     only_dir = p.endswith("/")
@@ -144,6 +162,9 @@ def glob_regex_column(pattern: Column) -> Column:
     esc = F.regexp_replace(esc, r"\*+", "[^/]*")
     esc = F.regexp_replace(esc, r"\?", "[^/]")
     esc = F.replace(F.replace(esc, F.lit("\u0002"), F.lit("(?:[^/]+/)*")), F.lit("\u0001"), F.lit(".+"))
+    head = F.concat(F.lit("^(?:"), F.when(anchored, F.lit("")).otherwise(F.lit("(?:.*/)?")), esc)
+    if entry:
+        return F.when((F.length(body) > 0) & ~p.startswith("!") & ~p.startswith("#"), F.concat(head, F.when(only_dir, F.lit("/)$")).otherwise(F.lit("/?)$"))))
     out = F.concat(
         F.lit("^(?:"), F.when(anchored, F.lit("")).otherwise(F.lit("(?:.*/)?")), esc,
         F.when(only_dir, F.lit("/.+)$")).otherwise(F.lit("(?:/.+)?)$")),

@@ -14,8 +14,6 @@ from quarry.functions.ignore_rules import is_ignored
 from quarry.functions.paths import is_hidden
 from quarry.operators.state import SEARCHABLE
 
-LOCAL_SESSIONS = "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition"
-
 
 def event_filter(events: DataFrame, index_state: DataFrame, ignore_rules: list[str], control: list[str] | None = None) -> DataFrame:
     """Events (corpus, path relative to the root) of searchable corpora that matter: control files
@@ -34,9 +32,9 @@ def debounce(events: DataFrame, quiet: str = f"{X.DEBOUNCE_SECONDS} seconds", wa
     event, the time the sync fires, the number of events and of control-file edits.
 
     Sessions are merged inside every task before the shuffle, so a busy corpus sends a few
-    sessions per task and not its events. ``watermark`` bounds the state of a stream.
+    sessions per task and not its events (``session.build_session`` turns that on). ``watermark`` bounds
+    the state of a stream.
     """
-    events.sparkSession.conf.set(LOCAL_SESSIONS, "true")
     e = events.withWatermark("ts", watermark) if watermark else events
     g = e.groupBy("corpus", F.session_window("ts", quiet).alias("w")).agg(
         F.count(F.lit(1)).alias("events"), F.count_if("is_control").alias("control_edits"))
