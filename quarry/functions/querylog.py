@@ -131,4 +131,4 @@ def lexical_terms(tokens: Column) -> Column:
 
 
 def path_regexes(patterns: Column) -> Column:
-    return F.filter(F.transform(patterns, glob_regex_column), lambda r: r.isNotNull())
+    return F.filter(F.transform(patterns, lambda p: glob_regex_column(p)), lambda r: r.isNotNull())

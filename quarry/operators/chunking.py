@@ -13,12 +13,17 @@ from quarry.session import explode_once
 from quarry.functions.text import chunk_id, line_count, symbol_id, trim_ws
 
 # --- fixed values: declaration headers by language -------------------------------------------
+ARROW = r"^\s*(?:export\s+)?(?:const|let|var)\s+[A-Za-z_$][A-Za-z0-9_$]*\s*(?::[^=]+)?=\s*(?:async\s*)?(?:\([^)]*\)|[A-Za-z_$][A-Za-z0-9_$]*)\s*(?::[^=]+)?=>"
+METHOD = (r"^\s+(?:(?:public|private|protected|static|override|readonly|async|get|set)\s+)*(?!(?:if|for|while|switch|catch|function|return|with|new)[^A-Za-z0-9_$])"
+          r"[#A-Za-z_$][A-Za-z0-9_$]*\s*\([^;]*\)\s*(?::[^{;]+)?\{\s*$")
+MEMBER = (r"^\s+(?:(?:public|private|protected|internal|static|final|abstract|virtual|override|async|synchronized)\s+)+(?:[A-Za-z_][A-Za-z0-9_<>\[\],.?]*\s+)?"
+          r"[A-Za-z_][A-Za-z0-9_]*\s*\([^;]*\)\s*(?:throws\s+[A-Za-z0-9_,.\s]+)?\{?\s*$")
 DECLARATIONS = {
-    "typescript": r"^\s*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?(?:async\s+)?(?:class|function|interface|type|enum)\s+[A-Za-z_$]",
-    "javascript": r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?(?:class|function)\s+[A-Za-z_$]",
+    "typescript": r"^\s*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?(?:async\s+)?(?:class|function|interface|type|enum)\s+[A-Za-z_$]|" + ARROW + "|" + METHOD,
+    "javascript": r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?(?:class|function)\s+[A-Za-z_$]|" + ARROW + "|" + METHOD,
     "python": r"^\s*(?:async\s+)?(?:def|class)\s+[A-Za-z_]",
-    "java": r"^\s*(?:(?:public|private|protected|static|final|abstract)\s+)*(?:class|interface|enum)\s+[A-Za-z_]",
-    "csharp": r"^\s*(?:(?:public|private|protected|internal|static|sealed|abstract)\s+)*(?:class|interface|struct|enum)\s+[A-Za-z_]",
+    "java": r"^\s*(?:(?:public|private|protected|static|final|abstract)\s+)*(?:class|interface|enum)\s+[A-Za-z_]|" + MEMBER,
+    "csharp": r"^\s*(?:(?:public|private|protected|internal|static|sealed|abstract)\s+)*(?:class|interface|struct|enum)\s+[A-Za-z_]|" + MEMBER,
     "cpp": r"^\s*(?:class|struct|namespace|enum)\s+[A-Za-z_]",
     "go": r"^\s*(?:func|type)\s+[A-Za-z_(]",
     "rust": r"^\s*(?:pub\s+)?(?:fn|struct|enum|trait|impl|mod)\s+[A-Za-z_<]",

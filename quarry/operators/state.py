@@ -48,6 +48,21 @@ def completion_proof(state: DataFrame, commits: DataFrame, runtime: Column) -> D
         "proof", F.when(F.col("proof_reason").isNull(), "valid").when(F.col("proof_reason") == "fingerprint_mismatch", "fingerprint_mismatch").otherwise("stale_local")).drop("_m")
 
 
+def search_gate(state: DataFrame, commits: DataFrame, runtime: Column) -> DataFrame:
+    """(corpus, open, reason): may a corpus be searched, and if not, why: its fingerprint, its status, its completion proof, in that order."""
+    j = fingerprint_check(completion_proof(state, commits, runtime), runtime)
+    reason = (F.when(~F.col("allowed"), F.coalesce("gate_reason", F.lit("requires_reindex")))
+              .when(~F.col("status").isin(SEARCHABLE), F.concat(F.lit("not_ready:"), F.col("status")))
+              .when(F.col("proof") != "valid", F.col("proof_reason")))
+    return j.select("corpus", reason.isNull().alias("open"), reason.alias("reason"))
+
+
+def refused(queries: DataFrame, gate: DataFrame, key: str = "query_id") -> DataFrame:
+    """Queries (key, corpus) that get no answer, with the reason; a corpus without a state is not indexed."""
+    j = queries.select(key, "corpus").join(gate, "corpus", "left")
+    return j.where(~F.coalesce("open", F.lit(False))).select(key, "corpus", F.when(F.col("open").isNull(), F.lit("not_indexed")).otherwise(F.col("reason")).alias("reason"))
+
+
 def age_seconds(at: Column, now: Column) -> Column:
     return (F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.try_to_timestamp(at))) / F.lit(1e6)
 
@@ -132,11 +147,12 @@ def root_resolve(requests: DataFrame, state: DataFrame, statuses: list[str]) ->
 
 
 def search_telemetry(events: DataFrame) -> DataFrame:
-    """Roll-up of search events by profile and freshness mode."""
+    """Roll-up of search events by profile and freshness mode; percentiles are values that occur, exactly."""
     share = lambda c: F.round(F.avg(F.when(c, 1.0).otherwise(0.0)), 6)
     return events.groupBy("profile", "freshness_mode").agg(
         F.count(F.lit(1)).alias("searches"), F.round(F.avg("latency_ms"), 6).alias("avg_latency"), F.max("latency_ms").alias("max_latency"),
-        F.percentile_approx("latency_ms", [0.5, 0.95], 10000).alias("latency"),
+        F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY latency_ms)").alias("p50_latency"),
+        F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY latency_ms)").alias("p95_latency"),
         F.sum("results_before").alias("before"), F.sum("results_after").alias("after"), F.sum("results_returned").alias("returned"),
         F.sum("pass_failures").alias("pass_failures"), share(F.col("reranker_used")).alias("rerank_rate"), share(F.col("error").isNotNull()).alias("error_rate"))
 

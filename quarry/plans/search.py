@@ -117,13 +117,19 @@ def scored(prepared: DataFrame, chunks: DataFrame, embed, changed: DataFrame | N
 
 
 def search_batch(queries: DataFrame, chunks: DataFrame, embed, now: Column, changed: DataFrame | None = None,
-                 scorer=None, key: str = "query_id") -> DataFrame:
+                 scorer=None, key: str = "query_id", gate: DataFrame | None = None) -> DataFrame:
     """Grouped results for every query, at most ``result_limit`` each.
 
     ``changed``: files to prefer (corpus, path). ``scorer``: a reranking model, see
-    ``scoring.model_scorer``; it sees the top 50 of each query.
+    ``scoring.model_scorer``; it sees the top 50 of each query. ``gate`` (corpus, open), see ``state.search_gate``:
+    queries of a corpus that is not open get no rows; ``state.refused`` says why.
     """
-    ranked = scored(cut_lineage(prepare(queries), "queries"), chunks, embed, changed, key)
+    if gate is not None:
+        queries = queries.join(gate.where("open").select("corpus").distinct(), "corpus", "left_semi")
+    prepared = cut_lineage(prepare(queries), "queries")
+    if "corpus" in queries.columns:         # only the asked corpora's chunks are read further
+        chunks = chunks.join(prepared.select("corpus").distinct(), "corpus", "left_semi")
+    ranked = scored(prepared, chunks, embed, changed, key)
     if scorer is not None:
         ranked = cut_lineage(ranked, "ranked")      # read by the model and again for the fusion
         ranked = S.rerank(ranked, S.ranks_from_scores(ranked, scorer, key), key)

@@ -84,3 +84,27 @@ def test_breadcrumbs(spark):
     rows = [(["a", "a", " b  c ", "x" * 130],), (["", " "],), (["one"],), (["p", "q", "p"],)]
     got = [r[0] for r in spark.createDataFrame(rows, "s array<string>").select(breadcrumbs(F.col("s"))).collect()]
     assert got == [["b c", "x" * 117 + "..."], None, ["one"], ["q", "p"]]
+
+
+def test_methods_arrows_and_constructors_are_chunks(spark):
+    code = {
+        "a.ts": "export class Box {\n  constructor(private n: number) {\n    this.n = n;\n  }\n  async open(key: string): Promise<void> {\n    if (key) {\n      use(key);\n    }\n  }\n}\nexport const add = (a: number, b: number) => a + b;",
+        "B.java": "public class B {\n  private final int n;\n  public B(int n) {\n    this.n = n;\n  }\n  protected static List<String> names(int k) throws X {\n    return null;\n  }\n}",
+    }
+    df = spark.createDataFrame([("c", p, t) for p, t in code.items()], "corpus string, path string, content string")
+    got = {}
+    for r in C.split_code(df).orderBy("path", "start_line").collect():
+        got.setdefault(r.path, []).append((r.start_line, r.symbol_label))
+    assert [x for x, _ in got["a.ts"]] == [1, 2, 5, 11] and [x for x, _ in got["B.java"]] == [1, 3, 6]
+    labels = [x for _, x in got["a.ts"]]
+    assert labels[0] == "class Box" and labels[1].startswith("method constructor(") and labels[2].startswith("async method open(key")
+
+
+def test_split_code_has_no_exchange_and_cuts_long_lines(spark):
+    long = "x" * 7000
+    df = spark.createDataFrame([("c", "a.py", "def f():\n  " + long + "\ndef g():\n  pass")], "corpus string, path string, content string")
+    out = C.split_code(df, 2500, 10)
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    rows = out.orderBy("chunk_no", "part").collect()
+    assert max(len(r.content) for r in rows) <= 2500 and sum(r.content.count("x") for r in rows) == 7000
+    assert all(b.overlap_text == a.content[-10:] for a, b in zip(rows, rows[1:], strict=False))
