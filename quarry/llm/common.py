@@ -6,12 +6,19 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from quarry.session import cut_lineage as cut
 
-__all__ = ["SUB_BITS", "cut", "documents", "group_rank", "hash_order", "word_count"]
+__all__ = ["SUB_BITS", "cut", "documents", "group_rank", "hash_order", "slices", "word_count"]
 
 #: Each ranked group is ranked in so many (2 ** SUB_BITS) slices of its hash order.
 SUB_BITS = 12
 
 
+def slices(batches, rows: int = 256):
+    """The Arrow batches of a task in short pieces, so that only few texts are Python objects at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def documents(df: DataFrame, doc_id: str = "doc_id", text: str = "text", *more: str) -> DataFrame:
     """Only the named columns, so extra columns of the input never clash with those an operator adds."""
     return df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *more)

@@ -15,7 +15,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from quarry.llm.common import cut, documents, group_rank, hash_order
+from quarry.llm.common import cut, documents, group_rank, hash_order, slices
 from quarry.llm.tokens import word_ids
 
 WINDOW, GRAIN, DEPTH = 4096, 16, 3
@@ -34,7 +34,7 @@ def cut_pieces(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: s
 
     def cut_batches(batches):
         encoder, last = word_ids(vocabulary), np.array([end], dtype="<u4").tobytes()
-        for batch in batches:
+        for batch in slices(batches):
             at, start, length, crc, total, parts = [], [], [], [], [], []
             for i, t in enumerate(batch.column(1).to_pylist()):
                 data = encoder.ids(t) + last

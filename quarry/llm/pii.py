@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quarry.llm.common import documents
+from quarry.llm.common import documents, slices
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "iban", "ssn", "local_phone")
@@ -118,14 +118,6 @@ def find_spans(text: str | None) -> list[tuple[str, int, int, float]]:
     return out
 
 
-def _spans(texts: pd.Series) -> pd.Series:
-    return pd.Series([[dict(zip(("kind", "start", "end", "score"), s, strict=True)) for s in find_spans(t)] for t in texts])
-
-
-def _redacted(texts: pd.Series) -> pd.Series:
-    return pd.Series([redact_text(t) for t in texts])
-
-
 def redact_text(text: str | None) -> str | None:
     """The text with each found span, overlapping ones as one, replaced by its (first) kind in brackets."""
     if text is None:
@@ -144,12 +136,26 @@ def find_pii(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     Null and empty texts have no spans, null ids stay, repeated rows are answered each. Other columns of
     the input are not read. A text is worked on whole, one row at a time, without any shuffle.
     """
-    return documents(docs, doc_id, text).select("doc_id", F.pandas_udf(_spans, SPANS)("text").alias("spans"))
-
-
-def redact(text: Column) -> Column:
-    """The column with personal data replaced by the kind in brackets; null stays null."""
-    return F.pandas_udf(_redacted, "string")(text)
+    rows = documents(docs, doc_id, text)
+    names = ("kind", "start", "end", "score")
+
+    def run(batches):
+        kind = pa.list_(pa.struct(list(zip(names, (pa.string(), pa.int32(), pa.int32(), pa.float64()), strict=True))))
+        for batch in slices(batches):
+            found = [[dict(zip(names, s, strict=True)) for s in find_spans(t)] for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, kind)], names=["doc_id", "spans"])
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, spans {SPANS}")
+
+
+def redact(docs: DataFrame, text: str = "text") -> DataFrame:
+    """All rows and columns, personal data in the text replaced by its kind in brackets; null stays null."""
+    at = docs.columns.index(text)
+
+    def run(batches):
+        for batch in slices(batches):
+            column = batch.column(at)
+            yield batch.set_column(at, batch.schema.field(at), pa.array([redact_text(t) for t in column.to_pylist()], column.type))
+    return docs.mapInArrow(run, docs.schema)
 
 
 def listed(spans: Column) -> Column:

@@ -7,9 +7,10 @@ lines above the limit are removed, and documents that lose too much are rejected
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from quarry.llm.common import cut, slices
 from quarry.session import explode_once
 
 #: A line is removed where over MAX_SHARE of its host's different texts, and over MIN_TEXTS, hold it.
@@ -17,7 +18,7 @@ MAX_SHARE, MIN_TEXTS = 0.1, 10
 #: A document is depleted when under LEAST_LEFT of its words, or under LEAST_WORDS, are left.
 LEAST_LEFT, LEAST_WORDS = 0.5, 10
 SYMBOLS = b"#*$%&|<>"
-MEASURES = "struct<n_words:bigint,word_chars:bigint,n_symbols:bigint,n_dup_lines:bigint,n_repeat_words:bigint>"
+MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
 def repeat_words(words: list[bytes], window: int = 5) -> int:
@@ -49,8 +50,17 @@ def measure_text(text: str | None) -> dict[str, int]:
             "n_dup_lines": len(lines) - len(set(lines)), "n_repeat_words": repeat_words(words)}
 
 
-def _measures(texts: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([measure_text(t) for t in texts], columns=["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"])
+def _measured(keyed: DataFrame) -> DataFrame:
+    """(doc_id, host, text_hash, row_hash) and the measures of each row's text."""
+    names = ["doc_id", "host", "text_hash", "row_hash"]
+    fields = [f"{n} {keyed.schema[n].dataType.simpleString()}" for n in names] + [f"{n} bigint" for n in MEASURES]
+
+    def run(batches):
+        for batch in slices(batches):
+            found = [measure_text(t) for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
+            columns = [batch.column(batch.schema.get_field_index(n)) for n in names]
+            yield pa.RecordBatch.from_arrays([*columns, *(pa.array([m[n] for m in found], pa.int64()) for n in MEASURES)], names=[*names, *MEASURES])
+    return keyed.mapInArrow(run, ", ".join(fields))
 
 
 def _keyed(docs: DataFrame, doc_id: str, text: str, host: str) -> DataFrame:
@@ -82,19 +92,21 @@ def frequent_lines(keyed: DataFrame, max_share: float, min_texts: int) -> DataFr
 
 
 def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", max_share: float = MAX_SHARE, min_texts: int = MIN_TEXTS,
-          least_left: float = LEAST_LEFT, least_words: int = LEAST_WORDS) -> DataFrame:
+          least_left: float = LEAST_LEFT, least_words: int = LEAST_WORDS, often: DataFrame | None = None) -> DataFrame:
     """(doc_id, measures, removed_words, base_failed, kept) for every row.
 
+    ``often``: the result of ``frequent_lines`` where it is at hand.
+
     Null and empty texts have no words and fail the base; rows with null ids or hosts are judged like
     others; repeated rows are answered each; empty tables give no rows. Other columns are not read.
     """
     keyed = _keyed(docs, doc_id, text, host)
-    often = frequent_lines(keyed, max_share, min_texts)
+    often = frequent_lines(keyed, max_share, min_texts) if often is None else often
     lost = (_lines(keyed).join(often, ["host", "line"]).groupBy("row_hash", "text_hash", "host")
             .agg(F.sum("words").alias("lost"), F.count(F.lit(1)).alias("_lines")))
-    rows = keyed.select("doc_id", "host", "text_hash", "row_hash", F.pandas_udf(_measures, MEASURES)("text").alias("m")).select("doc_id", "host", "text_hash", "row_hash", "m.*")
+    rows = _measured(keyed)
     # rows that agree in id, text and host hold the same lines: their lost words were summed together
-    same = rows.groupBy("row_hash", "text_hash", "host", "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words").agg(F.count(F.lit(1)).alias("copies"))
+    same = rows.groupBy("row_hash", "text_hash", "host", "doc_id", *MEASURES).agg(F.count(F.lit(1)).alias("copies"))
     left = same.join(lost, ["row_hash", "text_hash", "host"], "left").withColumn("removed_words", (F.coalesce("lost", F.lit(0)) / F.col("copies")).cast("long"))
     base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     rest = F.col("n_words") - F.col("removed_words")
@@ -111,13 +123,14 @@ def clean(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str
     """
     share, least = limits.get("max_share", MAX_SHARE), limits.get("min_texts", MIN_TEXTS)
     keyed = _keyed(docs, doc_id, text, host)
-    kept = judge(docs, doc_id, text, host, **limits).where("kept").select("row_hash", "text_hash", "host", "removed_words").distinct()
-    gone = _lines(keyed).join(frequent_lines(keyed, share, least), ["host", "line"]).groupBy("row_hash", "text_hash", "host").agg(F.collect_set("line").alias("_gone"))
+    often = cut(frequent_lines(keyed, share, least), "frequent-lines")      # used twice, and far smaller than the text
+    kept = judge(docs, doc_id, text, host, often=often, **limits).where("kept").select("row_hash", "text_hash", "host", "removed_words").distinct()
+    gone = _lines(keyed).join(often, ["host", "line"]).groupBy("row_hash", "text_hash", "host").agg(F.collect_set("line").alias("__gone"))
     verdict = kept.join(gone, ["row_hash", "text_hash", "host"], "left").select(
-        F.col("row_hash").alias("_row"), F.col("text_hash").alias("_text"), F.col("host").alias("_host"), "_gone")
+        F.col("row_hash").alias("__row"), F.col("text_hash").alias("__text"), F.col("host").alias("__host"), "__gone")
     t = F.coalesce(F.col(text), F.lit(""))
-    mark = docs.withColumn("_row", F.xxhash64(F.coalesce(F.col(doc_id).cast("string"), F.lit("\x00")), t)).withColumn("_text", F.xxhash64(t)).withColumn(
-        "_host", F.coalesce(F.col(host).cast("string"), F.lit("\x00")))
-    rest = F.array_join(F.filter(F.split(t, "\n"), lambda x: ~F.array_contains(F.col("_gone"), F.xxhash64(normal_line(x)))), "\n")
-    return (mark.join(verdict, ["_row", "_text", "_host"]).withColumn(text, F.when(F.col("_gone").isNull(), F.col(text)).otherwise(rest))
+    mark = docs.withColumn("__row", F.xxhash64(F.coalesce(F.col(doc_id).cast("string"), F.lit("\x00")), t)).withColumn("__text", F.xxhash64(t)).withColumn(
+        "__host", F.coalesce(F.col(host).cast("string"), F.lit("\x00")))
+    rest = F.array_join(F.filter(F.split(t, "\n"), lambda x: ~F.array_contains(F.col("__gone"), F.xxhash64(normal_line(x)))), "\n")
+    return (mark.join(verdict, ["__row", "__text", "__host"]).withColumn(text, F.when(F.col("__gone").isNull(), F.col(text)).otherwise(rest))
             .select(*docs.columns))

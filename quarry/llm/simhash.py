@@ -14,7 +14,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quarry.llm.common import cut, documents
+from quarry.llm.common import cut, documents, slices
 from quarry.llm.components import connected
 
 DIFFERENCES = 2
@@ -45,7 +45,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     rows = documents(docs, doc_id, text).withColumn("row", row_hash("doc_id", "text"))
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             h = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(h)], names=["doc_id", "row", "h"])
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, row bigint, h bigint")
