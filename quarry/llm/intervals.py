@@ -11,28 +11,40 @@ import numpy as np
 
 
 def suffix_order(data: np.ndarray, length: int) -> np.ndarray:
-    """Suffixes sorted by at least their first ``length`` bytes (a shorter suffix first), by doubling from 8 bytes."""
+    """Suffixes sorted by at least their first ``length`` bytes (a shorter suffix first), by doubling from 7 bytes.
+
+    Only suffixes that still share all bytes compared so far are sorted again; ties of ``length`` bytes come in any order.
+    """
     n = len(data)
     padded = np.concatenate([data.astype(np.uint64) + np.uint64(1), np.zeros(8, dtype=np.uint64)])
     key = np.zeros(n, dtype=np.uint64)
     for i in range(7):      # seven digits of 257 fit a word
         key = key * np.uint64(257) + padded[i:i + n]
+    order = np.argsort(key)
+    key = key[order]
+    new = np.empty(n, dtype=bool)
+    new[:1] = True
+    np.not_equal(key[1:], key[:-1], out=new[1:])
+    rank = np.zeros(n + 1, dtype=np.int64)          # the first place of a suffix's class, from 1; 0 for the empty suffix
+    rank[order] = (np.flatnonzero(new) + 1)[np.cumsum(new) - 1]
     done = 7
-    while True:
-        order = np.argsort(key, kind="stable")
-        ranked = key[order]
-        new = np.empty(n, dtype=bool)
-        new[:1] = True
-        np.not_equal(ranked[1:], ranked[:-1], out=new[1:])
-        if done >= length or new.all():
-            return order
-        rank = np.empty(n, dtype=np.int64)
-        rank[order] = np.cumsum(new)
-        after = np.zeros(n, dtype=np.int64)
-        if done < n:
-            after[:n - done] = rank[done:]
-        key = rank * (n + 1) + after
+    while done < length:
+        tied = ~new
+        tied[:-1] |= ~new[1:]
+        at = np.flatnonzero(tied)
+        if not len(at):
+            break
+        suffix = order[at]
+        key = rank[suffix] * (n + 1) + rank[np.minimum(suffix + done, n)]
+        again = np.argsort(key)
+        key, order[at] = key[again], suffix[again]
+        apart = np.empty(len(at), dtype=bool)
+        apart[:1] = True
+        np.not_equal(key[1:], key[:-1], out=apart[1:])
+        new[at] = apart
+        rank[order[at]] = (at[apart] + 1)[np.cumsum(apart) - 1]
         done *= 2
+    return order
 
 
 def equal_prefix_starts(data: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
@@ -43,8 +55,8 @@ def equal_prefix_starts(data: np.ndarray, order: np.ndarray, length: int) -> np.
     intervals of value l. All intervals of one value are extended at once.
     """
     n = len(data)
-    place = np.empty(n + 1, dtype=np.int64)
-    place[order] = np.arange(n)
+    place = np.empty(n + 1, dtype=np.int32)
+    place[order] = np.arange(n, dtype=np.int32)
     place[n] = n                                    # the empty suffix is an interval of its own
     inverse = place[order + 1]
     first = data[order]
@@ -52,13 +64,16 @@ def equal_prefix_starts(data: np.ndarray, order: np.ndarray, length: int) -> np.
     apart[:1] = True
     np.not_equal(first[1:], first[:-1], out=apart[1:])
     still = np.flatnonzero(~apart)
+    mine, before = inverse[still], inverse[still - 1]
+    interval = np.zeros(n + 1, dtype=np.int32)
     for _ in range(1, length):
-        interval = np.append(np.cumsum(apart), 0)
-        split = interval[inverse[still]] != interval[inverse[still - 1]]
+        np.cumsum(apart, out=interval[:n])
+        split = interval[mine] != interval[before]
         if not split.any():
             break
         apart[still[split]] = True
-        still = still[~split]
+        keep = ~split
+        still, mine, before = still[keep], mine[keep], before[keep]
     return apart
 
 

@@ -42,17 +42,16 @@ class Seeded(B.Batch):
     """A batch with the seeds of its strings."""
 
     def __init__(self, frame: pd.DataFrame, length: int) -> None:
-        # seeds in order of (hash, document, place); ``hashes`` are the different ones, ``which`` each seed's
         super().__init__(frame)
         at, h = window_seeds(np.frombuffer(self.raw, np.uint8), self.ends, length, GRAM)
-        doc = np.searchsorted(self.ends, at, side="right")
-        order = np.lexsort((at, h))
-        self.at, self.doc, h = at[order], doc[order], h[order]
+        # seeds in order of their hash; ``hashes`` are the different ones, ``which`` each seed's
+        order = np.argsort(h)
+        self.at, h = at[order], h[order]
+        self.doc = np.searchsorted(self.ends, self.at, side="right")
         new = B.runs(h)
         self.hashes, self.which = h[new], np.cumsum(new) - 1
         first = np.flatnonzero(new)
-        last = np.append(first[1:], len(h)) - 1
-        self.twice = self.doc[first] != self.doc[last] if len(first) else np.zeros(0, bool)
+        self.twice = np.minimum.reduceat(self.doc, first) != np.maximum.reduceat(self.doc, first) if len(first) else np.zeros(0, bool)
         self.low = np.maximum(self.starts[self.doc], self.at - (length - GRAM))
         self.high = np.minimum(self.ends[self.doc], self.at + length)
 
@@ -61,10 +60,12 @@ class Seeded(B.Batch):
         raw, digest = self.raw, xxhash.xxh64_intdigest
         marks = np.array([digest(raw[a:b]) for a, b in zip(self.low[chosen].tolist(), self.high[chosen].tolist(), strict=True)], dtype=np.uint64)
         docs = self.doc[chosen]
-        order = np.lexsort((docs, marks))
+        if not len(chosen):
+            return marks, np.zeros(0, bool)
+        order = np.argsort(marks)
         new = B.runs(marks[order])
         least = np.empty(len(order), dtype=np.int64)
-        least[order] = docs[order][new][np.cumsum(new) - 1] if len(order) else docs
+        least[order] = np.minimum.reduceat(docs[order], np.flatnonzero(new))[np.cumsum(new) - 1]
         return marks, self.ids[least] == self.ids[docs]
 
 
@@ -83,18 +84,39 @@ def _second_step(buckets: int, length: int):
         b = Seeded(frame, length)
         chosen = np.flatnonzero(B.read_flags(b.hashes, flags, buckets)[b.which])
         marks, least = b.regions(chosen)
+        # of equal regions within the batch all but the least id's are removed whole: settled here, under a bucket of the batch's own
+        gone = chosen[~least & (b.ids[b.doc[chosen]] != NO_ID)]
+        spans = np.empty(len(gone), SPAN)
+        spans["doc"], base = b.doc[gone], b.starts[b.doc[gone]]
+        spans["start"], spans["end"] = b.low[gone] - base, b.high[gone] - base
+        own = int(frame["batch"].iloc[0])
         chosen, marks = chosen[least], marks[least]
         rows = np.empty(len(chosen), ENTRY)
         rows["hash"], rows["mark"], rows["id"], rows["doc"] = b.hashes[b.which[chosen]], marks, b.ids[b.doc[chosen]], b.doc[chosen]
         rows["start"], rows["size"] = b.low[chosen] - b.starts[b.doc[chosen]], b.high[chosen] - b.low[chosen]
         order, met, begin = B.by_bucket(rows["hash"], buckets)
-        out = [(k, frame["batch"].iloc[0], B.press(rows[order[x:y]])) for k, x, y in zip(met, begin, begin[1:], strict=False)]
-        return pd.DataFrame(out, columns=names)
+        out = [(k, own, B.press(rows[order[x:y]])) for k, x, y in zip(met, begin, begin[1:], strict=False)]
+        return pd.DataFrame([*out, (-1 - own, own, B.press(joined(spans)))], columns=names)
     return run
 
 
+def joined(spans: np.ndarray) -> np.ndarray:
+    """Spans of one batch, those that touch or overlap as one."""
+    if not len(spans):
+        return spans
+    spans = spans[np.lexsort((spans["start"], spans["doc"]))]
+    wide = int(spans["end"].max()) + 2
+    low, high = spans["doc"].astype(np.int64) * wide + spans["start"], np.maximum.accumulate(spans["doc"].astype(np.int64) * wide + spans["end"])
+    new = np.append(True, low[1:] > high[:-1])
+    out = spans[new]
+    out["end"] = high[np.append(np.flatnonzero(new)[1:] - 1, len(high) - 1)] - out["doc"].astype(np.int64) * wide
+    return out
+
+
 def _compare(frame: pd.DataFrame) -> pd.DataFrame:
     """Kind 0: spans of regions that a smaller id holds. Kind 1: regions to send, where a hash has several."""
+    if frame["bucket"].iloc[0] < 0:         # what a batch has settled itself
+        return pd.DataFrame({"batch": frame["batch"], "kind": 0, "data": frame["entries"]})
     rows, batch = B.gathered(frame["entries"], frame["batch"], ENTRY)
     order = np.lexsort((rows["id"], rows["mark"], rows["hash"]))
     rows, batch = rows[order], batch[order]
@@ -163,19 +185,13 @@ def _search(length: int):
     return run
 
 
-def _fourth_step(length: int, keep_text: bool):
+def _fourth_step(keep_text: bool):
     def run(frame: pd.DataFrame, removed: pd.DataFrame) -> pd.DataFrame:
         names = ["id", "size", "starts", "ends", "kept"]
         if not len(frame):
             return pd.DataFrame([], columns=names)
-        b = Seeded(frame, length)
-        # equal regions within the batch: all but the least id's are removed whole
-        chosen = np.flatnonzero(b.twice[b.which])
-        _, least = b.regions(chosen)
-        gone = chosen[~least & (b.ids[b.doc[chosen]] != NO_ID)]
+        b = B.Batch(frame)
         edge = np.zeros(len(b.raw) + 1, np.int32)
-        np.add.at(edge, b.low[gone], 1)
-        np.add.at(edge, b.high[gone], -1)
         for x in removed["data"]:
             s = B.unpress(x, SPAN)
             np.add.at(edge, b.starts[s["doc"]] + s["start"], 1)
@@ -210,5 +226,5 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         _third_step(n), "bucket bigint, batch bigint, wants binary, regions binary")
     found = asked.groupBy("bucket").applyInPandas(_search(length), B.STEP)
     spans = compared.where("kind = 0").union(found)
-    done = again.groupBy("batch").cogroup(spans.groupBy("batch")).applyInPandas(_fourth_step(length, keep_text), RESULT)
+    done = again.groupBy("batch").cogroup(spans.groupBy("batch")).applyInPandas(_fourth_step(keep_text), RESULT)
     return done.select(F.when(F.col("id") != int(NO_ID), F.col("id")).alias("doc_id"), F.col("size").alias("n_bytes"), "starts", "ends", "kept")
