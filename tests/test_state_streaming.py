@@ -55,7 +55,7 @@ def test_telemetry_percentiles(spark):
     ev = spark.range(101).select(F.lit("fast").alias("profile"), F.lit("synced").alias("freshness_mode"), F.col("id").cast("double").alias("latency_ms"), *[
         F.lit(1).alias(c) for c in ("results_before", "results_after", "results_returned", "pass_failures")], (F.col("id") % 2 == 0).alias("reranker_used"), F.lit(None).cast("string").alias("error"))
     r = S.search_telemetry(ev).first()
-    assert r.latency == [50.0, 95.0] and r.searches == 101 and r.error_rate == 0
+    assert (r.p50_latency, r.p95_latency) == (50.0, 95.0) and r.searches == 101 and r.error_rate == 0
 
 
 def test_throttle_over_several_triggers_with_one_busy_corpus(spark):
