@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quarry.llm import mixing, packing, pii, quality, simhash
+from quarry.llm import mixing, near_copies as copies, packing, pii, quality, simhash
 from quarry.llm.common import cut, word_count
 from quarry.llm.tokens import public_vocabulary
 
@@ -29,6 +29,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.keep_one(docs.select(*COLUMNS))
 
 
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without those whose 5-word shingles are 0.8 or more like those of one with a smaller id."""
+    return copies.drop_near_copies(docs.select(*COLUMNS))
+
+
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data replaced by its kind."""
     return _recounted(pii.redact(docs.select(*COLUMNS)))
@@ -55,15 +60,18 @@ STAGES = [
     ("packing", pack),
 ]
 
+#: What ``run`` does: the stages, and after "near dedup", which keeps to op2_simhash's limit, what that limit leaves.
+STEPS = [*STAGES[:2], ("near copies", near_copies), *STAGES[2:]]
+
 #: Fingerprints and token ids have no SQL form; tests/llm/test_pipeline.py holds each stage against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what a stage returns is written and read again as the next one's input."""
+    """All steps over ``documents``; what a step returns is written and read again as the next one's input."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
+    for i, (name, step) in enumerate(STEPS):
+        docs = step(spark, docs, sf_dir)
+        if i < len(STEPS) - 1:
             docs = cut(docs, name.replace(" ", "-"))
     return docs
