@@ -108,9 +108,9 @@ def send_hashes(hashes: np.ndarray, twice: np.ndarray, batch: int, buckets: int)
     return pd.DataFrame(out, columns=["bucket", "batch", "hashes", "twice"])
 
 
-def shared_flags(frame: pd.DataFrame) -> pd.DataFrame:
+def shared_flags(frame: pd.DataFrame, kind=np.uint64) -> pd.DataFrame:
     """For each batch, flags of its hashes in this bucket: met in another batch, or in two documents of one."""
-    hashes = [np.frombuffer(x, np.uint64) for x in frame["hashes"]]
+    hashes = [np.frombuffer(x, kind) for x in frame["hashes"]]
     twice = np.concatenate([np.unpackbits(np.frombuffer(t, np.uint8), count=len(h)) for t, h in zip(frame["twice"], hashes, strict=True)])
     _, which, n = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
     flag = np.bincount(which, weights=twice) + (n > 1) > 0
