@@ -13,8 +13,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from quarry.llm.common import cut, slices
 from quarry.session import explode_once
 
-#: A line is removed where over MAX_SHARE of its host's different texts, and over MIN_TEXTS, hold it.
-MAX_SHARE, MIN_TEXTS = 0.1, 10
+#: A line is removed where over MIN_TEXTS different texts of its host hold it, however many texts the host has. MAX_SHARE is a
+#: further least share of them, none unless asked for: with a share, the limit would grow with the host.
+MAX_SHARE, MIN_TEXTS = 0.0, 10
 #: A document is depleted when under LEAST_LEFT of its words, or under LEAST_WORDS, are left.
 LEAST_LEFT, LEAST_WORDS = 0.5, 10
 SYMBOLS = b"#*$%&|<>"

@@ -71,3 +71,11 @@ def test_frequent_lines_go_and_depleted_documents_are_rejected(spark):
     assert out[0] == own[0] and 100 not in out
     assert len(out) == 90 and out[200].startswith("a copy")
     assert Q.clean(df).columns == df.columns
+
+
+def test_a_repeated_line_goes_from_a_large_host_too(spark):
+    own = [" ".join(f"w{i}x{j}" for j in range(30)) for i in range(400)]
+    rows = [(i, ("Subscribe to our letter\n" if i < 12 else "a line of ten\n" if i < 22 else "") + t, "en", "h", 0) for i, t in enumerate(own)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = {r["doc_id"]: r["text"] for r in Q.clean(df).collect()}
+    assert len(out) == 400 and all(out[i] == (own[i] if i < 12 or i >= 22 else "a line of ten\n" + own[i]) for i in out)
