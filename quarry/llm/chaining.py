@@ -228,7 +228,7 @@ def _send(buckets: int):
 
 
 def _flags(frame: pd.DataFrame) -> pd.DataFrame:
-    return B.shared_flags(frame, np.uint32)
+    return B.flags_of(frame, np.uint32)
 
 
 def _entries(b: Worded, seeds: Seeds, shared: np.ndarray) -> np.ndarray:
