@@ -6,10 +6,12 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from quarry.session import cut_lineage as cut
 
-__all__ = ["SUB_BITS", "cut", "documents", "group_rank", "hash_order", "slices", "word_count"]
+__all__ = ["SUB_BITS", "cut", "documents", "group_rank", "hash_order", "join_counted", "slices", "word_count"]
 
 #: Each ranked group is ranked in so many (2 ** SUB_BITS) slices of its hash order.
 SUB_BITS = 12
+#: A key of more rows is joined by broadcast; there are at most HOT_KEYS of them, whatever the table.
+HOT_ROWS, HOT_KEYS = 50_000, 50_000
 
 
 def slices(batches, rows: int = 256):
@@ -52,3 +54,18 @@ def group_rank(df: DataFrame, groups: list[str], order: str, ties: list[str], na
     within = F.coalesce(F.sum(weight).over(slice_.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)) if weight else F.row_number().over(slice_) - 1
     return (df.withColumn("__within", within).join(start, [*groups, "__sub"])
             .withColumn(name, F.col("__start") + F.col("__within")).drop("__sub", "__within", "__start"))
+
+
+def join_counted(rows: DataFrame, found: DataFrame, keys: list[str], n: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Inner join of ``rows`` with ``found``, which has one row per key and in ``n`` how many of ``rows`` have that key.
+
+    A key of many rows would send them all to one task. Such keys are few (at most HOT_KEYS, as the limit grows with the
+    sum of ``n``), so theirs are broadcast and their rows stay where they are; the other keys are joined by a shuffle.
+    """
+    total, most = found.agg(F.sum(n), F.max(n)).first()
+    limit = max(hot_rows, (total or 0) // HOT_KEYS)
+    if (most or 0) <= limit:
+        return rows.join(found, keys)
+    hot = found.where(F.col(n) > limit)
+    cold = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(found.where(F.col(n) <= limit), keys)
+    return rows.join(F.broadcast(hot), keys).unionByName(cold)
