@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from entries import views as V
 from entries.search import CATEGORY, NOISE, NOW
 from quarry.functions import fixed as X, paths as P, text as T
-from quarry.functions.ignore_rules import is_ignored
+from quarry.functions.ignore_rules import is_ignored, layered
 from quarry.sources import corpus as C
 
 B = "chr(92)"
@@ -42,7 +42,7 @@ def stale(s, sf):
     return e.select("event_id", T.staleness(F.col("at"), F.lit("2024-01-30 12:00:00").cast("timestamp")).alias("bucket"))
 
 
-ROOT_RULES = {0: "# own\ndocs/\nsrc/**/index.ts\n\n!docs/", 1: "*.test.ts\n!src/auth/mod_1*\n*.test.ts", 2: "/src/core\r\npkg/*/mod_?.py"}
+ROOT_RULES = {0: "# own\ndocs/\nsrc/**/index.ts\n\n!docs/\n!dist", 1: "*.test.ts\n!src/auth/mod_1*\n*.test.ts\n!lib/", 2: "/src/core\r\npkg/*/mod_?.py\nmod_*[13].p[!x]"}
 
 
 def root_rules(s, sf):
@@ -51,7 +51,7 @@ def root_rules(s, sf):
     n = F.pmod(F.regexp_extract("corpus", "([0-9]+)", 1).cast("int"), F.lit(3))
     text = F.when(n == 0, ROOT_RULES[0]).when(n == 1, ROOT_RULES[1]).otherwise(ROOT_RULES[2])
     own = f_.select("corpus").distinct().select(F.lit(None).cast("bigint").alias("doc_id"), "corpus", F.lit(".gitignore").alias("path"), text.alias("content"), F.lit(1).cast("bigint").alias("size"))
-    return C.discover(f_, ["lib/"], corpus_rules=C.root_rules(f_.unionByName(own))).select("doc_id", "path")
+    return C.discover(f_, ["lib/"], corpus_rules=C.root_rules(f_.unionByName(own), before=layered(X.DEFAULT_IGNORE_RULES, ["lib/"]))).select("doc_id", "path")
 
 
 QUERIES = {
@@ -81,9 +81,10 @@ _SQ = r"trim(regexp_replace(x, '\s+', ' ', 'g'))"
 _DEF_RX = r"(^|/)(node_modules|dist|build|out|target|coverage|logs|tmp|temp|__pycache__|\.nyc_output|\.vscode|\.idea|\.git|\.svn|\.hg|\.pytest_cache)(/|$)|^\.cache/."
 _N = "CAST(regexp_extract(corpus, '([0-9]+)', 1) AS INTEGER) % 3"
 SQL = {
-    "ignore_layers": V.sql(rf"""SELECT doc_id, path FROM files WHERE {EXT} IN {ALLOWED} AND NOT {HIDDEN} AND NOT regexp_matches(path, '{_DEF_RX}') AND NOT starts_with(path, 'lib/')
+    "ignore_layers": V.sql(rf"""SELECT doc_id, path FROM files WHERE {EXT} IN {ALLOWED} AND NOT {HIDDEN} AND NOT (regexp_matches(path, '{_DEF_RX}') AND NOT ({_N} = 0 AND starts_with(path, 'pkg/dist/')))
+      AND NOT (starts_with(path, 'lib/') AND {_N} <> 1)
       AND NOT ({_N} = 0 AND regexp_matches(path, '^src/(.*/)?index\.ts$')) AND NOT ({_N} = 1 AND regexp_matches(path, '\.test\.ts$') AND NOT starts_with(path, 'src/auth/mod_1'))
-      AND NOT ({_N} = 2 AND regexp_matches(path, '^src/core/|^pkg/[^/]*/mod_[^/]\.py$'))""", "files"),
+      AND NOT ({_N} = 2 AND regexp_matches(path, '^src/core/|^pkg/[^/]*/mod_[^/]\.py$|(^|/)mod_[^/]*[13]\.p[^x]$'))""", "files"),
     "corpus_scan": V.sql(f"SELECT doc_id, path, size FROM files WHERE {EXT} IN {ALLOWED} AND NOT {HIDDEN} AND NOT {IGNORED}", "files"),
     "ignore_filter": V.sql(f"SELECT doc_id, path, {IGNORED} AS ignored FROM files", "files"),
     "ignore_defaults": V.sql(f"SELECT path FROM files WHERE NOT regexp_matches(path, '{_DEF_RX}')", "files"),

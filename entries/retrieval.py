@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 
 from entries import views as V
 from quarry.operators import retrieval as R
+from quarry.session import shared_dir
+from quarry.sources import cells, inverted
 
 CTE = V.CTE
 CTE["dense_all"] = """SELECT q.query_id, e.vec_id AS doc_id,
@@ -42,6 +44,35 @@ def bm25(spark, sf, k):
     return R.bm25_topk(V.files(spark, sf).select("doc_id", "content"), q_text(spark, sf), k)
 
 
+def stored(spark, sf):
+    """The inverted index of all documents, written and opened again."""
+    root = shared_dir(spark, "inverted")
+    chunks = V.files(spark, sf).select("corpus", F.substring(F.md5("path"), 1, 1).alias("bucket"), "doc_id", "content")
+    inverted.write(chunks, root, id_col="doc_id")
+    return inverted.load(spark, root, "bigint")
+
+
+def bm25_stored(spark, sf, k):
+    return inverted.topk(stored(spark, sf), q_text(spark, sf), k, "doc_id")
+
+
+CELLS, PROBES, SHORTLIST = 16, 13, 60
+
+
+def by_cells(spark, sf, probes):
+    """Top 10 of each query from the stored cell index: a first ranking by codes, 60 vectors a query exactly."""
+    root = shared_dir(spark, "cells")
+    cells.write(emb(spark, sf), root, CELLS)
+    return cells.topk(cells.load(spark, root), V.query_vectors(spark, sf), 10, probes, SHORTLIST)
+
+
+def cells_recall(spark, sf):
+    """Recall of the cell index with some cells left out: at least 0.9. These vectors have no clusters, so most cells matter."""
+    exact = dense(spark, sf, 10).select("query_id", "doc_id")
+    near = by_cells(spark, sf, PROBES).select("query_id", "doc_id", F.lit(1).alias("hit"))
+    return exact.join(near, ["query_id", "doc_id"], "left").agg((F.avg(F.coalesce("hit", F.lit(0))) >= 0.9).alias("recall_reached"))
+
+
 def out(df):
     return df.select("query_id", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
@@ -92,9 +123,15 @@ QUERIES = {
     "score_threshold": lambda s, sf: out(dense(s, sf, 25)).where(F.col("score") >= R.check_threshold("dense", 0.25)),
     "dense_topk_ann": lambda s, sf: out(dense_ann(s, sf)),
     "dense_ann_recall": dense_ann_recall,
+    "dense_topk_cells": lambda s, sf: out(by_cells(s, sf, CELLS)),
+    "dense_cells_recall": cells_recall,
     "bm25_index": lambda s, sf: R.bm25_postings(V.files(s, sf)).groupBy("term").agg(
         F.count(F.lit(1)).alias("df"), F.sum("tf").alias("occurrences"), F.max("tf").alias("max_tf")),
     "bm25_topk": lambda s, sf: out(bm25(s, sf, 10)),
+    "bm25_stored_topk": lambda s, sf: out(bm25_stored(s, sf, 10)),
+    "bm25_stored_index": lambda s, sf: stored(s, sf).postings.groupBy("term").agg(
+        F.sum("n").alias("df"), F.sum("words").alias("occurrences"), F.max("top_tf").alias("max_tf")),
+    "rrf_stored": lambda s, sf: out(R.rrf_fuse([dense(s, sf, 80), bm25_stored(s, sf, 80)], ["query_id"], "doc_id", 100, 10)),
     "rrf_hybrid": lambda s, sf: out(rrf(s, sf)),
     "store_prefilter": lambda s, sf: out(store_prefilter(s, sf)),
 }
@@ -117,3 +154,5 @@ SQL = {
             "dense_all": CTE["dense_all"] + " WHERE e.vec_id IN (SELECT doc_id FROM prefiltered)",
             "toks": CTE["toks"].replace("FROM documents", "FROM prefiltered"), "dl": CTE["dl"].replace("FROM documents", "FROM prefiltered")}),
 }
+SQL["dense_topk_cells"], SQL["dense_cells_recall"] = SQL["dense_topk"], SQL["dense_ann_recall"]
+SQL["bm25_stored_topk"], SQL["bm25_stored_index"], SQL["rrf_stored"] = SQL["bm25_topk"], SQL["bm25_index"], SQL["rrf_hybrid"]

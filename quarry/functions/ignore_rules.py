@@ -28,6 +28,9 @@ def _glob(body: str) -> str:
         if seg == "**":
             parts.append(".+" if last else "(?:[^/]+/)*")
             continue
+        if seg and not seg.strip("*"):      # a whole name, which is not empty: src/* is not src/ itself
+            parts.append("[^/]+" + ("" if last else "/"))
+            continue
         out, j = "", 0
         while j < len(seg):
             c = seg[j]
@@ -132,36 +135,55 @@ def layered(*layers: list[str] | None) -> list[str]:
     return list(dict.fromkeys(r for layer in layers for r in layer or []))
 
 
-def is_ignored_by(path: Column, rules: Column) -> Column:
-    """As ``is_ignored`` with rules that are data: an ordered array of (regex, negate) next to each path.
+def is_ignored_merged(path: Column, patterns: list[str], rules: Column) -> Column:
+    """As ``is_ignored`` with a list that goes on in the data: ``patterns`` first, then an ordered array of (regex, negate).
 
-    ``regex`` comes from ``glob_regex_column(..., entry=True)``. The last rule that matches an entry decides
-    about it, and a path is ignored when it or a directory above it is. A null array ignores nothing.
+    ``regex`` comes from ``glob_regex_column(..., entry=True)``. Of the whole list the last rule that matches an entry decides about
+    it, so a rule of the data can bring back what ``patterns`` drop, and a path is ignored when it or a directory above it is.
+    A null or empty array leaves ``patterns`` alone, at the cost of one expression.
     """
+    runs = _runs(compile_rules(patterns))
+
     def verdict(entry):
         hits = F.filter(rules, lambda r: F.rlike(entry, r["regex"]))
-        return F.coalesce(~F.element_at(F.when(F.size(hits) > 0, hits), -1)["negate"], F.lit(False))
+        return F.coalesce(~F.element_at(F.when(F.size(hits) > 0, hits), -1)["negate"], _verdict(entry, runs) if runs else F.lit(False))
+
+    return F.when(F.size(F.coalesce(rules, F.array())) > 0, F.exists(entries(path), verdict)).otherwise(is_ignored(path, patterns))
+
+
+#: What a glob is made of: an escaped character, a class, stars, any other character.
+_GLOB_TOKEN = r"(?s)\\[^/]|\[[^/][^/\]]*\]|\*+|."
+
+
+def _glob_column(body: Column) -> Column:
+    """``_glob`` for a column."""
+    marked = F.regexp_replace(body, r"(^|/)\*\*$", "$1\u0001")               # trailing ** : anything below
+    marked = F.regexp_replace(marked, r"(^|(?<=/))\*\*/", "\u0002")          # **/ : any directories
+    marked = F.regexp_replace(marked, r"(^|(?<=[/\u0002]))\*+(?=/|$)", "\u0003")      # a whole name
+    plain = lambda c: F.regexp_replace(c, r"([.+^$(){}|\[\]\\*?])", r"\\$1")
+
+    def one(t):
+        inner = F.substr(t, F.lit(2), F.length(t) - 2)
+        members = F.when(inner.rlike("^[!^]"), F.concat(F.lit("^"), F.substr(inner, F.lit(2)))).otherwise(inner)
+        return (F.when(t == "\u0001", ".+").when(t == "\u0002", "(?:[^/]+/)*").when(t == "\u0003", "[^/]+").when(t.startswith("*"), "[^/]*").when(t == "?", "[^/]")
+                .when(t.startswith("[") & (F.length(t) > 2), F.concat(F.lit("["), members, F.lit("]")))
+                .when(t.startswith("\\") & (F.length(t) == 2), plain(F.substr(t, F.lit(2)))).otherwise(plain(t)))
 
-    return F.coalesce(F.exists(entries(path), verdict), F.lit(False))
+    return F.array_join(F.transform(F.regexp_extract_all(marked, F.lit(_GLOB_TOKEN), F.lit(0)), one), "")
 
 
 def glob_regex_column(pattern: Column, entry: bool = False) -> Column:
     """``pattern_regex`` for a column of patterns (user queries), without a UDF.
 
-    Handles anchoring, ``*``, ``**``, ``?`` and a trailing slash; a negated or empty
-    pattern gives null. With ``entry`` the regex is for single entries (``entries``) instead of whole paths.
+    Handles anchoring, ``*``, ``**``, ``?``, classes, escapes and a trailing slash, as ``compile_rules`` does; a negated or
+    empty pattern gives null. With ``entry`` the regex is for single entries (``entries``) instead of whole paths.
     """
     p = F.regexp_replace(pattern, r"\s+$", "")
     only_dir = p.endswith("/")
     body = F.regexp_replace(p, "/+$", "")
     anchored = F.instr(body, "/") > 0
     body = F.regexp_replace(body, "^/+", "")
-    esc = F.regexp_replace(body, r"([.+^$(){}|\[\]\\])", r"\\$1")
-    esc = F.regexp_replace(esc, r"(^|/)\*\*$", "$1\u0001")            # trailing ** : anything below
-    esc = F.regexp_replace(esc, r"(^|(?<=/))\*\*/", "\u0002")          # **/ : any directories
-    esc = F.regexp_replace(esc, r"\*+", "[^/]*")
-    esc = F.regexp_replace(esc, r"\?", "[^/]")
-    esc = F.replace(F.replace(esc, F.lit("\u0002"), F.lit("(?:[^/]+/)*")), F.lit("\u0001"), F.lit(".+"))
+    esc = _glob_column(body)
     head = F.concat(F.lit("^(?:"), F.when(anchored, F.lit("")).otherwise(F.lit("(?:.*/)?")), esc)
     if entry:
         return F.when((F.length(body) > 0) & ~p.startswith("!") & ~p.startswith("#"), F.concat(head, F.when(only_dir, F.lit("/)$")).otherwise(F.lit("/?)$"))))

@@ -15,6 +15,7 @@ from quarry.functions import fixed as X
 from quarry.functions.querylog import analyze, parse_operators, path_regexes
 from quarry.operators import grouping as G, retrieval as R, scoring as S
 from quarry.session import cut_lineage
+from quarry.sources import inverted as N
 
 CHUNK_COLS = ["chunk_id", "path", "start_line", "end_line", "language", "content", "symbol_id", "symbol_label", "indexed_at"]
 
@@ -42,10 +43,12 @@ def expand_passes(prepared: DataFrame, key: str = "query_id") -> DataFrame:
         key, *scope, "p.pass", "p.semantic")
 
 
-def pass_lists(prepared: DataFrame, chunks: DataFrame, embed: Callable[[Column], Column], key: str = "query_id") -> DataFrame:
+def pass_lists(prepared: DataFrame, chunks: DataFrame, embed: Callable[[Column], Column], key: str = "query_id",
+               lexical: N.Inverted | None = None) -> DataFrame:
     """(key, pass, source, chunk_id, rank): the 80 best of each pass, dense and sparse.
 
-    Queries with a corpus column see that corpus alone, with its own term statistics.
+    Queries with a corpus column see that corpus alone, with its own term statistics. With the stored index of the
+    same chunks (``lexical``) the sparse half reads no text.
     """
     within = "corpus" if "corpus" in prepared.columns else None
     ktype = prepared.schema[key].dataType
@@ -53,7 +56,10 @@ def pass_lists(prepared: DataFrame, chunks: DataFrame, embed: Callable[[Column],
     p = p.withColumn("vector", embed(F.col("semantic")))
     c = chunks if "vector" in chunks.columns else chunks.withColumn("vector", embed(F.col("content")))
     dense = R.dense_topk(c, p, X.MAX_CANDIDATES, "chunk_id", "vector", "_qp", within=within)
-    sparse = R.bm25_topk(c, p, X.MAX_CANDIDATES, "chunk_id", "content", "_qp", "semantic", within)
+    if lexical is None:
+        sparse = R.bm25_topk(c, p, X.MAX_CANDIDATES, "chunk_id", "content", "_qp", "semantic", within)
+    else:
+        sparse = N.topk(lexical, p, X.MAX_CANDIDATES, "chunk_id", "_qp", "semantic", within)
     both = dense.withColumn("source", F.lit("dense")).unionByName(sparse.withColumn("source", F.lit("sparse")))
     return both.select(F.regexp_extract("_qp", "^[a-z]+:(.*)$", 1).cast(ktype).alias(key),
                        F.regexp_extract("_qp", "^([a-z]+):", 1).alias("pass"), "source", "chunk_id", "rank")
@@ -91,12 +97,25 @@ def pass_status(prepared: DataFrame, lists: DataFrame, key: str = "query_id") ->
                     F.when((n == 1) & (F.col("p") == 0), "primary").when(n == 1, "expanded").alias("missing_pass"))
 
 
-def candidates(prepared: DataFrame, chunks: DataFrame, embed, key: str = "query_id", lists: DataFrame | None = None) -> DataFrame:
+#: So many candidate ids are sent to every task (some tens of MB); more are joined by a shuffle.
+BROADCAST_IDS = 500_000
+
+
+def fetch_chunks(chunks: DataFrame, ids: DataFrame, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
+    """The rows of ``chunks`` with one of the ids, written out. The ids are counted first: while they are few, no text is shuffled."""
+    ids = cut_lineage(ids.select("chunk_id").distinct(), "ids")
+    few = ids.limit(broadcast_ids + 1).count() <= broadcast_ids
+    return cut_lineage(chunks.select(*CHUNK_COLS).join(F.broadcast(ids) if few else ids, "chunk_id", "left_semi"), "payload")
+
+
+def candidates(prepared: DataFrame, chunks: DataFrame, embed, key: str = "query_id", lists: DataFrame | None = None,
+               lexical: N.Inverted | None = None) -> DataFrame:
     """Fused candidates of every attempt next to their chunk and query columns, with the reason
     for which a filter drops them (null: kept)."""
-    lists = pass_lists(prepared, chunks, embed, key) if lists is None else lists
-    fused = fuse_passes(cut_and_fuse(prepared, lists, key), chunks, key)
-    full = fused.join(chunks.select(*CHUNK_COLS), "chunk_id").join(prepared, key)
+    lists = pass_lists(prepared, chunks, embed, key, lexical) if lists is None else lists
+    hits = cut_lineage(cut_and_fuse(prepared, lists, key), "hits")
+    payload = fetch_chunks(chunks, hits)
+    full = fuse_passes(hits, payload, key).join(payload, "chunk_id").join(prepared, key)
     return S.with_category(full).withColumn("reason", S.drop_reason())
 
 
@@ -108,28 +127,30 @@ def choose_attempt(cands: DataFrame, key: str = "query_id") -> DataFrame:
     return c.withColumn("_use", F.coalesce(enough, F.size("limits") - 1)).where("attempt = _use").drop("_kept", "_use")
 
 
-def scored(prepared: DataFrame, chunks: DataFrame, embed, changed: DataFrame | None = None, key: str = "query_id") -> DataFrame:
+def scored(prepared: DataFrame, chunks: DataFrame, embed, changed: DataFrame | None = None, key: str = "query_id",
+           lexical: N.Inverted | None = None) -> DataFrame:
     """Ranked survivors of the chosen attempt."""
-    c = choose_attempt(candidates(prepared, chunks, embed, key), key).where("reason IS NULL")
+    c = choose_attempt(candidates(prepared, chunks, embed, key, lexical=lexical), key).where("reason IS NULL")
     c = c.withColumn("changed_mult", F.lit(1.0)) if changed is None else S.changed_multiplier(
         c, changed, ["corpus", "path"] if "corpus" in prepared.columns else ["path"])
     return S.rank_candidates(S.score_candidates(c), key)
 
 
 def search_batch(queries: DataFrame, chunks: DataFrame, embed, now: Column, changed: DataFrame | None = None,
-                 scorer=None, key: str = "query_id", gate: DataFrame | None = None) -> DataFrame:
+                 scorer=None, key: str = "query_id", gate: DataFrame | None = None, lexical: N.Inverted | None = None) -> DataFrame:
     """Grouped results for every query, at most ``result_limit`` each.
 
     ``changed``: files to prefer (corpus, path). ``scorer``: a reranking model, see
     ``scoring.model_scorer``; it sees the top 50 of each query. ``gate`` (corpus, open), see ``state.search_gate``:
-    queries of a corpus that is not open get no rows; ``state.refused`` says why.
+    queries of a corpus that is not open get no rows; ``state.refused`` says why. ``lexical``: the stored inverted
+    index of ``chunks`` (``index.load_postings``); without it terms are counted from the text in each search.
     """
     if gate is not None:
         queries = queries.join(gate.where("open").select("corpus").distinct(), "corpus", "left_semi")
     prepared = cut_lineage(prepare(queries), "queries")
     if "corpus" in queries.columns:         # only the asked corpora's chunks are read further
         chunks = chunks.join(prepared.select("corpus").distinct(), "corpus", "left_semi")
-    ranked = scored(prepared, chunks, embed, changed, key)
+    ranked = scored(prepared, chunks, embed, changed, key, lexical)
     if scorer is not None:
         ranked = cut_lineage(ranked, "ranked")      # read by the model and again for the fusion
         ranked = S.rerank(ranked, S.ranks_from_scores(ranked, scorer, key), key)

@@ -63,16 +63,24 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def write_partitions(df: DataFrame, path: str, by: tuple[str, ...] = ("corpus",), staged: bool = True,
-                     replaces: DataFrame | None = None) -> None:
+                     replaces: DataFrame | None = None, order: tuple[str, ...] = ()) -> None:
     """Replace just the partitions that occur in ``df``, or those of ``replaces`` when given: one of
     these without rows in ``df`` goes away.
 
     ``df`` may read the table it replaces: unless ``staged`` is off, it is written to the shared
     folder first. The rebalance hint splits a partition that holds most rows over several tasks.
+    ``order`` sorts each file, so that a reader can skip parts of it.
     """
     rows = cut_lineage(df, "staged") if staged else df
-    (rows.hint("rebalance", *[F.col(c) for c in by]).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    laid = rows.hint("rebalance", *[F.col(c) for c in by])
+    laid = laid.sortWithinPartitions(*by, *order) if order else laid
+    (laid.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy(*by).parquet(path))
     if replaces is not None:
         drop_partitions(replaces.select(*by).distinct().join(rows.select(*by).distinct(), list(by), "left_anti"), path)
@@ -113,6 +121,8 @@ def cap_chunks(chunks: DataFrame, cap: int, buckets: int | None = None) -> DataF
 
 
 # --- commit records -------------------------------------------------------------------------
+#: The kind of a record that takes back what earlier records of a corpus prove.
+WITHDRAWN = "withdrawn"
 FINGERPRINT = ["provider", "model", "dimension", "store", "schema_version"]
 
 
@@ -128,3 +138,11 @@ def latest_commits(commits: DataFrame, only_valid: bool = False) -> DataFrame:
     row = F.struct(*[x for x in commits.columns if x != "corpus"])
     order = F.struct(F.try_to_timestamp("completed_at").alias("a"), F.col("run_id").alias("b"))
     return c.groupBy("corpus").agg(F.max_by(row, order).alias("r")).select("corpus", "r.*")
+
+
+def proofs(commits: DataFrame) -> DataFrame:
+    """The newest valid record of each corpus, unless it was withdrawn since; a run's own completion comes after its withdrawal."""
+    log = commits.where(valid_commit() | (F.col("kind") == WITHDRAWN))
+    row = F.struct(*[x for x in commits.columns if x != "corpus"])
+    order = F.struct(F.try_to_timestamp("completed_at").alias("a"), F.col("run_id").alias("b"), (F.col("kind") != WITHDRAWN).alias("c"))
+    return log.groupBy("corpus").agg(F.max_by(row, order).alias("r")).select("corpus", "r.*").where(F.col("kind") != WITHDRAWN)

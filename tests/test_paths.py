@@ -4,7 +4,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from quarry.functions import paths as P
+from quarry.functions import fixed as X, paths as P
 from quarry.functions.ignore_rules import compile_rules, glob_regex_column, is_ignored, pattern_regex
 from quarry.sources import corpus as C
 
@@ -92,3 +92,33 @@ def test_language_names(spark):
     df = spark.createDataFrame(rows, "l string")
     assert [r[0] for r in df.select(P.normalize_language(F.col("l"))).collect()] == ["typescript", "cpp", "go", "cobol", "text", "text"]
     assert [r[0] for r in df.select(P.graph_capable(F.col("l"), F.lit(".x"))).collect()] == [True, False, False, False, False, False]
+
+
+GLOBS = ["src/*", "*", "**/*", "a/*/b", "***/b", "*.py[co]", "*.g[oe]", "[!a]*.ts", "[^ab].ts", "\\*.ts", "a\\[b", "**/x", "x/**", "a/**/b", "**", "a**b", "?", "a?c/", "/a", "a/b", "[a-c]/", "[]a].ts", "a[", "a.b+c", "(a|b)", "a{1}$", "\\a", "x\\"]
+SAMPLES = ["src", "src/a", "src/a/b", "a.pyc", "a.pyo", "a.py", "a.go", "a.ge", "x/a.gx", "b.ts", "a.ts", "c.ts", "*.ts", "a[b", "x", "q/x", "x/y/z", "a/b", "a/q/b", "a/q/r/b", "aXb", "a/b/c", "abc/d", "abc", "a", "b/a", "b/", "d/", "].ts", "a[", "a.b+c",
+           "aXbbc", "(a|b)", "a{1}$", "[x", "x\\", "a\\"]
+
+
+def test_one_meaning_of_globs(spark):
+    """The list compiler and the column compiler match the same paths, classes and escapes included."""
+    made = spark.createDataFrame([(g,) for g in GLOBS], "g string").select("g", glob_regex_column(F.col("g")).alias("whole"), glob_regex_column(F.col("g"), entry=True).alias("entry")).collect()
+    for r in made:
+        rule = compile_rules([r["g"]])[0]
+        want, whole = re.compile(f"(?:{rule.regex})$"), re.compile(pattern_regex(r["g"]))
+        for p in SAMPLES:
+            for path in (p, p + "/"):
+                assert bool(re.match(r["entry"], path)) == bool(want.match(path)), (r["g"], path)
+            assert bool(re.match(r["whole"], p)) == bool(whole.match(p)), (r["g"], p)
+
+
+def test_own_rules_bring_back_what_earlier_rules_drop(spark):
+    from quarry.sources.corpus import discover, root_rules
+    paths = ["x.min.js", "build/a.ts", "src/a.ts", "lib/b.ts", "a.go", "b.ge", "pkg/build/c.ts", "src/gen/d.ts"]
+    own = {"one": "!*.min.js\n!build/\n!build/**\n*.g[oe]\nsrc/gen/\n", "two": "!lib/\nsrc/*\n!src/a.ts\nbuild", "three": "# nothing\n"}
+    rows = [(c, p, "x") for c in (*own, "four") for p in paths] + [(c, ".gitignore", t) for c, t in own.items()]
+    files = spark.createDataFrame(rows, "corpus string, path string, content string")
+    before = [*X.DEFAULT_IGNORE_RULES, "lib/"]
+    got = discover(files, ["lib/"], [".go", ".ge"], root_rules(files, before=before)).collect()
+    kept = {c: sorted(r["path"] for r in got if r["corpus"] == c) for c in (*own, "four")}
+    plain = ["a.go", "b.ge", "src/a.ts", "src/gen/d.ts"]
+    assert kept == {"one": ["build/a.ts", "pkg/build/c.ts", "src/a.ts", "x.min.js"], "two": ["a.go", "b.ge", "lib/b.ts", "src/a.ts"], "three": plain, "four": plain}
