@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from entries import views as V
 from entries.search import _LET, _trim
 from quarry.functions import embedders as M
-from quarry.operators import chunking as C
+from quarry.operators import chunking as C, structure as S
 
 SIZE, OVER = 600, 80
 # prose made to look like code: a line that opens with two words becomes a declaration header
@@ -87,7 +87,30 @@ def span(s, sf):
     return w
 
 
+def nested_code(s, sf):
+    """Every document as a class with a method for each of its lines, which stands in a comment; brackets and quotes in it mean nothing."""
+    d = V.t(s, sf, "documents").select("doc_id", (F.col("doc_id") % 2 == 0).alias("ts"), F.split("text", "\n", -1).alias("ls"))
+    ts = F.transform("ls", lambda x, i: F.format_string("  m%d(a) {\n    // {}%s\n    return a;\n  }", i + 1, x))
+    py = F.transform("ls", lambda x, i: F.format_string("    def m%d(a):\n        # (\"%s\n        return a", i + 1, x))
+    name = F.concat(F.lit("class D"), F.col("doc_id").cast("string"))
+    return d.select("doc_id", F.lit("c").alias("corpus"), F.when(F.col("ts"), "a.ts").otherwise("a.py").alias("path"),
+                    F.when(F.col("ts"), F.concat(name, F.lit(" {\n"), F.array_join(ts, "\n"), F.lit("\n}"))).otherwise(F.concat(name, F.lit(":\n"), F.array_join(py, "\n"))).alias("content"))
+
+
+def structured(s, sf):
+    return S.structure_chunks(nested_code(s, sf)).select("doc_id", L("start_line"), L("end_line"), "symbol_label", F.array_join("breadcrumbs", " > ").alias("crumbs"), md5())
+
+
+c["nl0"] = "SELECT doc_id, doc_id % 2 = 0 AS ts, string_split(text, chr(10)) AS ls FROM documents"
+c["nl1"] = """SELECT doc_id, ts, i, CASE WHEN ts THEN '  m' || i || '(a) {' || chr(10) || '    // {}' || ls[i] || chr(10) || '    return a;' || chr(10) || '  }'
+  ELSE '    def m' || i || '(a):' || chr(10) || '        # ("' || ls[i] || chr(10) || '        return a' END AS body, len(ls) AS n FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS i FROM nl0)"""
+c["nl2"] = """SELECT doc_id, 1 AS start_line, any_value(CASE WHEN ts THEN 4 * n + 2 ELSE 3 * n + 1 END) AS end_line, 'class D' || doc_id AS symbol_label, 'class D' || doc_id AS crumbs,
+  md5('class D' || doc_id || any_value(CASE WHEN ts THEN ' {' ELSE ':' END) || chr(10) || string_agg(body, chr(10) ORDER BY i) || any_value(CASE WHEN ts THEN chr(10) || '}' ELSE '' END)) AS md5 FROM nl1 GROUP BY doc_id
+  UNION ALL SELECT doc_id, CASE WHEN ts THEN 4 * i - 2 ELSE 3 * i - 1 END, CASE WHEN ts THEN 4 * i + 1 ELSE 3 * i + 1 END, CASE WHEN ts THEN 'method m' ELSE 'function m' END || i || '(a)',
+    'class D' || doc_id || ' > ' || CASE WHEN ts THEN 'method m' ELSE 'function m' END || i || '(a)', md5(body) FROM nl1"""
+
 QUERIES = {
+    "chunk_structure": structured,
     "chunk_windows": lambda s, sf: windows(s, sf).select("doc_id", L("chunk_no"), F.length("content").cast("long").alias("n"), md5()),
     "chunk_line_span": span,
     "chunk_declarations": lambda s, sf: decl(s, sf).select("doc_id", L("chunk_no"), L("start_line"), L("end_line"), md5()),
@@ -100,6 +123,7 @@ QUERIES = {
 }
 _KW = "[" + ",".join(f"CASE WHEN regexp_matches(lower(content), '{g}') THEN 1.0::DOUBLE ELSE 0::DOUBLE END" for g in M.KEYWORD_GROUPS) + ", least(1.0::DOUBLE, length(content)/200.0::DOUBLE)]"
 SQL = {
+    "chunk_structure": V.sql("SELECT doc_id, start_line::BIGINT AS start_line, end_line::BIGINT AS end_line, symbol_label, crumbs, md5 FROM nl2", "nl0", "nl1", "nl2"),
     "chunk_windows": V.sql("SELECT doc_id, chunk_no::BIGINT AS chunk_no, length(content) AS n, md5(content) AS md5 FROM win1", *WIN, recursive=True),
     "chunk_line_span": V.sql("SELECT doc_id, path, chunk_no::BIGINT AS chunk_no, start_line, end_line FROM win1", *WIN, recursive=True),
     "chunk_declarations": V.sql("SELECT doc_id, chunk_no::BIGINT AS chunk_no, start_line, end_line, md5(content) AS md5 FROM decl", *DECL),
