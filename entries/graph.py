@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 
 from entries import views as V
 from quarry.operators import graph as G
-from quarry.session import cut_lineage
+from quarry.plans import graph_index
+from quarry.session import cut_lineage, shared_dir
 
 c = V.CTE
 L = lambda x, n=None: F.col(x).cast("long").alias(n or x)
@@ -145,7 +146,32 @@ def spans(s, sf):
     return G.read_spans(r, V.files(s, sf), 10).select("request_id", L("total"), L("first_line"), L("last_line"), L("next_start"), F.md5("text").alias("md5"))
 
 
+def stored(s, sf):
+    """A graph built from an older state of the files and synced: index.ts files were not there, French ones had another text and
+    symbol, and copies of the English Python files have gone since."""
+    root, files, now = shared_dir(s, "graph"), gfiles(s, sf), V.chunks(s, sf)
+    lang = V.files(s, sf).select("corpus", "path", "lang")
+    french, gone = F.col("lang") == "fr", F.concat(F.lit("gone/"), "path")
+    old = now.join(lang, ["corpus", "path"]).where("path NOT LIKE '%/index.ts'").withColumn(
+        "symbol_label", F.when(french & F.col("symbol_label").isNotNull(), F.lit("function the()")).otherwise(F.col("symbol_label")))
+    text = files.join(lang, ["corpus", "path"]).withColumn("content", F.when(french, F.upper("content")).otherwise(F.col("content")))
+    copied = "lang = 'en' AND path LIKE '%.py'"
+    removed = old.where(copied).withColumn("path", gone).withColumns({c: F.concat(F.lit("g"), c) for c in ("symbol_id", "chunk_id")})
+    graph_index.build(old.unionByName(removed), text.unionByName(text.where(copied).withColumn("path", gone)), root)
+    changed = lang.where("lang = 'fr' OR path LIKE '%/index.ts'").unionByName(lang.where(copied).withColumn("path", gone))
+    graph_index.sync(now, files.join(changed, ["corpus", "path"], "left_semi"), changed, root)
+    return graph_index.load(s, root)
+
+
+def stored_walk(s, sf):
+    return walk(s, sf, stored(s, sf)[1])
+
+
 QUERIES = {
+    "graph_sync_nodes": lambda s, sf: stored(s, sf)[0].select("corpus", "symbol_id", "symbol_label", "file", "language", L("start_line"), L("end_line")),
+    "graph_sync_edges": lambda s, sf: stored(s, sf)[1].select("corpus", "src", "dst", "kind", "file", L("line"), "confidence"),
+    "graph_sync_notes": lambda s, sf: stored(s, sf)[2].where("type <> 'missing_symbol_metadata'").select("corpus", "type", "file", L("line"), "symbol_id", "detail"),
+    "graph_stored_traverse": lambda s, sf: G.traversal_edges(stored_walk(s, sf)).select("seed_id", (F.col("found") + 1).cast("long").alias("found"), "src", "dst", "kind", L("line"), "file"),
     "symbol_nodes": lambda s, sf: nodes(s, sf).select("corpus", "symbol_id", "symbol_label", "file", "language", L("start_line"), L("end_line")),
     "missing_symbol_notes": lambda s, sf: G.missing_symbol_notes(chunks(s, sf)).select("corpus", "type", "file", L("line"), "detail"),
     "symbol_index": lambda s, sf: G.symbol_index(nodes(s, sf)).select("corpus", "name", "symbol_id", "file"),
@@ -184,3 +210,4 @@ SQL = {
       SELECT *, CASE m WHEN 1 THEN least(3,total) ELSE 1 END AS a, CASE m WHEN 0 THEN least(total,10) WHEN 1 THEN least(least(3,total)+9,total) WHEN 2 THEN least(12,total) ELSE least(7,total) END AS b, CASE WHEN m >= 2 THEN 1 END AS e FROM (
       SELECT request_id, m, ls, len(ls) AS total FROM (SELECT doc_id AS request_id, doc_id % 4 AS m, CASE WHEN l[len(l)] = '' THEN list_slice(l,1,len(l)-1) ELSE l END AS ls FROM (SELECT doc_id, regexp_split_to_array(content, '\r?\n') AS l FROM files))))""", "files"),
 }
+SQL |= {"graph_sync_nodes": SQL["symbol_nodes"], "graph_sync_edges": SQL["resolve_edges"], "graph_sync_notes": SQL["unresolved_notes"], "graph_stored_traverse": SQL["graph_traverse"]}

@@ -226,7 +226,8 @@ def traverse(seeds: DataFrame, edge_table: DataFrame, max_depth: int = X.TRAVERS
         step = step.withColumn("seen", F.flatten(F.transform("ls", lambda x: x["list"])))
         fresh = F.slice(F.array_except(F.transform("seen", lambda x: x["edge"]), F.col("selected")), F.lit(1), F.col("lim") - F.size("selected"))
         step = step.withColumn("fresh", fresh)
-        peers = F.transform("fresh", lambda e: F.get(F.filter("seen", lambda x: x["edge"] == e), 0)["peer"])
+        # an edge was found from an end that is visited, so of both ends only the other one is left below
+        peers = F.flatten(F.transform("fresh", lambda e: F.array(e["src"], e["dst"])))
         step = step.withColumn("frontier", F.array_except(peers, F.col("visited")))
         st = step.select("seed_id", "corpus", "direction", "depth", "lim", F.array_union("visited", "frontier").alias("visited"),
                          F.concat("selected", "fresh").alias("selected"), "frontier")
