@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from quarry.functions import fixed as X
 from quarry.functions.ignore_rules import is_ignored
 from quarry.functions.paths import ancestors, extension, is_hidden, normalize_path
-from quarry.sources.tables import delete_paths, upsert
+from quarry.sources.tables import delete_paths
 
 KEY = ["corpus", "path"]
 
@@ -105,12 +105,11 @@ def write_gate(delta: DataFrame, state: DataFrame, meta: DataFrame) -> DataFrame
 
 
 def apply_delta(chunks: DataFrame, delta: DataFrame, files: DataFrame, split) -> DataFrame:
-    """Chunk table after a delta: rows of removed and modified files go, added and modified files
-    are split again. Files outside the delta are neither read nor embedded. The delta is read
-    twice: give it as a stored table (``session.cut_lineage``)."""
-    gone = delta.where("change IN ('removed', 'modified')").select(*KEY)
+    """Chunk table after a delta: rows of its files go, added and modified files are split again, once.
+    Files outside the delta are neither read nor embedded. The delta is read twice: give it as a
+    stored table (``session.cut_lineage``)."""
     again = files.join(delta.where("change IN ('added', 'modified')").select(*KEY), KEY, "left_semi")
-    return upsert(delete_paths(chunks, gone), split(again))
+    return delete_paths(chunks, delta.select(*KEY)).unionByName(split(again), allowMissingColumns=True)
 
 
 def reindex(chunks: DataFrame, previous: DataFrame | None, current: DataFrame, files: DataFrame, split) -> tuple[DataFrame, DataFrame]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import tempfile
 import uuid
@@ -52,9 +53,32 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+#: What ``cut_lineage`` made inside each open ``temporary_cuts``.
+_CUTS: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def temporary_cuts(spark: SparkSession):
+    """Removes at its end the folders that ``cut_lineage`` made inside it, also after an error.
+
+    Results must be written or collected inside: DataFrames that read such a folder cannot be used after it.
+    """
+    _CUTS.append([])
+    try:
+        yield
+    finally:
+        conf, Path = spark.sparkContext._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs.Path
+        for path in _CUTS.pop():
+            p = Path(path)
+            p.getFileSystem(conf).delete(p, True)
+
+
 def cut_lineage(df: DataFrame, name: str) -> DataFrame:
-    """Materialise ``df`` in the shared folder and read it back: survives lost executors."""
+    """Materialise ``df`` in the shared folder and read it back: survives lost executors. It stays there
+    unless ``temporary_cuts`` removes it."""
     path = shared_dir(df.sparkSession, name)
+    if _CUTS:
+        _CUTS[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

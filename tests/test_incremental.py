@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from quarry.operators import chunking as C, incremental as I
@@ -154,3 +155,16 @@ def test_index_caps_touches_partial_scans_and_clear(spark):
     index.build(mk(("b", "z.ts", "z", 1)), root, keyword_vector, fp, now, "r7")
     index.clear(spark, root, mk(*later))
     assert paths() == ["z.ts"] and set(snap()) == {"z.ts"} and [r.corpus for r in index.load(spark, root)[1].collect()] == ["b"]
+
+
+def test_cuts_are_removed_at_the_end(spark, tmp_path):
+    import os
+
+    from quarry.session import cut_lineage, temporary_cuts
+    kept = cut_lineage(spark.range(3), "kept")
+    with pytest.raises(RuntimeError), temporary_cuts(spark):
+        inner = cut_lineage(spark.range(5), "inner")
+        path = inner.inputFiles()[0].removeprefix("file:").rsplit("/", 1)[0]
+        assert inner.count() == 5 and os.path.exists(path)
+        raise RuntimeError
+    assert not os.path.exists(path) and kept.count() == 3

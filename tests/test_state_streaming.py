@@ -97,3 +97,48 @@ def test_ingest_batches_can_be_repeated(spark):
     ingest.apply_batch(mk(("c", "a", "two", 3, False), ("c", "d", "stale", 1, False)), 2, root, split)
     assert live() == {("a", "two"), ("d", "dee")}
     assert spark.read.parquet(f"{root}/versions").where("batch = 2").count() == 0
+
+
+def test_rollups_of_rollups(spark):
+    """Parts merged in any order are the roll-up of all rows: sums exactly, percentiles within 2 % of rank."""
+    t0 = dt.datetime(2026, 1, 1)
+    rnd = random.Random(4)
+    rows = [("fast" if i % 3 else "slow", "synced" if i % 5 else None, t0 + dt.timedelta(minutes=i), rnd.random() * 100 if i % 11 else None, i % 7, i % 5, i % 3, i % 2, i % 4 == 0, "e" if i % 9 == 0 else None) for i in range(6000)]
+    ev = spark.createDataFrame(rows, "profile string, freshness_mode string, ts timestamp, latency_ms double, results_before long, results_after long, results_returned long, pass_failures long, reranker_used boolean, error string")
+    key = ["profile", "freshness_mode"]
+    parts = S.telemetry_parts(ev)
+    whole = S.read_telemetry(S.merge_telemetry(parts, key)).collect()
+    halves = S.merge_telemetry(parts.where("hour(bucket) < 9"), key).unionByName(S.merge_telemetry(parts.where("hour(bucket) >= 9"), key))
+    again = {(r.profile, r.freshness_mode): r for r in S.read_telemetry(S.merge_telemetry(halves, key)).collect()}
+    exact = {(r.profile, r.freshness_mode): r for r in S.search_telemetry(ev).collect()}
+    assert len(whole) == len(exact) == 4
+    for got in whole:
+        want, other = exact[got.profile, got.freshness_mode], again[got.profile, got.freshness_mode]
+        same = ["searches", "max_latency", "before", "after", "returned", "pass_failures", "rerank_rate", "error_rate"]
+        assert [got[c] for c in same] == [want[c] for c in same] == [other[c] for c in same] and abs(got.avg_latency - want.avg_latency) < 1e-5
+        values = sorted(r[3] for r in rows if (r[0], r[1]) == (got.profile, got.freshness_mode) and r[3] is not None)
+        for r in (got, other):
+            for q, v in ((0.5, r.p50_latency), (0.95, r.p95_latency)):
+                assert abs(sum(x <= v for x in values) / len(values) - q) <= 0.02
+    assert S.read_telemetry(S.merge_telemetry(parts.limit(0), key)).collect() == []
+
+
+def test_compacted_versions(spark):
+    """With bases every second batch the versions and chunks are those without; deletes stay deleted and a batch can be repeated."""
+    rnd = random.Random(8)
+    schema = "corpus string, path string, content string, mtime long, deleted boolean"
+    split = lambda f: f.select("corpus", "path", "content")
+    roots = {n: shared_dir(spark, f"compact{n}") for n in (2, 100)}
+    for b in range(5):
+        rows = [("c", f"f{rnd.randint(0, 5)}", f"t{rnd.randint(0, 3)}", b if b < 4 else rnd.randint(0, 5), rnd.random() < 0.3) for _ in range(5)]
+        batch = spark.createDataFrame(rows, schema)
+        for every, root in roots.items():
+            for _ in range(2 if b in (2, 3) else 1):
+                ingest.apply_batch(batch, b, root, split, every)
+    assert ingest.base_batch(spark, roots[2]) == 3 and ingest.base_batch(spark, roots[2], 3) == 1 and ingest.base_batch(spark, roots[100]) == -1
+    state = {n: (sorted(map(tuple, ingest.versions(spark, r).collect())), sorted(map(tuple, ingest.current_chunks(spark, r).collect()))) for n, r in roots.items()}
+    assert state[2] == state[100] and any(v[3] for v in state[2][0])
+    plan = ingest.versions(spark, roots[2])._jdf.queryExecution().toString()
+    assert "(batch#" in plan and "> 3)" in plan         # earlier batches are not opened
+    ingest.compact(spark, roots[2], 4)
+    assert sorted(map(tuple, ingest.versions(spark, roots[2]).collect())) == state[100][0]
