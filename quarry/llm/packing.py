@@ -3,7 +3,8 @@
 Documents are cut into pieces of at most a window. A histogram of piece lengths, in units of GRAIN
 tokens, is matched by repeat counts of shallow length combinations that fill a window exactly: the
 counts solve a non-negative least squares problem, are rounded, and what they leave over is packed
-greedily. Only the histogram, at most WINDOW / GRAIN numbers, is on the driver.
+greedily. Pieces under BUNDLE / 2 tokens are joined the same way, by exact length, into bundles of at
+most BUNDLE tokens before. Only the histogram, at most BUNDLE / 2 + WINDOW / GRAIN numbers, is on the driver.
 """
 
 from __future__ import annotations
@@ -13,12 +14,12 @@ import zlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from quarry.llm.common import cut, documents, group_rank, hash_order, slices
 from quarry.llm.tokens import word_ids
 
-WINDOW, GRAIN, DEPTH = 4096, 16, 3
+WINDOW, GRAIN, DEPTH, BUNDLE = 4096, 8, 3, 256
 END = 2
 
 
@@ -135,18 +136,61 @@ def plan_windows(histogram: dict[int, int], window: int, depth: int = DEPTH) ->
     return plan
 
 
-def _slots(plan: list[tuple[tuple[int, ...], int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict[int, int]]:
-    """Runs of pieces that are alike, in order of (length, run): first piece, first window, slot; and each length's first piece."""
-    runs, window = [], 0
-    for lengths, n in plan:
-        runs += [(k, window, slot, n) for slot, k in enumerate(lengths)]
-        window += n
-    runs.sort(key=lambda r: r[0])
-    first = np.concatenate([[0], np.cumsum([r[3] for r in runs], dtype=np.int64)])[:-1] if runs else np.zeros(0, np.int64)
-    begin: dict[int, int] = {}
-    for r, f in zip(runs, first.tolist(), strict=True):
-        begin.setdefault(r[0], f)
-    return first, np.array([r[1] for r in runs], np.int64), np.array([r[2] for r in runs], np.int64), begin
+class Seats:
+    """The seats of a plan, handed out by rank: the r-th piece of a length has its own window and slot.
+
+    Seats that are alike, the same slot of windows with equal contents, are one run, so the tables are as long as the plan.
+    """
+
+    def __init__(self, plan: list[tuple[tuple[int, ...], int]]):
+        runs, window = [], 0
+        for lengths, n in plan:
+            runs += [(k, window, slot, n) for slot, k in enumerate(lengths)]
+            window += n
+        runs.sort(key=lambda r: r[0])
+        length, self.window, self.slot, count = np.array(runs, np.int64).reshape(-1, 4).T
+        self.first = np.cumsum(count) - count
+        self.begin = np.zeros(int(length.max(initial=0)) + 1, np.int64)
+        self.begin[length[::-1]] = self.first[::-1]         # the first run of a length is written last
+
+    def find(self, lengths: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(window, slot) of each piece, given its length and its rank from 0 among pieces of that length."""
+        at = self.begin[lengths] + ranks
+        run = np.searchsorted(self.first, at, side="right") - 1
+        return self.window[run] + at - self.first[run], self.slot[run]
+
+
+def plan_seats(histogram: dict[int, int], window: int = WINDOW, grain: int = GRAIN, depth: int = DEPTH, bundle: int = BUNDLE):
+    """A function of (bins, ranks) that gives (window, slot), for the pieces counted in ``histogram``, see ``bin_of``.
+
+    Short pieces are first joined, by exact length, into bundles; a bundle then counts as one piece of its units, behind
+    the pieces that have as many. So rounding up to units costs a bundle less than one unit, however short its pieces.
+    """
+    bundles = plan_windows({-k: n for k, n in histogram.items() if k < 0}, bundle, depth)
+    units = {k: n for k, n in histogram.items() if k > 0}
+    size, behind = [], []
+    for lengths, n in bundles:
+        size.append(-(-sum(lengths) // grain))
+        behind.append(units.get(size[-1], 0))
+        units[size[-1]] = behind[-1] + n
+    inner, outer = Seats(bundles), Seats(plan_windows(units, window // grain, depth))
+    count = np.array([n for _, n in bundles], np.int64)
+    start, size, behind = np.cumsum(count) - count, np.array(size, np.int64), np.array(behind, np.int64)
+
+    def seat(bins: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        bins, ranks, place, short = bins.copy(), ranks.copy(), np.zeros(len(bins), np.int64), bins < 0
+        number, place[short] = inner.find(-bins[short], ranks[short])
+        kind = np.searchsorted(start, number, side="right") - 1
+        bins[short], ranks[short] = size[kind], behind[kind] + number - start[kind]
+        found, slot = outer.find(bins, ranks)
+        return found, slot * bundle + place
+
+    return seat
+
+
+def bin_of(length: Column, grain: int = GRAIN, bundle: int = BUNDLE) -> Column:
+    """What a piece is counted under: below half a bundle its exact length, negative, else its length in units, rounded up."""
+    return F.when(length < bundle // 2, -length).otherwise(F.ceil(length / grain)).cast("int")
 
 
 def pack(pieces: DataFrame, window: int = WINDOW, grain: int = GRAIN, depth: int = DEPTH, seed: int = 42) -> DataFrame:
@@ -157,14 +201,13 @@ def pack(pieces: DataFrame, window: int = WINDOW, grain: int = GRAIN, depth: int
     found on a few numbers per piece; ids and other columns move once, when the places are joined to them.
     """
     pieces = cut(pieces.drop("sequence_id", "offset").withColumn("__piece", F.monotonically_increasing_id()), "pieces")
-    light = pieces.select("__piece", "length", F.ceil(F.col("length") / grain).cast("int").alias("bin"), hash_order(seed, "doc_id", "start", "length").alias("h"))
+    bundle = min(BUNDLE, window // grain * grain)
+    light = pieces.select("__piece", "length", bin_of(F.col("length"), grain, bundle).alias("bin"), hash_order(seed, "doc_id", "start", "length").alias("h"))
     histogram = {r["bin"]: r["n"] for r in light.groupBy("bin").agg(F.count(F.lit(1)).alias("n")).collect()}
-    first, base, slot, begin = _slots(plan_windows(histogram, window // grain, depth))
+    place = plan_seats(histogram, window, grain, depth, bundle)
 
     def seat(bins: pd.Series, ranks: pd.Series) -> pd.DataFrame:
-        place = bins.map(begin).to_numpy(np.int64) + ranks.to_numpy(np.int64)
-        run = np.searchsorted(first, place, side="right") - 1
-        return pd.DataFrame({"sequence_id": base[run] + place - first[run], "slot": slot[run]})
+        return pd.DataFrame(dict(zip(("sequence_id", "slot"), place(bins.to_numpy(np.int64), ranks.to_numpy(np.int64)), strict=True)))
 
     ranked = group_rank(light, ["bin"], "h", ["__piece"])
     seated = ranked.select("__piece", "length", F.pandas_udf(seat, "sequence_id bigint, slot bigint")("bin", "rank").alias("seat")).select("__piece", "length", "seat.*")

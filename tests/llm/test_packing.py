@@ -111,3 +111,33 @@ def test_plan_uses_each_length_as_often_as_it_occurs():
         assert got == h
         assert sum(k * n for k, n in h.items()) / 256 / sum(n for _, n in plan) > 0.98
     assert P.plan_windows({}, 256) == []
+
+
+@pytest.mark.parametrize("lengths", [
+    {k: 5000 for k in range(1, 21)}, {1: 100_000}, {1: 1}, {127: 3, 128: 3, 4096: 2}, {1: 40_000, 60: 700, 130: 90, 900: 300, 4096: 7}, {200: 4000}, {}])
+def test_seats_of_short_pieces(lengths):
+    """Every piece has its own seat, no window is overfull, and short pieces are not rounded up one by one."""
+    bins, histogram = {}, Counter()
+    for k, n in lengths.items():
+        bins[k] = -k if k < P.BUNDLE // 2 else -(-k // P.GRAIN)
+        histogram[bins[k]] += n
+    seat = P.plan_seats(dict(histogram))
+    taken, used, seen = set(), Counter(), Counter()
+    for k, n in lengths.items():
+        window, slot = seat(np.full(n, bins[k], np.int64), np.arange(seen[bins[k]], seen[bins[k]] + n, dtype=np.int64))
+        seen[bins[k]] += n
+        taken |= set(zip(window.tolist(), slot.tolist()))
+        for w in window.tolist():
+            used[w] += k
+    assert len(taken) == sum(lengths.values()) and max(used.values(), default=0) <= 4096
+    assert sorted(used) == list(range(len(used)))
+    least = -(-sum(k * n for k, n in lengths.items()) // 4096)
+    assert len(used) <= 1.03 * least + 1
+
+
+def test_table_of_short_texts_has_little_padding(spark, tmp_path, tokenizer):
+    words = ["alpha", "beta", "gamma", "delta", "", None]
+    texts = [(i, " ".join((words[i % 4],) * (i % 9)) if i % 11 else words[4 + i % 2]) for i in range(20_000)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    rows = P.pack(P.cut_pieces(df, public_vocabulary(), with_ids=False)).collect()
+    assert check(rows, texts, tokenizer) < 0.03
