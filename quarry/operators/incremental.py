@@ -33,6 +33,17 @@ def snapshot_with_reuse(files: DataFrame, previous: DataFrame, force: bool = Fal
             .select(*KEY, F.coalesce("reused_hash", "_new").alias("content_hash"), "size", "mtime", F.col("reused_hash").isNull().alias("hashed")))
 
 
+def snapshot_fetched(need: DataFrame, fetched: DataFrame) -> DataFrame:
+    """The snapshot of ``hash_needed`` rows, given the contents (corpus, path, content) of those that had to be read.
+
+    A file that had to be read and is not among the contents could not be read: it has no row.
+    """
+    read = need.where("reused_hash IS NULL").join(fetched.select(*KEY, F.sha2("content", 256).alias("_new")), KEY)
+    cols = [*KEY, "content_hash", "size", "mtime", "hashed"]
+    return (need.where("reused_hash IS NOT NULL").withColumns({"content_hash": F.col("reused_hash"), "hashed": F.lit(False)}).select(*cols)
+            .unionByName(read.withColumns({"content_hash": F.col("_new"), "hashed": F.lit(True)}).select(*cols)))
+
+
 def full_hash_due(run: Column, every: Column) -> Column:
     """Run number ``run`` (from 1) hashes everything: each Nth one, never when N is 0; N is held in 0..1000000."""
     n = F.least(F.greatest(F.floor(every), F.lit(0)), F.lit(1_000_000))
