@@ -214,6 +214,38 @@ def partial(s, sf):
     return index.load(s, root)[0].select("corpus", "path").distinct()
 
 
+def listed(s, sf):
+    """A sync that is given names, sizes and times, and fetches texts by path: per corpus what was fetched, and the changes."""
+    from quarry.plans import index
+    root, embed, fp, now, f = _index(s, sf)
+    odd = F.pmod(F.length("content"), F.lit(3)) == 0
+    index.build(f.withColumn("mtime", F.when(odd, F.col("mtime") - 1).otherwise(F.col("mtime"))).withColumn(
+        "content", F.when(odd, F.upper("content")).otherwise(F.col("content"))), root, embed, fp, now, "run-1", ["*.bin"])
+    asked = []
+
+    def fetch(paths):
+        asked.append(cut_lineage(paths, "asked"))
+        return f.select("corpus", "path", "content").join(paths, ["corpus", "path"], "left_semi")
+
+    delta = index.sync(f.drop("content"), root, embed, fp, now + F.expr("INTERVAL 1 HOUR"), "run-2", ["*.bin"], fetch=fetch)
+    fetched = asked[-1].groupBy("corpus").agg(F.count(F.lit(1)).alias("fetched"))
+    return fetched.join(delta.groupBy("corpus").agg(F.count(F.lit(1)).alias("changes")), "corpus", "left").na.fill(0, ["changes"])
+
+
+def interrupted(s, sf):
+    """Three builds: one that ends, one that dies after its proof, one that dies before: what recovery makes of them, and the gate."""
+    from quarry.plans import index, lifecycle
+    root, embed, fp, now, f = _index(s, sf)
+    kind = lambda k: f.where(F.pmod(F.ascii(F.substring("corpus", -1, 1)), F.lit(3)) == k)
+    lifecycle.build(kind(0), root, embed, fp, now, "run-1", rules=["*.bin"])
+    lifecycle.begin(kind(1), root, fp, now, "run-2")
+    index.build(kind(1), root, embed, fp, now, "run-2", ["*.bin"])
+    lifecycle.begin(kind(2), root, fp, now, "run-3")
+    done = lifecycle.recover(s, root, fp, now + F.expr("INTERVAL 1 HOUR"))
+    return (lifecycle.current(s, root).select("corpus", "status", F.coalesce("indexed_files", F.lit(0)).alias("files"))
+            .join(done.select("corpus", "action"), "corpus", "left").na.fill("none", ["action"]).join(lifecycle.gate(s, root, fp).select("corpus", "open"), "corpus"))
+
+
 def build_capped(s, sf):
     """With a cap, what was cut is named in the commit and taken up by the next sync."""
     from quarry.plans import index
@@ -229,6 +261,8 @@ def build_capped(s, sf):
 QUERIES = {
     "index_sync_touch": touched,
     "index_sync_partial": partial,
+    "index_sync_listed": listed,
+    "index_recovery": interrupted,
     "index_build_capped": build_capped,
     "index_build": built,
     "index_sync": lambda s, sf: built(s, sf, True),
@@ -310,6 +344,10 @@ SQL = {
     "index_build_capped": V.sql("""SELECT corpus, count(*) AS chunks, CASE WHEN count(*) >= 60 THEN 'limit_reached' ELSE 'completed' END AS status, least(count(*), 60)::BIGINT AS capped
       FROM found f JOIN bp ON bp.doc_id = f.doc_id GROUP BY corpus""", *_PARTS, "found", recursive=True),
     "index_build": _build_sql(),
+    "index_sync_listed": V.sql("SELECT corpus, count(*) AS fetched, count(*) FILTER (upper(content) <> content) AS changes FROM found WHERE length(content) % 3 = 0 GROUP BY corpus", "files", "found"),
+    "index_recovery": V.sql("""SELECT corpus, CASE k WHEN 2 THEN 'indexfailed' ELSE 'indexed' END AS status, CASE k WHEN 2 THEN 0 ELSE n END::BIGINT AS files,
+      CASE k WHEN 0 THEN 'none' WHEN 1 THEN 'promote_indexed' ELSE 'mark_failed' END AS action, k <> 2 AS open
+      FROM (SELECT corpus, ascii(right(corpus, 1)) % 3 AS k, count(p) AS n FROM (SELECT a.corpus, b.path AS p FROM files a LEFT JOIN found b ON b.corpus = a.corpus AND b.path = a.path) GROUP BY corpus)""", "files", "found"),
     "index_sync": V.sql("SELECT CASE WHEN lang = 'es' THEN 'added' ELSE 'modified' END AS change, count(*) AS files FROM found WHERE lang IN ('es', 'fr') AND (lang = 'es' OR upper(content) <> content) GROUP BY 1", "files", "found"),
     "chunk_upsert": V.sql("SELECT chunk_id, corpus, path, CASE WHEN language='typescript' OR corpus='src3' THEN 2 ELSE 1 END::BIGINT AS version FROM chunks", *CHUNKS),
     "chunk_delete_by_path": V.sql("SELECT chunk_id, corpus, path FROM chunks WHERE (corpus, path) NOT IN (SELECT corpus, path FROM gone)", "files", *CHUNKS, "gone"),
