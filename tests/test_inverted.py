@@ -166,6 +166,22 @@ def test_all_cells_and_rows_are_the_exact_search(spark):
         assert rows(cells.topk(cells.load(spark, root), queries, 6, probes=7, shortlist=300, broadcast_candidates=few)) == rows(R.dense_topk(vectors, queries, 6))
 
 
+def test_all_cells_are_exact_when_codes_cannot_order_the_shortlist(spark):
+    """Far more vectors than the shortlist holds within the error of the codes, and scores that differ beyond single precision only."""
+    rng = np.random.default_rng(5)
+    base = rng.standard_normal(16)
+    m = np.vstack([base + 0.002 * rng.standard_normal((600, 16)), 30 * rng.standard_normal((200, 16))])
+    vectors = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(m)], "doc_id long, vector array<float>").repartition(5).cache()
+    queries = vectors.where("doc_id % 97 = 0").withColumnRenamed("doc_id", "query_id")
+    rows = lambda df: sorted((r["query_id"], r["rank"], r["doc_id"], r["score"]) for r in df.collect())
+    want = rows(R.dense_topk(vectors, queries, 10))
+    for kind in ("array<float>", "array<double>"):
+        root = shared_dir(spark, "cells-near")
+        cells.write(vectors.withColumn("vector", F.col("vector").cast(kind)), root, 6, sample_rows=50)
+        for room in (32 << 20, 600):
+            assert rows(cells.topk(cells.load(spark, root), queries, 10, probes=6, shortlist=12, broadcast_bytes=room)) == want
+
+
 def test_only_probed_cells_are_opened(spark):
     vectors = clustered(spark, 500, 5, 8)
     root = shared_dir(spark, "cells-plan")
