@@ -46,6 +46,23 @@ def test_traversal_equals_a_sequential_walk_with_hubs(spark):
         assert set(got[sid].visited) == vis, sid
 
 
+def test_a_walk_is_spread_over_tasks_and_fetches_only_lists_that_can_matter(spark):
+    # rows of the same edge, edges to itself, pairs linked both ways, and frontiers whose lists hold far more than the limit
+    edges = {("hub", f"a{i:02d}", "call", i % 3, "f") for i in range(20)} | {(f"a{i:02d}", "hub", "call", 1, "f") for i in range(0, 20, 2)}
+    edges |= {(f"a{i:02d}", f"b{j}", "call", j, "g") for i in range(20) for j in range(9)} | {("hub", "hub", "call", 7, "f"), ("a03", "a03", "call", 2, "f")}
+    edge_table = spark.createDataFrame([("c", s, d, k, f, ln, c) for s, d, k, ln, f in sorted(edges) for c in (0.9, 0.7)], EDGE)
+    cases = [(f"{n}-{d}-{lim}", "c", n, d, 3, lim) for n in ("hub", "a03", "b4", "alone") for d in ("callers", "callees", "both") for lim in (1, 7, 22, 45)]
+    seeds = spark.createDataFrame(cases, "seed_id string, corpus string, symbol_id string, direction string, depth int, edge_limit int")
+    walk = G.traverse(seeds, edge_table)
+    got = {r.seed_id: r for r in walk.collect()}
+    assert len(got) == len(cases)
+    for sid, _, n, d, dep, lim in cases:
+        sel, vis = walk_sequential(edges, n, d, dep, lim)
+        assert [tuple(x) for x in got[sid].selected] == sel, sid
+        assert set(got[sid].visited) == vis, sid
+    assert "REPARTITION_BY_NUM" in walk._jdf.queryExecution().toString()
+
+
 def test_resolution_equals_brute_force_for_a_hot_name(spark):
     rnd = random.Random(9)
     nodes = [("c", f"n{i:03d}", f"function {rnd.choice(['get', 'get', 'put', 'run'])}()", f"f{rnd.randint(0, 9)}.ts", "typescript", rnd.randint(1, 40), 99) for i in range(80)]
