@@ -60,6 +60,25 @@ def test_search_opens_its_term_buckets_and_reads_no_text(spark, stored):
     assert "content" not in plan and "EqualTo(tb," in plan
 
 
+def test_blocks_are_cut_from_sorted_batches(spark):
+    # 300 chunks of one impact class for "same", which batches of 70 rows cut anywhere
+    rows = [("c", "0", f"k{i:03d}", "same same word%d other" % (i % 40)) for i in range(300)] + [("c", "0", "none", "- -"), ("d", "1", "long", "same " * 50)]
+    chunks = spark.createDataFrame(rows, "corpus string, bucket string, chunk_id string, content string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "70")
+    try:
+        made = inverted.blocks(chunks.coalesce(1))
+        got = made.collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(b.n for b in got if b.term == "same") == [1, 44, 128, 128] and sorted(b.n for b in got if b.term == "other") == [44, 128, 128]
+    for b in got:
+        tf, length = [r.tf for r in b.rows], [r.len for r in b.rows]
+        assert (b.n, b.words, b.top_tf, b.low_tf, b.top_len, b.low_len) == (len(b.rows), sum(tf), max(tf), min(tf), max(length), min(length))
+    want = {(c, b, i, w, t.split().count(w), len(t.split())) for c, b, i, t in rows for w in t.split() if w != "-"}
+    assert sorted((b.corpus, b.bucket, r.id, b.term, r.tf, r.len) for b in got for r in b.rows) == sorted(want)
+    assert "Window" not in made._jdf.queryExecution().toString()
+
+
 def test_rewritten_buckets(spark, chunks, stored):
     root = shared_dir(spark, "inverted-again")
     inverted.write(chunks, root, id_col="doc_id")
