@@ -113,3 +113,41 @@ def test_outline_and_exact(spark):
     assert (r.request_id, r.first_line, r.last_line, r.text.split("\n")[0]) == ("1", 10, 15, "l10")
     (s,) = G.read_spans(spark.createDataFrame([("x", "c", "src/runtime.ts", 3, None)], "request_id string, corpus string, path string, start int, end int"), files, 5).collect()
     assert (s.first_line, s.last_line, s.next_start, s.total) == (3, 7, 8, 30)
+
+
+def test_defined_names_are_those_of_the_patterns(spark):
+    """Against the patterns with each name put in, over random lines."""
+    rng = random.Random(3)
+    parts = ["function ", "class\t", "def  ", "Function", "foo", "a$b", "$", "b", "_x9", "(", ")", "()", " => ", "{", " ", ".", "1", "foo(bar(1) {"]
+    lines = [(i, "".join(rng.choices(parts, k=rng.randint(1, 12)))) for i in range(1500)]
+    t, n = F.col("text"), F.col("name")
+    df = spark.createDataFrame(lines, "line int, text string").withColumn("name", F.explode(F.expr("array('foo', 'a', 'b', 'a$b', '$', 'bar', '_x9', 'x9', 'function')")))
+    e = F.regexp_replace(n, r"\$", r"\\\$")
+    named = F.rlike(t, F.concat(F.lit(r"(?i)(?:^|[^A-Za-z0-9_])(?:function|class|def)\s+"), e, F.lit("(?:[^A-Za-z0-9_]|$)")))
+    body = F.rlike(t, F.concat(F.lit("(?i)(?:^|[^A-Za-z0-9_])"), e, F.lit(r"\s*\([^)]*\)\s*(?:=>|\{)")))
+    direct = lambda p: F.regexp_extract_all(t, F.lit(p), F.lit(1))
+    plain = (rf"{G.WORD_EDGE}({G.NAME})\s*\(", rf"{G.NAME}\.({G.NAME})\s*\(")
+    got = df.select("text", "name", (named | body).alias("want"), G.is_defined(n, *G.defined_names(t)).alias("got"),
+                    (direct(plain[0]) == direct(G.DIRECT_CALL)).alias("d"), (direct(plain[1]) == direct(G.MEMBER_CALL)).alias("m")).collect()
+    assert not [r for r in got if r.want != r.got or not r.d or not r.m] and 100 < sum(r.want for r in got) < len(got) - 100
+
+
+def test_only_lines_that_ask_for_a_node_meet_the_candidates(spark):
+    """Names without a node keep no target, and those with one take the nearest, in their file first."""
+    nodes = spark.createDataFrame([("c", "s1", "function run()", "a.ts", "typescript", 1, 3), ("c", "s2", "function run()", "b.ts", "typescript", 9, 12)],
+                                  "corpus string, symbol_id string, symbol_label string, file string, language string, start_line int, end_line int")
+    sites = spark.createDataFrame([("c", "x", "a.ts", 20, "run", "call"), ("c", "x", "d.ts", 8, "run", "call"), ("c", "x", "d.ts", 8, "none", "call"), ("e", "x", "a.ts", 1, "run", "call")],
+                                  "corpus string, src string, file string, line int, name string, kind string")
+    got = {(r.corpus, r.file, r.name): (r.dst, r.dst_file) for r in G.resolve(sites, nodes).collect()}
+    assert got == {("c", "a.ts", "run"): ("s1", "a.ts"), ("c", "d.ts", "run"): ("s2", "b.ts"), ("c", "d.ts", "none"): (None, None), ("e", "a.ts", "run"): (None, None)}
+
+
+def test_stored_graph_reads_no_text_for_its_chunks(spark, monkeypatch):
+    from entries import graph as entry
+
+    read = []
+    for name in ("build", "sync"):
+        plain = getattr(entry.graph_index, name)
+        monkeypatch.setattr(entry.graph_index, name, lambda chunks, *rest, plain=plain: (read.extend(chunks.inputFiles()), plain(chunks, *rest))[1])
+    assert entry.stored(spark, "/root/testdata/sf0.001")[0].count() > 0
+    assert read and not [f for f in read if "documents" in f]
