@@ -110,12 +110,11 @@ def send_hashes(hashes: np.ndarray, twice: np.ndarray, batch: int, buckets: int)
 
 def shared_flags(frame: pd.DataFrame) -> pd.DataFrame:
     """For each batch, flags of its 64-bit hashes in this bucket: met in another batch, or in two documents of one."""
-    return flags_of(frame, np.uint64)
+    return flags_of(frame, [np.frombuffer(x, np.uint64) for x in frame["hashes"]])
 
 
-def flags_of(frame: pd.DataFrame, kind) -> pd.DataFrame:
-    """``shared_flags`` for hashes of any integer kind."""
-    hashes = [np.frombuffer(x, kind) for x in frame["hashes"]]
+def flags_of(frame: pd.DataFrame, hashes: list[np.ndarray]) -> pd.DataFrame:
+    """``shared_flags`` for the hashes of each row."""
     twice = np.concatenate([np.unpackbits(np.frombuffer(t, np.uint8), count=len(h)) for t, h in zip(frame["twice"], hashes, strict=True)])
     _, which, n = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
     flag = np.bincount(which, weights=twice) + (n > 1) > 0

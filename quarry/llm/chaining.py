@@ -8,7 +8,9 @@ however many documents share a passage.
 
 Where the seeds of a passage have their least holders in other documents, longer runs, each its own seed,
 lead to those that hold more of it. The longest run is as long as the shortest passage, so the words of an
-equal stretch of that length are matched whatever holders its shorter runs have.
+equal stretch of that length are matched whatever holders its shorter runs have. A longer run whose runs of RUN
+words all refer to one document, at places one after the other, needs no seed: its least holder is that document.
+For one that holds the longer run holds all the shorter ones, so none is smaller, and the places say that it holds it.
 """
 
 from __future__ import annotations
@@ -17,15 +19,15 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from quarry.llm import batches as B
+from quarry.llm import batches as B, bitpack as P
 from quarry.llm.batches import BATCH_BYTES, NO_ID
-from quarry.llm.common import cut, documents
+from quarry.llm.common import documents
 from quarry.llm.words import longer_runs, run_seeds, word_hashes
 
 #: Every run of RUN words is a seed: with a fifth of its words changed, a stretch still has equal runs of 4.
 RUN, WIDTH = 4, 1
 SIMILARITY, LEAST_WORDS = 0.8, 40
-#: Words of the longer seeds; they are sent where all runs of RUN words in them are shared.
+#: Words of the longer seeds; they are sent where all runs of RUN words in them are shared, but not with one document at places in a row.
 LONGER = (8, 16, 40)
 #: Cost of a word between two matches of a chain, in matches; words of a gap that ends a chain.
 GAP_COST, GAP_WORDS = 0.02, 30
@@ -44,7 +46,7 @@ class Seeds:
     """Seeds of a batch in order of (hash, place), and their different hashes."""
 
     def __init__(self, at: np.ndarray, h: np.ndarray, first: np.ndarray) -> None:
-        order = np.lexsort((at, h))
+        order = np.argsort(h, kind="stable")        # places come ascending
         self.at, h = at[order], h[order]
         self.doc = np.searchsorted(first, self.at, side="right") - 1
         new = B.runs(h)
@@ -67,10 +69,13 @@ class Worded(B.Batch):
             self.full[at] = h
             self.seeds = Seeds(at, h, self.first)
 
-    def longer(self, held: np.ndarray):
-        """(length, seeds) of the longer runs in which the runs of RUN words at all places are held."""
+    def longer(self, held: np.ndarray, next_too: np.ndarray):
+        """(length, seeds) of the longer runs in which the runs of RUN words at all places are held, save those in which
+        each is also followed (``next_too``) by the next word of the same document."""
+        total = np.concatenate([[0], np.cumsum(~next_too)])
         for k, at, h in longer_runs(self.full, held, RUN, LONGER):
-            yield k, Seeds(at, h, self.first)
+            open_ = total[at + k - RUN] > total[at]
+            yield k, Seeds(at[open_], h[open_], self.first)
 
     def text(self, doc: int, low: int = 0, high: int | None = None) -> np.ndarray:
         a = int(self.first[doc])
@@ -84,6 +89,9 @@ def chain(x: np.ndarray, y: np.ndarray, gap_cost: float = GAP_COST, gap_words: i
     of a gap is a sum of what its two ends contribute, the best match to go on from is a maximum over all with
     smaller y so far, which a Fenwick tree gives.
     """
+    step = np.diff(x)
+    if len(x) and (y - x == y[0] - x[0]).all() and (not len(step) or step.min() > 0 and 2 * gap_cost * step.max() < 1 and step.max() <= gap_words):
+        return [list(range(len(x)))]        # an equal stretch: each match goes on from the one before, and the score rises
     order = np.lexsort((-y, x)).tolist()
     xs, ys = x.tolist(), y.tolist()
     rank = (np.unique(y, return_inverse=True)[1] + 1).tolist()
@@ -147,7 +155,8 @@ def _onward(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     n = min(len(a), len(b))
     straight = np.flatnonzero(a[:n] == b[:n])
     near = min(n, 16)
-    if n and np.isin(a[:near], b).sum() > max(0.6 * near, np.searchsorted(straight, near)):
+    placed = np.searchsorted(straight, near)
+    if placed < near and (a[:near, None] == b[None, :]).any(axis=1).sum() > max(0.6 * near, placed):
         return np.array(_between(a, b), np.int64)
     return straight
 
@@ -158,13 +167,14 @@ def align(mine: np.ndarray, other: np.ndarray, base: int, xs: list[int], ys: lis
     Runs of the chain match as they are, gaps are aligned word by word, and both ends are looked on beyond.
     """
     hit = [np.flatnonzero(mine[xs[0]:xs[0] + run] == other[ys[0] - base:ys[0] - base + run]) + xs[0]]
-    for x0, y0, x1, y1 in zip(xs, ys, xs[1:], ys[1:], strict=False):
-        if x1 - x0 == y1 - y0:          # no word more on either side
-            hit.append(np.flatnonzero(mine[x0:x1 + run] == other[y0 - base:y1 - base + run]) + x0)
-        else:
-            a, b = min(x0 + run, x1), min(y0 + run, y1)
-            hit.append(np.array(_between(mine[a:x1], other[b - base:y1 - base]), np.int64) + a)
-            hit.append(np.arange(x1, x1 + run))
+    turns = (np.flatnonzero(np.diff(np.subtract(ys, xs))) + 1).tolist()      # where a word more stands on one side
+    for i, j in zip([0, *turns], [*turns, len(xs)], strict=True):
+        x0, x1, y0, y1 = xs[i], xs[j - 1], ys[i], ys[j - 1]
+        hit.append(np.flatnonzero(mine[x0:x1 + run] == other[y0 - base:y1 - base + run]) + x0)
+        if i:
+            a, b = min(xs[i - 1] + run, x0), min(ys[i - 1] + run, y0)
+            hit.append(np.array(_between(mine[a:x0], other[b - base:y0 - base]), np.int64) + a)
+            hit.append(np.arange(x0, x0 + run))
     n, m = min(beyond, xs[0]), min(beyond, ys[0] - base)
     ahead = _onward(mine[xs[0] - n:xs[0]][::-1], other[ys[0] - base - m:ys[0] - base][::-1])
     a, b = xs[-1] + run, ys[-1] - base + run
@@ -217,18 +227,24 @@ def passages(matched: np.ndarray, similarity: float = SIMILARITY, least_words: i
     return out
 
 
-def _send(buckets: int):
+def _cells(hashes: np.ndarray, buckets: int) -> list[tuple[int, int, int]]:
+    """(bucket, begin, end) of ascending hashes; a bucket is a range of them, so few bits tell one from the next."""
+    met, begin = np.unique(((hashes >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32), return_index=True)
+    return list(zip(met.tolist(), begin.tolist(), [*begin[1:].tolist(), len(hashes)], strict=True))
+
+
+def _send(buckets: int, bits: int):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         b = Worded(frame)
-        out = B.send_hashes(b.seeds.hashes, b.seeds.twice, frame["batch"].iloc[0], buckets)
-        # half of a hash will do: two that agree in it are both offered, and told apart there
-        out["hashes"] = [(np.frombuffer(x, np.uint64) >> np.uint64(32)).astype(np.uint32).tobytes() for x in out["hashes"]]
-        return out
+        # so many bits of a hash will do: two that agree in them are both offered, and told apart there
+        short = b.seeds.hashes >> np.uint64(64 - bits)
+        out = [(k, frame["batch"].iloc[0], P.rising(short[x:y]), P.flags(b.seeds.twice[x:y])) for k, x, y in _cells(b.seeds.hashes, buckets)]
+        return pd.DataFrame(out, columns=["bucket", "batch", "hashes", "twice"])
     return run
 
 
 def _flags(frame: pd.DataFrame) -> pd.DataFrame:
-    return B.flags_of(frame, np.uint32)
+    return B.flags_of(frame, [P.read_rising(x)[0] for x in frame["hashes"]])
 
 
 def _entries(b: Worded, seeds: Seeds, shared: np.ndarray) -> np.ndarray:
@@ -239,39 +255,118 @@ def _entries(b: Worded, seeds: Seeds, shared: np.ndarray) -> np.ndarray:
     return rows
 
 
+def _squeezed(rows: np.ndarray) -> bytes:
+    return b"".join([P.rising(rows["hash"]), *(P.narrow(rows[n]) for n in ("id", "doc", "word")), P.flags(rows["alone"])])
+
+
+def _unsqueezed(data: bytes) -> np.ndarray:
+    h, data = P.read_rising(data)
+    rows = np.empty(len(h), ENTRY)
+    rows["hash"] = h
+    for n in ("id", "doc", "word"):
+        rows[n], data = P.read_narrow(data, len(h))
+    rows["alone"] = P.read_flags(data, len(h))
+    return rows
+
+
+OFFER = "bucket bigint, batch bigint, entries binary, flags binary"
+#: ``flags``: which of the hashes that the batch sent to the bucket it offered; ``need``: which of the offered ones are answered, in ``data``.
+ANSWER = "batch bigint, bucket bigint, step int, flags binary, need binary, data binary"
+
+
 def _offer(buckets: int):
     def run(frame: pd.DataFrame, flags: pd.DataFrame) -> pd.DataFrame:
-        names = ["bucket", "batch", "entries"]
+        names = ["bucket", "batch", "entries", "flags"]
         if not len(frame) or not len(flags):
             return pd.DataFrame([], columns=names)
-        b = Worded(frame)
-        shared = B.read_flags(b.seeds.hashes, flags, buckets)
-        held = np.zeros(len(b.words), bool)
-        held[b.seeds.at] = shared[b.seeds.which]
-        rows = np.concatenate([_entries(b, b.seeds, shared), *(_entries(b, x, np.ones(len(x.hashes), bool)) for _, x in b.longer(held))])
-        order, met, begin = B.by_bucket(rows["hash"], buckets)
-        out = [(k, frame["batch"].iloc[0], B.press(rows[order[x:y]])) for k, x, y in zip(met, begin, begin[1:], strict=False)]
+        b, answers, out = Worded(frame), dict(zip(flags["bucket"], flags["flags"], strict=True)), []
+        for k, x, y in _cells(b.seeds.hashes, buckets):
+            shared = np.zeros(len(b.seeds.hashes), bool)
+            shared[x:y] = P.read_flags(answers[k], y - x)
+            if shared.any():
+                out.append((k, frame["batch"].iloc[0], _squeezed(_entries(b, b.seeds, shared)), answers[k]))
         return pd.DataFrame(out, columns=names)
     return run
 
 
-def _least(frame: pd.DataFrame) -> pd.DataFrame:
+def _least(step: int):
     """Tells each batch, of its hashes, where the least holder has them, unless that is the batch's only holder."""
-    rows, batch = B.gathered(frame["entries"], frame["batch"], ENTRY)
-    order = np.lexsort((batch, rows["id"], rows["hash"]))
-    rows, batch = rows[order], batch[order]
-    new = B.runs(rows["hash"])
-    of = np.flatnonzero(new)[np.cumsum(new) - 1]
-    need = (of != np.arange(len(of))) | (rows["alone"] == 0)
-    out = np.empty(int(need.sum()), MATCH)
-    for n in ("hash", "id", "doc", "word"):
-        out[n] = rows[n][of[need]]
-    out["batch"] = batch[of[need]]
-    return B.by_batch([(0, batch[need], out)])
-
-
-def _matches(b: Worded, seeds: Seeds, to: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(matches of ``size`` words, which seeds have one) with the documents that the batch is told of (sorted by hash)."""
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        parts = [_unsqueezed(x) for x in frame["entries"]]
+        rows, cell = np.concatenate(parts), np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+        batch = frame["batch"].to_numpy(np.int64)[cell]
+        order = np.lexsort((batch, rows["id"], rows["hash"]))
+        new = B.runs(rows["hash"][order])
+        of = np.empty(len(rows), np.int64)
+        of[order] = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
+        need = (of != np.arange(len(of))) | (rows["alone"] == 0)
+        edge, out = np.searchsorted(cell, np.arange(len(parts) + 1)), []
+        for i, (own, bucket, flags) in enumerate(zip(frame["batch"], frame["bucket"], frame["flags"], strict=True)):
+            want = need[edge[i]:edge[i + 1]]
+            at = of[edge[i]:edge[i + 1]][want]
+            data = [P.narrow(batch[at]), *(P.narrow(rows[n][at]) for n in ("id", "doc", "word"))]
+            out.append((own, bucket, step, flags, P.flags(want), b"".join(data)))
+        return pd.DataFrame(out, columns=["batch", "bucket", "step", "flags", "need", "data"])
+    return run
+
+
+def _told(hashes: np.ndarray, told: pd.DataFrame, buckets: int, offered: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(answers in order of hash, which of ``hashes`` were offered). ``offered`` where the batch knows that itself."""
+    cells = {k: (f, n, d) for k, f, n, d in zip(told["bucket"], told["flags"], told["need"], told["data"], strict=True)}
+    shared, parts = np.zeros(len(hashes), bool), [np.zeros(0, MATCH)]
+    for k, x, y in _cells(hashes, buckets):
+        if k not in cells:
+            continue
+        flags, need, data = cells[k]
+        shared[x:y] = P.read_flags(flags, y - x) if offered is None else True
+        own = hashes[x:y][shared[x:y]]
+        own = own[P.read_flags(need, len(own))]
+        rows = np.empty(len(own), MATCH)
+        rows["hash"] = own
+        for n in ("batch", "id", "doc", "word"):
+            rows[n], data = P.read_narrow(data, len(own))
+        parts.append(rows)
+    return np.concatenate(parts), shared
+
+
+def _in_a_row(b: Worded, to: np.ndarray, shared: np.ndarray, own: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places at which a shared run of RUN words begins, those of them whose holder goes on with the next run at the next place)."""
+    s = b.seeds
+    batch, doc = np.full(len(s.hashes), own, np.int64), s.doc[s.lead].astype(np.int64)     # without an answer the batch holds the least itself
+    word = s.at[s.lead] - b.first[s.doc[s.lead]]
+    place = np.searchsorted(s.hashes, to["hash"])
+    batch[place], doc[place], word[place] = to["batch"], to["doc"], to["word"]
+    held = np.zeros(len(b.words) + 1, bool)
+    held[s.at] = shared[s.which]
+    at = np.zeros((3, len(b.words) + 1), np.int64)
+    at[:, s.at] = batch[s.which], doc[s.which], word[s.which]
+    on = held[:-1] & held[1:] & (at[0, :-1] == at[0, 1:]) & (at[1, :-1] == at[1, 1:]) & (at[2, :-1] + 1 == at[2, 1:])
+    return held[:-1], on
+
+
+def _longer_seeds(b: Worded, held: np.ndarray, on: np.ndarray) -> list[tuple[int, Seeds]]:
+    return list(b.longer(held, on))
+
+
+def _all_longer(longer: list[tuple[int, Seeds]]) -> np.ndarray:
+    return np.sort(np.concatenate([np.zeros(0, np.uint64), *(x.hashes for _, x in longer)]))
+
+
+def _offer_longer(buckets: int):
+    def run(frame: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        names = ["bucket", "batch", "entries", "flags"]
+        if not len(frame) or not len(told):
+            return pd.DataFrame([], columns=names)
+        b, own = Worded(frame), int(frame["batch"].iloc[0])
+        longer = _longer_seeds(b, *_in_a_row(b, *_told(b.seeds.hashes, told, buckets), own))
+        rows = np.concatenate([np.zeros(0, ENTRY), *(_entries(b, x, np.ones(len(x.hashes), bool)) for _, x in longer)])
+        rows = rows[np.argsort(rows["hash"], kind="stable")]
+        return pd.DataFrame([(k, own, _squeezed(rows[x:y]), b"") for k, x, y in _cells(rows["hash"], buckets)], columns=names)
+    return run
+
+
+def _matches(b: Worded, seeds: Seeds, to: np.ndarray, size: int) -> np.ndarray:
+    """Matches of ``size`` words with the documents that the batch is told of (sorted by hash)."""
     h, ids = seeds.hashes[seeds.which], b.ids[seeds.doc]
     place = np.minimum(np.searchsorted(to["hash"], h), len(to) - 1)
     ok = (to["hash"][place] == h) & (to["id"][place] < ids) & (ids != NO_ID) if len(to) else np.zeros(len(h), bool)
@@ -279,7 +374,7 @@ def _matches(b: Worded, seeds: Seeds, to: np.ndarray, size: int) -> tuple[np.nda
     got = to[place[ok]]
     m["doc"], m["x"] = seeds.doc[ok], seeds.at[ok] - b.first[seeds.doc[ok]]
     m["to_batch"], m["to_doc"], m["to_id"], m["y"], m["chain"] = got["batch"], got["doc"], got["id"], got["word"], size
-    return m, ok
+    return m
 
 
 def _joined(m: np.ndarray) -> np.ndarray:
@@ -307,19 +402,23 @@ def _joined(m: np.ndarray) -> np.ndarray:
     return out
 
 
-def _chains(frame: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+def _chains(buckets: int):
+    def run(frame: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        if not len(frame) or not len(told):
+            return pd.DataFrame([], columns=["batch", "kind", "data"])
+        b, own = Worded(frame), int(frame["batch"].iloc[0])
+        to, shared = _told(b.seeds.hashes, told[told["step"] == 0], buckets)
+        held, on = _in_a_row(b, to, shared, own)
+        longer = _longer_seeds(b, held, on)
+        to_longer = _told(_all_longer(longer), told[told["step"] == 1], buckets, True)[0]
+        m = [_matches(b, b.seeds, to, RUN)] + [_matches(b, x, to_longer, k) for k, x in longer]
+        return _chained(np.concatenate(m), own)
+    return run
+
+
+def _chained(m: np.ndarray, own: int) -> pd.DataFrame:
     """Kind 0: the anchors of this batch's chains, for itself. Kind 1: words that it asks other batches for."""
-    if not len(frame) or not len(told):
-        return pd.DataFrame([], columns=["batch", "kind", "data"])
-    b, own = Worded(frame), int(frame["batch"].iloc[0])
-    to = np.concatenate([B.unpress(x, MATCH) for x in told["data"]])
-    to = to[np.argsort(to["hash"], kind="stable")]
-    parts, held = [], np.zeros(len(b.words), bool)
-    m, ok = _matches(b, b.seeds, to, RUN)
-    parts.append(m)
-    held[b.seeds.at] = ok       # what an earlier document holds a longer run of, it holds all shorter runs of
-    parts += [_matches(b, x, to, k)[0] for k, x in b.longer(held)]
-    m = _joined(np.concatenate(parts))
+    m = _joined(m)
     m = m[np.lexsort((m["x"], m["to_doc"], m["to_batch"], m["doc"]))]
     new = B.runs(m["doc"]) | B.runs(m["to_batch"]) | B.runs(m["to_doc"])
     size = np.diff(np.append(np.flatnonzero(new), len(m)))
@@ -349,11 +448,14 @@ def _chains(frame: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
     return B.by_batch([(0, np.full(len(m), own, np.int64), m), (1, tb[order][starts], ask)])
 
 
-def _tell(frame: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-    """Kind 2: the words that others asked for, after a list of whose they are."""
+def _tell(frame: pd.DataFrame, parts: pd.DataFrame) -> pd.DataFrame:
+    """Kind 2: the words that others asked for, after a list of whose they are. The batch's own anchors go on as they are."""
     names = ["batch", "kind", "data"]
-    if not len(frame) or not len(asked):
+    if not len(frame) or not len(parts):
         return pd.DataFrame([], columns=names)
+    kept, asked = parts[parts["kind"] == 0], parts[parts["kind"] == 1]
+    if not len(asked):
+        return kept[names]
     b, own = Worded(frame, seeds=False), int(frame["batch"].iloc[0])
     ask = np.concatenate([B.unpress(x, ASK) for x in asked["data"]])
     out = []
@@ -368,7 +470,7 @@ def _tell(frame: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         flat = np.concatenate(words).astype(np.uint32).view([("w", "<u4")])
         lead = B.press(head)
         out.append((int(ask["batch"][a]), 2, len(lead).to_bytes(8, "little") + lead + B.press(flat)))
-    return pd.DataFrame(out, columns=names)
+    return pd.concat([kept[names], pd.DataFrame(out, columns=names)])
 
 
 def _find(similarity: float, least_words: int):
@@ -420,14 +522,16 @@ def shared_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     hold only the shorter ones; a stretch of the longest that is equal is always matched. ``doc_id`` is an integer; null ids,
     null and short texts give nothing; rows that repeat an id do not refer to each other. Other columns are not read.
     """
-    rows = documents(docs, doc_id, text).withColumn("doc_id", F.col("doc_id").cast("long"))
+    rows = documents(docs, doc_id, text).withColumn("doc_id", F.col("doc_id").cast("long")).where("doc_id IS NOT NULL")
     n = B.batch_count(rows, batch_bytes)
+    # a seed that is not shared agrees by chance with one of another text in a hundredth of cases or less, whatever the table's size
+    bits = min(64, (n * batch_bytes).bit_length() + 4)
     packed = B.pack(rows, n)
-    flags = packed.groupBy("batch").applyInPandas(_send(n), B.SENT).groupBy("bucket").applyInPandas(_flags, B.FLAGS)
-    offers = packed.groupBy("batch").cogroup(flags.groupBy("batch")).applyInPandas(_offer(n), "bucket bigint, batch bigint, entries binary")
-    told = offers.groupBy("bucket").applyInPandas(_least, B.STEP)
-    chains = cut(packed.groupBy("batch").cogroup(told.groupBy("batch")).applyInPandas(_chains, B.STEP), "chains")
-    again = B.pack(rows, n)
-    words = again.groupBy("batch").cogroup(chains.where("kind = 1").groupBy("batch")).applyInPandas(_tell, B.STEP)
-    parts = chains.where("kind = 0").union(words)
-    return again.groupBy("batch").cogroup(parts.groupBy("batch")).applyInPandas(_find(similarity, least_words), RESULT)
+    flags = packed.groupBy("batch").applyInPandas(_send(n, bits), B.SENT).groupBy("bucket").applyInPandas(_flags, B.FLAGS)
+    offers = packed.groupBy("batch").cogroup(flags.groupBy("batch")).applyInPandas(_offer(n), OFFER)
+    told = offers.groupBy("bucket").applyInPandas(_least(0), ANSWER)
+    more = packed.groupBy("batch").cogroup(told.groupBy("batch")).applyInPandas(_offer_longer(n), OFFER)
+    told = told.union(more.groupBy("bucket").applyInPandas(_least(1), ANSWER))
+    chains = packed.groupBy("batch").cogroup(told.groupBy("batch")).applyInPandas(_chains(n), B.STEP)
+    parts = packed.groupBy("batch").cogroup(chains.groupBy("batch")).applyInPandas(_tell, B.STEP)
+    return packed.groupBy("batch").cogroup(parts.groupBy("batch")).applyInPandas(_find(similarity, least_words), RESULT)
