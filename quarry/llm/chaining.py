@@ -230,7 +230,7 @@ def passages(matched: np.ndarray, similarity: float = SIMILARITY, least_words: i
 def _cells(hashes: np.ndarray, buckets: int) -> list[tuple[int, int, int]]:
     """(bucket, begin, end) of ascending hashes; a bucket is a range of them, so few bits tell one from the next."""
     met, begin = np.unique(((hashes >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32), return_index=True)
-    return list(zip(met.tolist(), begin.tolist(), [*begin[1:].tolist(), len(hashes)], strict=True))
+    return list(zip(met.tolist(), begin.tolist(), np.append(begin, len(hashes))[1:].tolist(), strict=True))
 
 
 def _send(buckets: int, bits: int):
