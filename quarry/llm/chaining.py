@@ -29,6 +29,8 @@ RUN, WIDTH = 4, 1
 SIMILARITY, LEAST_WORDS = 0.8, 40
 #: Words of the longer seeds; they are sent where all runs of RUN words in them are shared, but not with one document at places in a row.
 LONGER = (8, 16, 40)
+#: Batches whose hashes would fill a bucket; each batch has a cell in each bucket, so fewer buckets make fewer cells.
+BUCKET_BATCHES = 4
 #: Cost of a word between two matches of a chain, in matches; words of a gap that ends a chain.
 GAP_COST, GAP_WORDS = 0.02, 30
 #: Words at which a chain is looked on beyond its ends; words in runs of the shortest chain that counts. In 40 words with
@@ -42,13 +44,42 @@ TOLD = np.dtype([("batch", "<i8"), ("doc", "<i4"), ("low", "<i8"), ("n", "<i8")]
 RESULT = "doc_id bigint, start_word bigint, end_word bigint, matched_words bigint, similarity double, earlier array<bigint>"
 
 
+def by_hash(h: np.ndarray) -> np.ndarray:
+    """The stable order of 64-bit hashes. Plain numbers sort many times faster than an order of them is found, so the place stands in the last bits."""
+    bits = np.uint64(len(h).bit_length())
+    last = (np.uint64(1) << bits) - np.uint64(1)
+    order = (np.sort(h & ~last | np.arange(len(h), dtype=np.uint64)) & last).astype(np.int64)
+    got = h[order]
+    return np.argsort(h, kind="stable") if (got[1:] < got[:-1]).any() else order      # two may differ in the bits that gave way only
+
+
+def by_columns(*columns: np.ndarray) -> np.ndarray:
+    """The stable order by integer columns, the first one first: as many as fit are one number with the place in its last bits."""
+    n = len(columns[0])
+    if not n:
+        return np.zeros(0, np.int64)
+    least = [int(c.min()) for c in columns]
+    width = [(int(c.max()) - a).bit_length() for c, a in zip(columns, least, strict=True)]
+    bits, i, order = n.bit_length(), len(columns), np.arange(n)
+    if max(width) + bits > 63:
+        return np.lexsort(columns[::-1])
+    while i:
+        key, used = np.zeros(n, np.int64), 0
+        while i and used + width[i - 1] + bits <= 63:
+            i -= 1
+            key |= (columns[i].astype(np.int64) - least[i]) << used
+            used += width[i]
+        order = order[np.sort(key[order] << bits | np.arange(n)) & ((1 << bits) - 1)]
+    return order
+
+
 class Seeds:
-    """Seeds of a batch in order of (hash, place), and their different hashes."""
+    """Seeds of a batch in order of (hash, place), and their different hashes. ``doc_of``: the document of each word."""
 
-    def __init__(self, at: np.ndarray, h: np.ndarray, first: np.ndarray) -> None:
-        order = np.argsort(h, kind="stable")        # places come ascending
+    def __init__(self, at: np.ndarray, h: np.ndarray, doc_of: np.ndarray) -> None:
+        order = by_hash(h)        # places come ascending
         self.at, h = at[order], h[order]
-        self.doc = np.searchsorted(first, self.at, side="right") - 1
+        self.doc = doc_of[self.at]
         new = B.runs(h)
         self.hashes, self.which = h[new], np.cumsum(new) - 1
         self.lead = np.flatnonzero(new)         # ids rise with place, so a hash's first seed is its least document's
@@ -67,7 +98,8 @@ class Worded(B.Batch):
             at, h = run_seeds(self.words, self.first, RUN, WIDTH)
             self.full = np.zeros(len(self.words), np.uint64)
             self.full[at] = h
-            self.seeds = Seeds(at, h, self.first)
+            self.doc_of = np.repeat(np.arange(len(self.first)), self.n_words)
+            self.seeds = Seeds(at, h, self.doc_of)
 
     def longer(self, held: np.ndarray, next_too: np.ndarray):
         """(length, seeds) of the longer runs in which the runs of RUN words at all places are held, save those in which
@@ -75,13 +107,21 @@ class Worded(B.Batch):
         total = np.concatenate([[0], np.cumsum(~next_too)])
         for k, at, h in longer_runs(self.full, held, RUN, LONGER):
             open_ = total[at + k - RUN] > total[at]
-            yield k, Seeds(at[open_], h[open_], self.first)
+            yield k, Seeds(at[open_], h[open_], self.doc_of)
 
     def text(self, doc: int, low: int = 0, high: int | None = None) -> np.ndarray:
         a = int(self.first[doc])
         return self.words[a + low:a + (int(self.n_words[doc]) if high is None else high)]
 
 
+def straight_chains(x: np.ndarray, y: np.ndarray, new: np.ndarray, gap_cost: float = GAP_COST, gap_words: int = GAP_WORDS) -> np.ndarray:
+    """Of the groups of matches that begin at ``new``, those that are one chain as they stand: an equal stretch, where each match goes on
+    from the one before and the score rises."""
+    step, shift = np.diff(x, prepend=0), np.diff(y - x, prepend=0)
+    bent = ~new & ((shift != 0) | (step <= 0) | (2 * gap_cost * step >= 1) | (step > gap_words))
+    return np.bincount(np.cumsum(new) - 1, bent, int(new.sum())) == 0
+
+
 def chain(x: np.ndarray, y: np.ndarray, gap_cost: float = GAP_COST, gap_words: int = GAP_WORDS) -> list[list[int]]:
     """Chains of matches (x, y), each a list of positions in both of which x and y rise; every match is in one chain at most.
 
@@ -89,28 +129,27 @@ def chain(x: np.ndarray, y: np.ndarray, gap_cost: float = GAP_COST, gap_words: i
     of a gap is a sum of what its two ends contribute, the best match to go on from is a maximum over all with
     smaller y so far, which a Fenwick tree gives.
     """
-    step = np.diff(x)
-    if len(x) and (y - x == y[0] - x[0]).all() and (not len(step) or step.min() > 0 and 2 * gap_cost * step.max() < 1 and step.max() <= gap_words):
-        return [list(range(len(x)))]        # an equal stretch: each match goes on from the one before, and the score rises
-    order = np.lexsort((-y, x)).tolist()
+    if len(x) and straight_chains(x, y, np.arange(len(x)) == 0, gap_cost, gap_words)[0]:
+        return [list(range(len(x)))]
+    order = by_columns(x, -y).tolist()
     xs, ys = x.tolist(), y.tolist()
     rank = (np.unique(y, return_inverse=True)[1] + 1).tolist()
     size = max(rank, default=0)
-    tree: list[tuple[float, int]] = [(-np.inf, -1)] * (size + 1)
+    tree, holder = [-np.inf] * (size + 1), [-1] * (size + 1)
     score, back = [0.0] * len(xs), [-1] * len(xs)
     for i in order:
-        best, r = (0.0, -1), rank[i] - 1
+        best, of, r = 0.0, -1, rank[i] - 1
         here = gap_cost * (xs[i] + ys[i])
-        while r > 0:
-            got = tree[r]
-            if got[0] - here > best[0]:
-                best = (got[0] - here, got[1])
+        while r:
+            got = tree[r] - here
+            if got > best:
+                best, of = got, holder[r]
             r &= r - 1
-        score[i], back[i] = 1.0 + best[0], best[1]
-        value, r = (score[i] + here, i), rank[i]
+        score[i], back[i] = 1.0 + best, of
+        value, r = 1.0 + best + here, rank[i]
         while r <= size:
-            if value[0] > tree[r][0]:
-                tree[r] = value
+            if value > tree[r]:
+                tree[r], holder[r] = value, i
             r += r & -r
     out, used = [], [False] * len(xs)
     for i in sorted(order, key=lambda i: -score[i]):
@@ -127,59 +166,130 @@ def chain(x: np.ndarray, y: np.ndarray, gap_cost: float = GAP_COST, gap_words: i
     return out
 
 
-def _between(a: np.ndarray, b: np.ndarray) -> list[int]:
-    """Words of a that a longest common subsequence with b matches."""
-    n, m = len(a), len(b)
-    if not n or not m:
-        return []
-    best = np.zeros((n + 1, m + 1), dtype=np.int32)
-    same = a[:, None] == b[None, :]
-    for i in range(n - 1, -1, -1):
-        row = np.maximum(best[i + 1, :m], np.where(same[i], best[i + 1, 1:] + 1, 0))
-        best[i, :m] = np.maximum.accumulate(row[::-1])[::-1]
-    i = j = 0
-    out = []
-    while i < n and j < m:
-        if same[i, j] and best[i, j] == best[i + 1, j + 1] + 1:
-            out.append(i)
-            i, j = i + 1, j + 1
-        elif best[i + 1, j] >= best[i, j + 1]:
-            i += 1
-        else:
-            j += 1
-    return out
-
-
-def _onward(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Words of a that go on as b does: place by place, or as a common subsequence where most words are shared but not so placed."""
-    n = min(len(a), len(b))
-    straight = np.flatnonzero(a[:n] == b[:n])
-    near = min(n, 16)
-    placed = np.searchsorted(straight, near)
-    if placed < near and (a[:near, None] == b[None, :]).any(axis=1).sum() > max(0.6 * near, placed):
-        return np.array(_between(a, b), np.int64)
-    return straight
-
-
-def align(mine: np.ndarray, other: np.ndarray, base: int, xs: list[int], ys: list[int], run: int = RUN, beyond: int = BEYOND) -> np.ndarray:
-    """Places of ``mine`` matched along a chain; ``other`` begins at word ``base`` of its document.
-
-    Runs of the chain match as they are, gaps are aligned word by word, and both ends are looked on beyond.
+def _spread(size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For groups of so many rows: (group of each row, its number in the group)."""
+    group = np.repeat(np.arange(len(size)), size)
+    return group, np.arange(len(group)) - np.repeat(np.cumsum(size) - size, size)
+
+
+class Windows:
+    """Pairs of stretches of words: ``n`` from place ``a`` of ``mine``, ``m`` from place ``b`` of ``other``, onward (``step`` 1) or backward (-1)."""
+
+    def __init__(self, mine: np.ndarray, other: np.ndarray, a: np.ndarray, n: np.ndarray, b: np.ndarray, m: np.ndarray, step: np.ndarray) -> None:
+        self.mine, self.other, self.a, self.n, self.b, self.m, self.step = mine, other, a, n, b, m, step
+
+    def __getitem__(self, rows) -> Windows:
+        return Windows(self.mine, self.other, self.a[rows], self.n[rows], self.b[rows], self.m[rows], self.step[rows])
+
+    def words(self, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """The stretches as rows of ``width`` words; what lies behind their ends is equal to nothing."""
+        out, at = [], np.arange(width)
+        for text, lead, size, none in ((self.mine, self.a, self.n, -1), (self.other, self.b, self.m, -2)):
+            rows = np.full((len(lead), width), none, np.int64)
+            inside = at < size[:, None]
+            rows[inside] = text[(lead[:, None] + at * self.step[:, None])[inside]]
+            out.append(rows)
+        return out[0], out[1]
+
+
+#: Cells of tables of common subsequences that are filled at a time.
+TABLE_CELLS = 1 << 22
+
+
+def common(w: Windows) -> tuple[np.ndarray, np.ndarray]:
+    """(pair, word of its first stretch) for the words that a longest common subsequence of the two matches."""
+    longest = np.maximum(w.n, w.m)
+    size = np.where(np.minimum(w.n, w.m) > 0, np.int64(1) << np.ceil(np.log2(np.maximum(longest, 1))).astype(np.int64), 0)
+    pairs, words = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for wide in np.unique(size[size > 0]).tolist():
+        of = np.flatnonzero(size == wide)
+        wide = int(longest[of].max())
+        step = max(1, TABLE_CELLS // (wide + 1) ** 2)
+        for at in range(0, len(of), step):
+            part = of[at:at + step]
+            pair, word = _common(*w[part].words(wide))
+            pairs.append(part[pair])
+            words.append(word)
+    return np.concatenate(pairs), np.concatenate(words)
+
+
+def _common(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    n, wide = a.shape
+    best = np.zeros((wide + 1, n, wide + 1), np.uint8 if wide < 255 else np.int32)
+    same = a.T[:, :, None] == b[None]
+    for i in range(wide - 1, -1, -1):
+        row = np.maximum(best[i + 1, :, :wide], (best[i + 1, :, 1:] + 1) * same[i])
+        best[i, :, :wide] = np.maximum.accumulate(row[:, ::-1], axis=1)[:, ::-1]
+    live, i, j = np.arange(n), np.zeros(n, np.int64), np.zeros(n, np.int64)
+    pairs, words = [], []
+    while True:
+        here = best[i, live, j]
+        on = here > 0       # else nothing is left to match
+        live, i, j, here = live[on], i[on], j[on], here[on]
+        if not len(live):
+            break
+        hit = same[i, live, j] & (here == best[i + 1, live, j + 1] + 1)
+        pairs.append(live[hit])
+        words.append(i[hit])
+        down = hit | (best[i + 1, live, j] >= best[i, live, j + 1])
+        i, j = i + down, j + (hit | ~down)
+    return np.concatenate([np.zeros(0, np.int64), *pairs]), np.concatenate([np.zeros(0, np.int64), *words])
+
+
+def onward(w: Windows, beyond: int = BEYOND) -> tuple[np.ndarray, np.ndarray]:
+    """(pair, word of its first stretch) for stretches that go on as one another do: place by place, or as a common subsequence
+    where most words are shared but not so placed."""
+    pairs, words = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    step = max(1, TABLE_CELLS // (beyond + 1) ** 2)
+    for at in range(0, len(w.n), step):
+        part = w[at:at + step]
+        a, b = part.words(beyond)
+        straight, near = a == b, np.minimum(np.minimum(part.n, part.m), 16)
+        first = np.arange(min(beyond, 16)) < near[:, None]
+        placed = (straight[:, :first.shape[1]] & first).sum(axis=1)
+        moved = np.flatnonzero(placed < near)
+        shared = ((a[moved, :first.shape[1], None] == b[moved, None, :]).any(axis=2) & first[moved]).sum(axis=1)
+        moved = moved[shared > np.maximum(0.6 * near[moved], placed[moved])]
+        straight[moved] = False
+        pair, word = np.nonzero(straight)
+        more, word_of = common(part[moved])
+        pairs += [pair + at, moved[more] + at]
+        words += [word, word_of]
+    return np.concatenate(pairs), np.concatenate(words)
+
+
+def align(mine: np.ndarray, other: np.ndarray, new: np.ndarray, x: np.ndarray, y: np.ndarray, edges: np.ndarray, run: int = RUN,
+          beyond: int = BEYOND) -> tuple[np.ndarray, np.ndarray]:
+    """(chain, place of ``mine``), ascending, for the places matched along each of many chains; chains begin at ``new``, and each lies in one text of
+    ``mine`` and one of ``other``, which begin and end at ``edges`` (rows: begin in ``mine``, its end, begin in ``other``, its end).
+
+    Runs of a chain match as they are, gaps are aligned word by word, and both ends are looked on beyond.
     """
-    hit = [np.flatnonzero(mine[xs[0]:xs[0] + run] == other[ys[0] - base:ys[0] - base + run]) + xs[0]]
-    turns = (np.flatnonzero(np.diff(np.subtract(ys, xs))) + 1).tolist()      # where a word more stands on one side
-    for i, j in zip([0, *turns], [*turns, len(xs)], strict=True):
-        x0, x1, y0, y1 = xs[i], xs[j - 1], ys[i], ys[j - 1]
-        hit.append(np.flatnonzero(mine[x0:x1 + run] == other[y0 - base:y1 - base + run]) + x0)
-        if i:
-            a, b = min(xs[i - 1] + run, x0), min(ys[i - 1] + run, y0)
-            hit.append(np.array(_between(mine[a:x0], other[b - base:y0 - base]), np.int64) + a)
-            hit.append(np.arange(x0, x0 + run))
-    n, m = min(beyond, xs[0]), min(beyond, ys[0] - base)
-    ahead = _onward(mine[xs[0] - n:xs[0]][::-1], other[ys[0] - base - m:ys[0] - base][::-1])
-    a, b = xs[-1] + run, ys[-1] - base + run
-    hit += [xs[0] - 1 - ahead, _onward(mine[a:a + beyond], other[b:b + beyond]) + a]
-    return np.unique(np.concatenate(hit))
+    lead, chain_of = np.flatnonzero(new), np.cumsum(new) - 1
+    last = np.append(lead[1:], len(x)) - 1
+    turn = new | (np.diff(y - x, prepend=0) != 0)       # where a word more stands on one side
+    at = np.flatnonzero(turn)
+    group, word = _spread(x[np.append(at[1:], len(x)) - 1] - x[at] + run)
+    hit = mine[x[at][group] + word] == other[y[at][group] + word]
+    found = [(chain_of[at][group[hit]], (x[at][group] + word)[hit])]
+    at = np.flatnonzero(turn & ~new)
+    a, b = np.minimum(x[at - 1] + run, x[at]), np.minimum(y[at - 1] + run, y[at])
+    pair, word = common(Windows(mine, other, a, x[at] - a, b, y[at] - b, np.ones(len(at), np.int64)))
+    found.append((chain_of[at][pair], a[pair] + word))
+    group, word = _spread(np.full(len(at), run))
+    found.append((chain_of[at][group], x[at][group] + word))
+    begin, end, to_begin, to_end = edges
+    one = np.ones(len(lead), np.int64)
+    ahead, after = x[lead] - 1, x[last] + run
+    pair, word = onward(Windows(mine, other, ahead, np.minimum(beyond, x[lead] - begin), y[lead] - 1, np.minimum(beyond, y[lead] - to_begin), -one), beyond)
+    found.append((pair, ahead[pair] - word))
+    pair, word = onward(Windows(mine, other, after, np.minimum(beyond, end - after), y[last] + run, np.minimum(beyond, to_end - y[last] - run), one), beyond)
+    found.append((pair, after[pair] + word))
+    chains, places = (np.concatenate(c) for c in zip(*found, strict=True))
+    order = by_columns(chains, places)
+    chains, places = chains[order], places[order]
+    once = B.runs(chains) | B.runs(places)
+    return chains[once], places[once]
 
 
 def passages(matched: np.ndarray, similarity: float = SIMILARITY, least_words: int = LEAST_WORDS) -> list[tuple[int, int, int]]:
@@ -229,8 +339,9 @@ def passages(matched: np.ndarray, similarity: float = SIMILARITY, least_words: i
 
 def _cells(hashes: np.ndarray, buckets: int) -> list[tuple[int, int, int]]:
     """(bucket, begin, end) of ascending hashes; a bucket is a range of them, so few bits tell one from the next."""
-    met, begin = np.unique(((hashes >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32), return_index=True)
-    return list(zip(met.tolist(), begin.tolist(), np.append(begin, len(hashes))[1:].tolist(), strict=True))
+    bucket = ((hashes >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+    begin = np.flatnonzero(B.runs(bucket))
+    return list(zip(bucket[begin].tolist(), begin.tolist(), np.append(begin, len(hashes))[1:].tolist(), strict=True))
 
 
 def _send(buckets: int, bits: int):
@@ -244,10 +355,23 @@ def _send(buckets: int, bits: int):
 
 
 def _flags(frame: pd.DataFrame) -> pd.DataFrame:
-    return B.flags_of(frame, [P.read_rising(x)[0] for x in frame["hashes"]])
+    """``batches.flags_of`` for hashes of few bits, which are sorted as numbers."""
+    hashes = [P.read_rising(x)[0] for x in frame["hashes"]]
+    size = [len(h) for h in hashes]
+    twice = np.concatenate([P.read_flags(t, n) for t, n in zip(frame["twice"], size, strict=True)])
+    h = np.concatenate(hashes)
+    order = by_columns(h.view(np.int64))
+    new = B.runs(h[order])
+    lead = np.flatnonzero(new)
+    several = np.logical_or.reduceat(twice[order], lead) | (np.diff(np.append(lead, len(h))) > 1)
+    shared = np.empty(len(h), bool)
+    shared[order] = several[np.cumsum(new) - 1]
+    parts = np.split(shared, np.cumsum(size)[:-1])
+    return pd.DataFrame({"batch": frame["batch"], "bucket": frame["bucket"], "flags": [P.flags(p) for p in parts]})
 
 
 def _entries(b: Worded, seeds: Seeds, shared: np.ndarray) -> np.ndarray:
+    """What the batch offers of its hashes numbered ``shared``."""
     lead = seeds.lead[shared]
     rows = np.empty(len(lead), ENTRY)
     rows["hash"], rows["id"], rows["doc"] = seeds.hashes[shared], b.ids[seeds.doc[lead]], seeds.doc[lead]
@@ -281,9 +405,8 @@ def _offer(buckets: int):
             return pd.DataFrame([], columns=names)
         b, answers, out = Worded(frame), dict(zip(flags["bucket"], flags["flags"], strict=True)), []
         for k, x, y in _cells(b.seeds.hashes, buckets):
-            shared = np.zeros(len(b.seeds.hashes), bool)
-            shared[x:y] = P.read_flags(answers[k], y - x)
-            if shared.any():
+            shared = np.flatnonzero(P.read_flags(answers[k], y - x)) + x       # of this cell only, as there are many cells
+            if len(shared):
                 out.append((k, frame["batch"].iloc[0], _squeezed(_entries(b, b.seeds, shared)), answers[k]))
         return pd.DataFrame(out, columns=names)
     return run
@@ -292,13 +415,16 @@ def _offer(buckets: int):
 def _least(step: int):
     """Tells each batch, of its hashes, where the least holder has them, unless that is the batch's only holder."""
     def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("batch", kind="stable")
         parts = [_unsqueezed(x) for x in frame["entries"]]
         rows, cell = np.concatenate(parts), np.repeat(np.arange(len(parts)), [len(p) for p in parts])
         batch = frame["batch"].to_numpy(np.int64)[cell]
-        order = np.lexsort((batch, rows["id"], rows["hash"]))
-        new = B.runs(rows["hash"][order])
+        order = by_hash(rows["hash"])       # of a hash by batch
+        new, ids = B.runs(rows["hash"][order]), rows["id"][order]
+        which = np.cumsum(new) - 1
+        least = np.flatnonzero(ids == np.minimum.reduceat(ids, np.flatnonzero(new))[which])
         of = np.empty(len(rows), np.int64)
-        of[order] = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
+        of[order] = order[least[B.runs(which[least])]][which]
         need = (of != np.arange(len(of))) | (rows["alone"] == 0)
         edge, out = np.searchsorted(cell, np.arange(len(parts) + 1)), []
         for i, (own, bucket, flags) in enumerate(zip(frame["batch"], frame["bucket"], frame["flags"], strict=True)):
@@ -310,37 +436,40 @@ def _least(step: int):
     return run
 
 
-def _told(hashes: np.ndarray, told: pd.DataFrame, buckets: int, offered: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(answers in order of hash, which of ``hashes`` were offered). ``offered`` where the batch knows that itself."""
+def _told(hashes: np.ndarray, told: pd.DataFrame, buckets: int, offered: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(answers in order of hash, the numbers of their hashes, which of ``hashes`` were offered). ``offered`` where all were."""
     cells = {k: (f, n, d) for k, f, n, d in zip(told["bucket"], told["flags"], told["need"], told["data"], strict=True)}
-    shared, parts = np.zeros(len(hashes), bool), [np.zeros(0, MATCH)]
+    shared, parts, places = np.zeros(len(hashes), bool), [np.zeros(0, MATCH)], [np.zeros(0, np.int64)]
     for k, x, y in _cells(hashes, buckets):
         if k not in cells:
             continue
         flags, need, data = cells[k]
-        shared[x:y] = P.read_flags(flags, y - x) if offered is None else True
-        own = hashes[x:y][shared[x:y]]
+        shared[x:y] = True if offered else P.read_flags(flags, y - x)
+        own = np.flatnonzero(shared[x:y]) + x
         own = own[P.read_flags(need, len(own))]
         rows = np.empty(len(own), MATCH)
-        rows["hash"] = own
+        rows["hash"] = hashes[own]
         for n in ("batch", "id", "doc", "word"):
             rows[n], data = P.read_narrow(data, len(own))
         parts.append(rows)
-    return np.concatenate(parts), shared
+        places.append(own)
+    return np.concatenate(parts), np.concatenate(places), shared
 
 
-def _in_a_row(b: Worded, to: np.ndarray, shared: np.ndarray, own: int) -> tuple[np.ndarray, np.ndarray]:
+def _in_a_row(b: Worded, to: np.ndarray, place: np.ndarray, shared: np.ndarray, own: int) -> tuple[np.ndarray, np.ndarray]:
     """(places at which a shared run of RUN words begins, those of them whose holder goes on with the next run at the next place)."""
     s = b.seeds
     batch, doc = np.full(len(s.hashes), own, np.int64), s.doc[s.lead].astype(np.int64)     # without an answer the batch holds the least itself
     word = s.at[s.lead] - b.first[s.doc[s.lead]]
-    place = np.searchsorted(s.hashes, to["hash"])
     batch[place], doc[place], word[place] = to["batch"], to["doc"], to["word"]
     held = np.zeros(len(b.words) + 1, bool)
     held[s.at] = shared[s.which]
-    at = np.zeros((3, len(b.words) + 1), np.int64)
-    at[:, s.at] = batch[s.which], doc[s.which], word[s.which]
-    on = held[:-1] & held[1:] & (at[0, :-1] == at[0, 1:]) & (at[1, :-1] == at[1, 1:]) & (at[2, :-1] + 1 == at[2, 1:])
+    which = np.zeros(len(b.words) + 1, np.int64)       # places without a seed are not held
+    which[s.at] = s.which
+    if not len(s.hashes):
+        return held[:-1], held[:-1]
+    batch, doc, word = batch[which], doc[which], word[which]
+    on = held[:-1] & held[1:] & (batch[:-1] == batch[1:]) & (doc[:-1] == doc[1:]) & (word[:-1] + 1 == word[1:])
     return held[:-1], on
 
 
@@ -348,10 +477,6 @@ def _longer_seeds(b: Worded, held: np.ndarray, on: np.ndarray) -> list[tuple[int
     return list(b.longer(held, on))
 
 
-def _all_longer(longer: list[tuple[int, Seeds]]) -> np.ndarray:
-    return np.sort(np.concatenate([np.zeros(0, np.uint64), *(x.hashes for _, x in longer)]))
-
-
 def _offer_longer(buckets: int):
     def run(frame: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
         names = ["bucket", "batch", "entries", "flags"]
@@ -359,24 +484,40 @@ def _offer_longer(buckets: int):
             return pd.DataFrame([], columns=names)
         b, own = Worded(frame), int(frame["batch"].iloc[0])
         longer = _longer_seeds(b, *_in_a_row(b, *_told(b.seeds.hashes, told, buckets), own))
-        rows = np.concatenate([np.zeros(0, ENTRY), *(_entries(b, x, np.ones(len(x.hashes), bool)) for _, x in longer)])
-        rows = rows[np.argsort(rows["hash"], kind="stable")]
+        rows = np.concatenate([np.zeros(0, ENTRY), *(_entries(b, x, np.arange(len(x.hashes))) for _, x in longer)])
+        rows = rows[by_hash(rows["hash"])]
         return pd.DataFrame([(k, own, _squeezed(rows[x:y]), b"") for k, x, y in _cells(rows["hash"], buckets)], columns=names)
     return run
 
 
-def _matches(b: Worded, seeds: Seeds, to: np.ndarray, size: int) -> np.ndarray:
-    """Matches of ``size`` words with the documents that the batch is told of (sorted by hash)."""
-    h, ids = seeds.hashes[seeds.which], b.ids[seeds.doc]
-    place = np.minimum(np.searchsorted(to["hash"], h), len(to) - 1)
-    ok = (to["hash"][place] == h) & (to["id"][place] < ids) & (ids != NO_ID) if len(to) else np.zeros(len(h), bool)
-    m = np.empty(int(ok.sum()), ANCHOR)
-    got = to[place[ok]]
-    m["doc"], m["x"] = seeds.doc[ok], seeds.at[ok] - b.first[seeds.doc[ok]]
+def _matches(b: Worded, seeds: Seeds, to: np.ndarray, place: np.ndarray, size: int) -> np.ndarray:
+    """Matches of ``size`` words with the documents that the batch is told of, for its hashes numbered ``place``."""
+    number = np.full(len(seeds.hashes), -1, np.int64)
+    number[place] = np.arange(len(place))
+    number = number[seeds.which]
+    seed = np.flatnonzero(number >= 0)
+    number = number[seed]
+    ids = b.ids[seeds.doc[seed]]
+    ok = (to["id"][number] < ids) & (ids != NO_ID)
+    seed, got = seed[ok], to[number[ok]]
+    m = np.empty(len(seed), ANCHOR)
+    m["doc"], m["x"] = seeds.doc[seed], seeds.at[seed] - b.first[seeds.doc[seed]]
     m["to_batch"], m["to_doc"], m["to_id"], m["y"], m["chain"] = got["batch"], got["doc"], got["id"], got["word"], size
     return m
 
 
+def _longer_matches(b: Worded, longer: list[tuple[int, Seeds]], told: pd.DataFrame, buckets: int) -> list[np.ndarray]:
+    hashes = np.concatenate([np.zeros(0, np.uint64), *(x.hashes for _, x in longer)])
+    order = by_hash(hashes)
+    to, place, _ = _told(hashes[order], told, buckets, True)
+    place, out, begin = order[place], [], 0
+    for k, x in longer:
+        mine = np.flatnonzero((place >= begin) & (place < begin + len(x.hashes)))
+        out.append(_matches(b, x, to[mine], place[mine] - begin, k))
+        begin += len(x.hashes)
+    return out
+
+
 def _joined(m: np.ndarray) -> np.ndarray:
     """The same matched words as matches of RUN words, of which those that go on from one another stand side by side, not at every word.
 
@@ -385,7 +526,7 @@ def _joined(m: np.ndarray) -> np.ndarray:
     if not len(m):
         return m
     shift = m["y"] - m["x"]
-    order = np.lexsort((m["x"], shift, m["to_doc"], m["to_batch"], m["doc"]))
+    order = by_columns(m["doc"], m["to_batch"], m["to_doc"], shift, m["x"])
     m, shift = m[order], shift[order]
     new = B.runs(m["doc"]) | B.runs(m["to_batch"]) | B.runs(m["to_doc"]) | B.runs(shift)
     lift = np.cumsum(new) << 40
@@ -407,11 +548,9 @@ def _chains(buckets: int):
         if not len(frame) or not len(told):
             return pd.DataFrame([], columns=["batch", "kind", "data"])
         b, own = Worded(frame), int(frame["batch"].iloc[0])
-        to, shared = _told(b.seeds.hashes, told[told["step"] == 0], buckets)
-        held, on = _in_a_row(b, to, shared, own)
-        longer = _longer_seeds(b, held, on)
-        to_longer = _told(_all_longer(longer), told[told["step"] == 1], buckets, True)[0]
-        m = [_matches(b, b.seeds, to, RUN)] + [_matches(b, x, to_longer, k) for k, x in longer]
+        to, place, shared = _told(b.seeds.hashes, told[told["step"] == 0], buckets)
+        longer = _longer_seeds(b, *_in_a_row(b, to, place, shared, own))
+        m = [_matches(b, b.seeds, to, place, RUN), *_longer_matches(b, longer, told[told["step"] == 1], buckets)]
         return _chained(np.concatenate(m), own)
     return run
 
@@ -419,27 +558,33 @@ def _chains(buckets: int):
 def _chained(m: np.ndarray, own: int) -> pd.DataFrame:
     """Kind 0: the anchors of this batch's chains, for itself. Kind 1: words that it asks other batches for."""
     m = _joined(m)
-    m = m[np.lexsort((m["x"], m["to_doc"], m["to_batch"], m["doc"]))]
+    m = m[by_columns(m["doc"], m["to_batch"], m["to_doc"], m["x"])]
     new = B.runs(m["doc"]) | B.runs(m["to_batch"]) | B.runs(m["to_doc"])
     size = np.diff(np.append(np.flatnonzero(new), len(m)))
     many = np.repeat(RUN * size >= CHAIN_WORDS, size)
     m, new = m[many], new[many]
-    edge, n = np.append(np.flatnonzero(new), len(m)), 0
-    keep = []
-    for a, z in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-        x, y = m["x"][a:z], m["y"][a:z]
-        for path in chain(x, y):
-            if RUN * len(path) >= CHAIN_WORDS and np.minimum(np.diff(x[path]), RUN).sum() + RUN >= CHAIN_WORDS:
-                rows = np.array(path) + a
-                m["chain"][rows] = n
-                keep.append(rows)
-                n += 1
-    m = m[np.concatenate(keep)] if keep else m[:0]
+    lead, of = np.flatnonzero(new), np.cumsum(new) - 1
+    x, y = np.ascontiguousarray(m["x"]), np.ascontiguousarray(m["y"])
+    straight = straight_chains(x, y, new)
+    words = np.bincount(of, np.where(new, RUN, np.minimum(np.diff(x, prepend=0), RUN)), len(lead))
+    m["chain"] = of
+    path, size = [], []
+    edge = np.append(lead, len(m))
+    for i in np.flatnonzero(~straight).tolist():
+        a, z = edge[i:i + 2].tolist()
+        for rows in chain(x[a:z], y[a:z]):
+            if RUN * len(rows) >= CHAIN_WORDS:
+                path += [a + j for j in rows]
+                size.append(len(rows))
+    rows, (number, at) = np.array(path, np.int64), _spread(np.array(size, np.int64))
+    step = np.bincount(number, np.where(at == 0, RUN, np.minimum(np.diff(x[rows], prepend=0), RUN)), len(size))
+    m["chain"][rows] = len(lead) + number
+    m = m[np.concatenate([np.flatnonzero((straight & (words >= CHAIN_WORDS))[of]), rows[(step >= CHAIN_WORDS)[number]]])]
     # for each other document one interval of words, from the first to the last that any chain of this batch needs
     lead, last = B.runs(m["chain"]), np.append(m["chain"][1:] != m["chain"][:-1], True)[:len(m)]
     low, high = np.maximum(m["y"][lead] - BEYOND, 0), m["y"][last] + RUN + BEYOND
     tb, td = m["to_batch"][lead], m["to_doc"][lead]
-    order = np.lexsort((td, tb))
+    order = by_columns(tb, td)
     starts = np.flatnonzero(B.runs(tb[order]) | B.runs(td[order]))
     ask = np.empty(len(starts), ASK)
     if len(starts):
@@ -480,34 +625,42 @@ def _find(similarity: float, least_words: int):
         if not len(frame) or not anchors:
             return pd.DataFrame([], columns=names)
         b = Worded(frame, seeds=False)
-        other: dict[tuple[int, int], tuple[int, np.ndarray]] = {}
+        place: dict[tuple[int, int], tuple[int, int, int]] = {}
+        texts, at = [], 0
         for data, kind in zip(parts["data"], parts["kind"], strict=True):
             if kind == 2:
-                n, at = int.from_bytes(data[:8], "little") + 8, 0
-                flat = B.unpress(data[n:], np.dtype([("w", "<u4")]))["w"]
-                for r in B.unpress(data[8:n], TOLD).tolist():
-                    other[r[0], r[1]] = (r[2], flat[at:at + r[3]])
-                    at += r[3]
+                n = int.from_bytes(data[:8], "little") + 8
+                texts.append(B.unpress(data[n:], np.dtype([("w", "<u4")]))["w"])
+                for batch, doc, low, size in B.unpress(data[8:n], TOLD).tolist():
+                    place[batch, doc] = (low, at, size)
+                    at += size
         m = np.concatenate([B.unpress(x, ANCHOR) for x in anchors])
-        m = m[np.lexsort((m["x"], m["chain"], m["doc"]))]
-        edge = np.append(np.flatnonzero(B.runs(m["chain"])), len(m))
-        doc_of = m["doc"][edge[:-1]]
-        out = []
-        for lo, hi in zip(np.flatnonzero(B.runs(doc_of)).tolist(), np.append(np.flatnonzero(B.runs(doc_of))[1:], len(doc_of)).tolist(), strict=True):
+        m = m[by_columns(m["doc"], m["chain"], m["x"])]
+        new = B.runs(m["chain"])
+        chains = m[new]
+        low, at, size = np.array([place[k] for k in zip(chains["to_batch"].tolist(), chains["to_doc"].tolist())]).reshape(-1, 3).T
+        begin = b.first[chains["doc"]]
+        of = np.cumsum(new) - 1
+        edges = np.stack([begin, begin + b.n_words[chains["doc"]], at, at + size])
+        chain_of, hit = align(b.words.astype(np.uint32), np.concatenate(texts), new, m["x"] + begin[of], m["y"] + (at - low)[of], edges)
+        good = (np.bincount(chain_of, minlength=len(chains)) >= CHAIN_WORDS)[chain_of]
+        chain_of, hit = chain_of[good], hit[good]
+        matched = np.zeros(len(b.words), bool)
+        matched[hit] = True
+        doc_of = chains["doc"][chain_of]
+        edge, out = np.append(np.flatnonzero(B.runs(doc_of)), len(doc_of)), []
+        for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
             doc = int(doc_of[lo])
-            mine = b.text(doc).astype(np.uint32)
-            flags = np.zeros(len(mine), bool)
-            found = []
-            for c in range(lo, hi):
-                rows = m[edge[c]:edge[c + 1]]
-                base, words = other[int(rows["to_batch"][0]), int(rows["to_doc"][0])]
-                hit = align(mine, words, base, rows["x"].tolist(), rows["y"].tolist())
-                if len(hit) >= CHAIN_WORDS:
-                    flags[hit] = True
-                    found.append((int(rows["to_id"][0]), hit))
-            for start, end, n in passages(flags, similarity, least_words):
-                earlier = sorted({d for d, hit in found if np.searchsorted(hit, end) - np.searchsorted(hit, start) >= RUN})
-                out.append((int(b.ids[doc]), start, end, n, n / (end - start), earlier))
+            first = int(b.first[doc])
+            stretches = passages(matched[first:first + int(b.n_words[doc])], similarity, least_words)
+            # words that each chain matches in each stretch
+            starts, ends = (np.array([p[i] for p in stretches], np.int64) + first for i in (0, 1))
+            of = np.searchsorted(starts, hit[lo:hi], side="right") - 1
+            inside = np.flatnonzero((of >= 0) & (hit[lo:hi] < np.append(ends, 0)[of]))
+            pair, n = np.unique(of[inside] * len(chains) + chain_of[lo:hi][inside], return_counts=True)
+            pair = pair[n >= RUN]
+            held = np.split(chains["to_id"][pair % len(chains)], np.searchsorted(pair, np.arange(1, len(stretches)) * len(chains)))
+            out += [(int(b.ids[doc]), start, end, n, n / (end - start), np.unique(d).tolist()) for (start, end, n), d in zip(stretches, held, strict=False)]
         return pd.DataFrame(out, columns=names)
     return run
 
@@ -524,14 +677,15 @@ def shared_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     rows = documents(docs, doc_id, text).withColumn("doc_id", F.col("doc_id").cast("long")).where("doc_id IS NOT NULL")
     n = B.batch_count(rows, batch_bytes)
+    buckets = -(-n // BUCKET_BATCHES)
     # a seed that is not shared agrees by chance with one of another text in a hundredth of cases or less, whatever the table's size
     bits = min(64, (n * batch_bytes).bit_length() + 4)
     packed = B.pack(rows, n)
-    flags = packed.groupBy("batch").applyInPandas(_send(n, bits), B.SENT).groupBy("bucket").applyInPandas(_flags, B.FLAGS)
-    offers = packed.groupBy("batch").cogroup(flags.groupBy("batch")).applyInPandas(_offer(n), OFFER)
+    flags = packed.groupBy("batch").applyInPandas(_send(buckets, bits), B.SENT).groupBy("bucket").applyInPandas(_flags, B.FLAGS)
+    offers = packed.groupBy("batch").cogroup(flags.groupBy("batch")).applyInPandas(_offer(buckets), OFFER)
     told = offers.groupBy("bucket").applyInPandas(_least(0), ANSWER)
-    more = packed.groupBy("batch").cogroup(told.groupBy("batch")).applyInPandas(_offer_longer(n), OFFER)
+    more = packed.groupBy("batch").cogroup(told.groupBy("batch")).applyInPandas(_offer_longer(buckets), OFFER)
     told = told.union(more.groupBy("bucket").applyInPandas(_least(1), ANSWER))
-    chains = packed.groupBy("batch").cogroup(told.groupBy("batch")).applyInPandas(_chains(n), B.STEP)
+    chains = packed.groupBy("batch").cogroup(told.groupBy("batch")).applyInPandas(_chains(buckets), B.STEP)
     parts = packed.groupBy("batch").cogroup(chains.groupBy("batch")).applyInPandas(_tell, B.STEP)
     return packed.groupBy("batch").cogroup(parts.groupBy("batch")).applyInPandas(_find(similarity, least_words), RESULT)

@@ -7,19 +7,17 @@ import xxhash
 
 from quarry.llm.seeds import _sliding
 
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-_ODD = np.uint64(0x9E3779B97F4A7C15)
+_SPACE = bytes(i in (9, 10, 11, 12, 13, 32) for i in range(256))
+_ODD, _MORE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+#: The first bytes of eight, by how many.
+_FIRST = np.array([(1 << 8 * i) - 1 for i in range(9)], dtype=np.uint64)
 #: Longer words are hashed one by one.
 LONG_WORD = 48
 
 
 def word_hashes(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each lower-cased word, first word of each document), words ``[^\\x20\\x09-\\x0D]+``; no word crosses a document's end."""
-    data = np.frombuffer(raw, np.uint8)
-    solid = ~_SPACE[data]
+    solid = ~np.frombuffer(raw.translate(_SPACE), bool)
     begins = solid.copy()
     begins[1:] &= ~solid[:-1]
     at = starts[(starts < ends)]
@@ -29,15 +27,17 @@ def word_hashes(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.nd
     finishes[at[at > 0] - 1] = solid[at[at > 0] - 1]
     low, high = np.flatnonzero(begins), np.flatnonzero(finishes) + 1
     size = high - low
-    letters = _LOWER[data].astype(np.uint64)
+    eight = np.ndarray(len(raw) + 1, "<u8", raw.lower() + bytes(8), strides=(1,))       # the eight bytes from each place on; bytes.lower() is A-Z only
     h = size.astype(np.uint64) * _ODD
-    live = np.arange(len(low))
-    for j in range(LONG_WORD):
-        live = live[size[live] > j]
-        if not len(live):
-            break
-        x = (h[live] ^ letters[low[live] + j]) * _ODD
+    live, done = slice(None), 0
+    while True:
+        x = (h[live] ^ (eight[low[live] + done] & _FIRST[np.minimum(size[live] - done, 8)])) * _ODD
+        x = (x ^ (x >> np.uint64(32))) * _MORE
         h[live] = x ^ (x >> np.uint64(29))
+        done += 8
+        live = np.flatnonzero(size > done)
+        if done >= LONG_WORD or not len(live):
+            break
     for i in np.flatnonzero(size > LONG_WORD).tolist():
         h[i] = xxhash.xxh64_intdigest(raw[low[i]:high[i]].lower())
     return h, np.searchsorted(low, starts)
@@ -57,6 +57,9 @@ def run_seeds(words: np.ndarray, first: np.ndarray, k: int, width: int) -> tuple
     np.add.at(crossed, np.clip(last - k + 1, 0, n), 1)
     np.add.at(crossed, np.clip(last, 0, n), -1)
     whole = np.cumsum(crossed)[:-1] == 0
+    if width == 1:
+        at = np.flatnonzero(whole)
+        return at, h[at]
     high = np.iinfo(np.uint64).max
     h = np.where(whole, np.minimum(h, high - np.uint64(1)), high)
     # a window of runs may stretch over a document's end: runs there are greatest, and those of the next document get a gap

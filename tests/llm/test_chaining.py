@@ -187,3 +187,146 @@ def test_no_stretch_with_the_share_is_without_a_passage():
             for z in np.flatnonzero(flags) + 1:
                 if z - a >= 40 and total[z] - total[a] >= 0.8 * (z - a):
                     assert any(p < z and a < q for p, q, _ in found), (a, z, found)
+
+
+def plain_common(a, b):
+    """Length of a longest common subsequence."""
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i in range(len(a) - 1, -1, -1):
+        for j in range(len(b) - 1, -1, -1):
+            best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
+    return best[0][0]
+
+
+def is_subsequence(a, b):
+    rest = iter(b)
+    return all(any(x == y for y in rest) for x in a)
+
+
+def test_common_words_of_many_pairs_at_once():
+    rng = np.random.default_rng(7)
+    mine, other = rng.integers(0, 6, 4000).astype(np.uint32), rng.integers(0, 6, 4000).astype(np.uint32)
+    n, m, step = rng.integers(0, 30, 300), rng.integers(0, 30, 300), rng.choice([1, -1], 300)
+    a, b = rng.integers(30, 3970, 300), rng.integers(30, 3970, 300)
+    pair, word = C.common(C.Windows(mine, other, a, n, b, m, step))
+    for i in range(300):
+        x, y = mine[a[i] + step[i] * np.arange(n[i])].tolist(), other[b[i] + step[i] * np.arange(m[i])].tolist()
+        got = np.sort(word[pair == i]).tolist()
+        assert len(got) == len(set(got)) == plain_common(x, y) and is_subsequence([x[j] for j in got], y)
+
+
+def changed(rng, words):
+    """The words with single ones replaced, dropped and added."""
+    out = []
+    for w in words:
+        kind = rng.random()
+        if kind > 0.06:
+            out.append(w)
+        if kind < 0.04:
+            out.append(int(rng.integers(10**6, 10**7)))
+    return out
+
+
+def plain_between(a, b):
+    """Words of a that a longest common subsequence with b matches, the earliest of a where there are several."""
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i in range(len(a) - 1, -1, -1):
+        for j in range(len(b) - 1, -1, -1):
+            best[i][j] = max(best[i + 1][j], best[i][j + 1], best[i + 1][j + 1] + (a[i] == b[j]))
+    i, j, out = 0, 0, []
+    while i < len(a) and j < len(b):
+        if a[i] == b[j] and best[i][j] == best[i + 1][j + 1] + 1:
+            out.append(i)
+            i, j = i + 1, j + 1
+        elif best[i + 1][j] >= best[i][j + 1]:
+            i += 1
+        else:
+            j += 1
+    return out
+
+
+def plain_onward(a, b):
+    n = min(len(a), len(b))
+    near = min(n, 16)
+    straight = [i for i in range(n) if a[i] == b[i]]
+    placed = sum(i < near for i in straight)
+    return plain_between(a, b) if placed < near and sum(w in b for w in a[:near]) > max(0.6 * near, placed) else straight
+
+
+def plain_align(a, b, xs, ys):
+    """One chain, match by match."""
+    hit, run, beyond = set(), C.RUN, C.BEYOND
+    for i, (x, y) in enumerate(zip(xs, ys, strict=True)):
+        hit |= set(range(x, x + run))
+        if i and x - xs[i - 1] == y - ys[i - 1]:
+            hit |= {j for j in range(xs[i - 1], x) if a[j] == b[j - x + y]}
+        elif i:
+            begin, to = min(xs[i - 1] + run, x), min(ys[i - 1] + run, y)
+            hit |= {begin + j for j in plain_between(a[begin:x], b[to:y])}
+    hit |= {xs[0] - 1 - j for j in plain_onward(a[max(0, xs[0] - beyond):xs[0]][::-1], b[max(0, ys[0] - beyond):ys[0]][::-1])}
+    x, y = xs[-1] + run, ys[-1] + run
+    return sorted(hit | {x + j for j in plain_onward(a[x:x + beyond], b[y:y + beyond])})
+
+
+def test_all_chains_of_a_batch_are_aligned_together_as_each_by_itself(monkeypatch):
+    rng = np.random.default_rng(8)
+    mine, other, edges, groups = [], [], [], []
+    for _ in range(150):
+        text = rng.integers(0, 10**6, 120).tolist()
+        a, b = changed(rng, text), changed(rng, text)
+        at = {tuple(b[j:j + C.RUN]): j for j in range(len(b) - C.RUN + 1)}
+        xy = [(i, at[tuple(a[i:i + C.RUN])]) for i in range(len(a) - C.RUN + 1) if tuple(a[i:i + C.RUN]) in at]
+        groups.append(np.array(xy) + [len(mine), len(other)])
+        edges.append((len(mine), len(mine) + len(a), len(other), len(other) + len(b)))
+        mine, other = mine + a, other + b
+    mine, other = np.array(mine, np.uint32), np.array(other, np.uint32)
+    new = np.concatenate([np.arange(len(g)) == 0 for g in groups])
+    x, y = np.concatenate(groups).T
+    tables = []
+    monkeypatch.setattr(C, "_common", lambda a, b, plain=C._common: tables.append(len(a)) or plain(a, b))
+    of, place = C.align(mine, other, new, x, y, np.array(edges).T)
+    assert sum(tables) > 150 and len(tables) <= 18         # a table for gaps of like size, not one for each gap
+    for i, (g, edge) in enumerate(zip(groups, edges, strict=True)):
+        alone = C.align(mine, other, np.arange(len(g)) == 0, *g.T, np.array([edge]).T)[1]
+        assert place[of == i].tolist() == alone.tolist()
+        assert alone.min() >= edge[0] and alone.max() < edge[1] and np.isin(mine[alone], other[edge[2]:edge[3]]).all()
+        assert set((g[:, :1] + np.arange(C.RUN)).ravel().tolist()) <= set(alone.tolist())
+        assert (alone - edge[0]).tolist() == plain_align(mine[edge[0]:edge[1]].tolist(), other[edge[2]:edge[3]].tolist(), *(g - [edge[0], edge[2]]).T.tolist())
+
+
+def test_orders_by_packed_numbers_are_the_stable_ones():
+    rng = np.random.default_rng(9)
+    for n in (0, 1, 2, 700):
+        for high in (5, 2**20, 2**40, 2**62):
+            columns = [rng.integers(-high, high, n), rng.integers(0, 3, n), rng.integers(0, high, n).astype(np.int32 if high < 2**31 else np.int64)]
+            assert C.by_columns(*columns).tolist() == np.lexsort(columns[::-1]).tolist()
+            h = rng.integers(0, high, n).astype(np.uint64)      # small numbers differ in their last bits only
+            for g in (h, h << np.uint64(40), h * np.uint64(0x9E3779B97F4A7C15)):
+                assert C.by_hash(g).tolist() == np.argsort(g, kind="stable").tolist()
+
+
+def test_word_hashes_of_all_sizes_also_in_32_bits():
+    rng = random.Random(10)
+    words = ["".join(rng.choice("abq1é中") for _ in range(rng.randint(1, 70))) for _ in range(20_000)] + ["abcdefg" + c for c in "0123456789pqrstuvwxy"]
+    raw = " ".join(words).encode()
+    h, _ = word_hashes(raw, np.array([0]), np.array([len(raw)]))
+    assert len(h) == len(words) and len(set(zip(words, h.tolist(), strict=True))) == len(set(words)) == len(set(h.tolist()))
+    assert len(set(h.astype(np.uint32).tolist())) >= len(set(words)) - 3
+    upper, _ = word_hashes(raw.upper(), np.array([0]), np.array([len(raw)]))
+    assert upper.tolist() == h.tolist()
+
+
+def test_a_batch_has_a_cell_in_few_buckets_and_offers_the_same_in_all(spark):
+    import pandas as pd
+    from quarry.llm import batches as B
+
+    docs, _ = make(6)
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in docs.items()], "doc_id long, text string")
+    packed = [f for _, f in B.pack(df, 4).toPandas().groupby("batch")]
+    offered = []
+    for buckets in (1, 64):
+        sent = pd.concat([C._send(buckets, 30)(f) for f in packed])
+        flags = pd.concat([C._flags(f) for _, f in sent.groupby("bucket")])
+        rows = [C._offer(buckets)(f, flags[flags["batch"] == f["batch"].iloc[0]]) for f in packed]
+        offered.append([np.concatenate([C._unsqueezed(x) for x in r["entries"]]).tolist() for r in rows])
+    assert offered[0] == offered[1] and all(offered[0])
