@@ -131,37 +131,57 @@ def chain(x: np.ndarray, y: np.ndarray, gap_cost: float = GAP_COST, gap_words: i
     """
     if len(x) and straight_chains(x, y, np.arange(len(x)) == 0, gap_cost, gap_words)[0]:
         return [list(range(len(x)))]
-    order = by_columns(x, -y).tolist()
-    xs, ys = x.tolist(), y.tolist()
-    rank = (np.unique(y, return_inverse=True)[1] + 1).tolist()
-    size = max(rank, default=0)
+    return bent_chains(x, y, gap_cost, gap_words)
+
+
+def bent_chains(x: np.ndarray, y: np.ndarray, gap_cost: float = GAP_COST, gap_words: int = GAP_WORDS, least: int = 1) -> list[list[int]]:
+    """``chain`` for matches that are not one straight chain; of its chains those of at least so many matches."""
+    n = len(x)
+    order = by_columns(x, -y)
+    x, y = x[order], y[order]
+    _, rank, held = np.unique(y, return_inverse=True, return_counts=True)
+    # a match next to the one before in both orders, each alone in its row: whatever leads to the one before leads to it over that one, and
+    # what goes on from that one goes on from it, so it is not looked for and the one before is not kept
+    alone = held[rank] == 1
+    next_ = np.append(False, (np.diff(x) > 0) & (np.diff(rank) == 1) & alone[1:] & alone[:-1])[:n]
+    size, kept = len(held), np.append(~next_[1:], True)[:n].tolist()
+    rank, next_, sums = (rank + 1).tolist(), next_.tolist(), (gap_cost * (x + y)).tolist()
     tree, holder = [-np.inf] * (size + 1), [-1] * (size + 1)
-    score, back = [0.0] * len(xs), [-1] * len(xs)
-    for i in order:
-        best, of, r = 0.0, -1, rank[i] - 1
-        here = gap_cost * (xs[i] + ys[i])
-        while r:
-            got = tree[r] - here
-            if got > best:
-                best, of = got, holder[r]
-            r &= r - 1
+    score, back, value = [0.0] * n, [-1] * n, 0.0
+    for i, here in enumerate(sums):
+        best, of = 0.0, -1
+        if next_[i]:
+            if value - here > 0:
+                best, of = value - here, i - 1
+        else:
+            r = rank[i] - 1
+            while r:
+                got = tree[r] - here
+                if got > best:
+                    best, of = got, holder[r]
+                r &= r - 1
         score[i], back[i] = 1.0 + best, of
-        value, r = 1.0 + best + here, rank[i]
-        while r <= size:
-            if value > tree[r]:
-                tree[r], holder[r] = value, i
-            r += r & -r
-    out, used = [], [False] * len(xs)
-    for i in sorted(order, key=lambda i: -score[i]):
+        value = 1.0 + best + here
+        if kept[i]:
+            r = rank[i]
+            while r <= size:
+                if value > tree[r]:
+                    tree[r], holder[r] = value, i
+                r += r & -r
+    lead = np.array(back, np.int64)
+    ends = ((lead < 0) | (x - x[lead] > gap_words) | (y - y[lead] > gap_words)).tolist()
+    order, out, used = order.tolist(), [], [False] * n
+    for i in np.argsort(-np.array(score), kind="stable").tolist():
         path = []
         while i >= 0 and not used[i]:
             used[i] = True
-            if path and (xs[path[-1]] - xs[i] > gap_words or ys[path[-1]] - ys[i] > gap_words):
-                out.append(path[::-1])
+            path.append(order[i])
+            if ends[i]:
+                if len(path) >= least:
+                    out.append(path[::-1])
                 path = []
-            path.append(i)
             i = back[i]
-        if path:
+        if path and len(path) >= least:
             out.append(path[::-1])
     return out
 
@@ -468,9 +488,10 @@ def _in_a_row(b: Worded, to: np.ndarray, place: np.ndarray, shared: np.ndarray,
     which[s.at] = s.which
     if not len(s.hashes):
         return held[:-1], held[:-1]
-    batch, doc, word = batch[which], doc[which], word[which]
-    on = held[:-1] & held[1:] & (batch[:-1] == batch[1:]) & (doc[:-1] == doc[1:]) & (word[:-1] + 1 == word[1:])
-    return held[:-1], on
+    on, after = np.flatnonzero(held[:-1] & held[1:]), np.zeros(len(b.words), bool)
+    one, two = which[on], which[on + 1]
+    after[on] = (word[one] + 1 == word[two]) & (doc[one] == doc[two]) & (batch[one] == batch[two])
+    return held[:-1], after
 
 
 def _longer_seeds(b: Worded, held: np.ndarray, on: np.ndarray) -> list[tuple[int, Seeds]]:
@@ -572,10 +593,9 @@ def _chained(m: np.ndarray, own: int) -> pd.DataFrame:
     edge = np.append(lead, len(m))
     for i in np.flatnonzero(~straight).tolist():
         a, z = edge[i:i + 2].tolist()
-        for rows in chain(x[a:z], y[a:z]):
-            if RUN * len(rows) >= CHAIN_WORDS:
-                path += [a + j for j in rows]
-                size.append(len(rows))
+        for rows in bent_chains(x[a:z], y[a:z], least=-(-CHAIN_WORDS // RUN)):
+            path += [a + j for j in rows]
+            size.append(len(rows))
     rows, (number, at) = np.array(path, np.int64), _spread(np.array(size, np.int64))
     step = np.bincount(number, np.where(at == 0, RUN, np.minimum(np.diff(x[rows], prepend=0), RUN)), len(size))
     m["chain"][rows] = len(lead) + number

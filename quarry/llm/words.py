@@ -13,6 +13,8 @@ _ODD, _MORE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _FIRST = np.array([(1 << 8 * i) - 1 for i in range(9)], dtype=np.uint64)
 #: Longer words are hashed one by one.
 LONG_WORD = 48
+#: Words that are hashed at a time.
+AT_ONCE = 1 << 15
 
 
 def word_hashes(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -28,16 +30,23 @@ def word_hashes(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.nd
     low, high = np.flatnonzero(begins), np.flatnonzero(finishes) + 1
     size = high - low
     eight = np.ndarray(len(raw) + 1, "<u8", raw.lower() + bytes(8), strides=(1,))       # the eight bytes from each place on; bytes.lower() is A-Z only
-    h = size.astype(np.uint64) * _ODD
-    live, done = slice(None), 0
-    while True:
-        x = (h[live] ^ (eight[low[live] + done] & _FIRST[np.minimum(size[live] - done, 8)])) * _ODD
-        x = (x ^ (x >> np.uint64(32))) * _MORE
-        h[live] = x ^ (x >> np.uint64(29))
-        done += 8
-        live = np.flatnonzero(size > done)
-        if done >= LONG_WORD or not len(live):
-            break
+    h = size.astype(np.uint64)
+    for at in range(0, len(h), AT_ONCE):        # so few that they stay in the cache
+        part, lead, left = h[at:at + AT_ONCE], low[at:at + AT_ONCE], size[at:at + AT_ONCE]
+        part *= _ODD
+        live = slice(None)
+        for done in range(0, LONG_WORD, 8):
+            x = eight[lead[live] + done]
+            x &= _FIRST[np.minimum(left[live] - done, 8)]
+            x ^= part[live]
+            x *= _ODD
+            x ^= x >> np.uint64(32)
+            x *= _MORE
+            x ^= x >> np.uint64(29)
+            part[live] = x
+            live = np.flatnonzero(left > done + 8)
+            if not len(live):
+                break
     for i in np.flatnonzero(size > LONG_WORD).tolist():
         h[i] = xxhash.xxh64_intdigest(raw[low[i]:high[i]].lower())
     return h, np.searchsorted(low, starts)
@@ -50,7 +59,8 @@ def run_seeds(words: np.ndarray, first: np.ndarray, k: int, width: int) -> tuple
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     h = np.zeros(n, dtype=np.uint64)
     for j in range(k):
-        h = (h ^ words[j:j + n]) * _ODD
+        h ^= words[j:j + n]
+        h *= _ODD
         h ^= h >> np.uint64(31)
     last = np.append(first[1:], len(words))
     crossed = np.zeros(n + 1, dtype=np.int32)       # runs that lie in no document whole
@@ -89,7 +99,8 @@ def longer_runs(full: np.ndarray, held: np.ndarray, run: int, lengths: tuple[int
             return
         longer = np.full(n, k, dtype=np.uint64)
         for at in (*range(0, k - size, size), k - size):
-            longer = (longer ^ h[at:at + n]) * _ODD
+            longer ^= h[at:at + n]
+            longer *= _ODD
             longer ^= longer >> np.uint64(31)
         h, size = longer, k
         place = np.flatnonzero(total[k - run + 1:][:n] - total[:n] == k - run + 1)
