@@ -330,3 +330,15 @@ def test_a_batch_has_a_cell_in_few_buckets_and_offers_the_same_in_all(spark):
         rows = [C._offer(buckets)(f, flags[flags["batch"] == f["batch"].iloc[0]]) for f in packed]
         offered.append([np.concatenate([C._unsqueezed(x) for x in r["entries"]]).tolist() for r in rows])
     assert offered[0] == offered[1] and all(offered[0])
+
+
+def test_cells_are_few(spark):
+    import pandas as pd
+    from quarry.llm import batches as B
+
+    docs, _ = make(7)
+    rows = spark.createDataFrame([(i, " ".join(w)) for i, w in docs.items()], "doc_id long, text string")
+    n = B.batch_count(rows, 1000)
+    buckets = -(-n // C.BUCKET_BATCHES)
+    sent = pd.concat([C._send(buckets, 30)(f) for _, f in B.pack(rows, n).toPandas().groupby("batch")])
+    assert n > 60 and len(sent) <= n * buckets <= n * (n / 4 + 1)
